@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: module: (query, name of its DuckDB SQL or None where SQL cannot express it)
 _REGISTERED = {
+    "quality": ("op1_quality_classifier", None),
     "bpe": ("op2_bpe_encoding", None),
+    "language_id": ("op10_language_id", None),
     "line_dedup": ("op6_line_dedup", "OP6_SQL"),
     "media": ("op8_media_columns", None),
     "decontaminate": ("op9_benchmark_decontamination", "OP9_SQL"),
