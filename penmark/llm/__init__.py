@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: module: (query, name of its DuckDB SQL or None where SQL cannot express it)
 _REGISTERED = {
+    "lm_score": ("op4_lm_scoring", None),
+    "pii": ("op5_pii", None),
     "quality": ("op1_quality_classifier", None),
     "bpe": ("op2_bpe_encoding", None),
     "language_id": ("op10_language_id", None),
