@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module: (query, name of its DuckDB SQL or None where SQL cannot express it)
 _REGISTERED = {
+    "jaccard_join": ("op3_ngram_jaccard_join", "OP3_SQL"),
     "url_filter": ("op7_url_filters", "OP7_SQL"),
     "lm_score": ("op4_lm_scoring", None),
     "pii": ("op5_pii", None),
