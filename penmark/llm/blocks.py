@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from penmark.llm.session import total_bytes
 
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 #: Words of a block that one task packs into one row.
 CHUNK_WORDS = 50_000
 
@@ -35,7 +35,7 @@ def placed(documents: DataFrame, id_col: str, text_col: str, block_bytes: int) -
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = [squeeze.compress(t.encode()) for t in batch.column(2).to_pylist()]
+            texts = [squeeze.compress(t.as_buffer()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["block", "id", "text"])
 
     return source.mapInArrow(packed, f"block int, id {source.schema['id'].dataType.simpleString()}, text binary")
