@@ -30,8 +30,8 @@ ITERATIONS = 3
 SMOOTHING = 0.05
 #: A letter run of more bytes is scored in parts of this many.
 LONGEST = 60
-#: Words whose probabilities a worker keeps.
-CACHED_WORDS = 200_000
+#: Words whose probabilities a worker keeps: the first that it meets, which include the frequent ones.
+CACHED_WORDS = 300_000
 #: Every piece probability is multiplied by this for each of its bytes, so that long words stay within a double.
 _LIFT = 12.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -155,20 +155,22 @@ class Model:
     def text_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """log probability of each text in each language, prior included, and its number of words."""
         split = [words_of(t) if t else [] for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.scores = {}, None
         new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
+        place, scores, added = self.known, self.scores, {}
         if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             found = self.word_scores(new)
-            self.scores = found if self.scores is None else np.concatenate([self.scores, found])
+            scores = found if scores is None else np.concatenate([scores, found])
+            added = dict(zip(new, range(len(place), len(place) + len(new)), strict=True))
+            if len(place) < CACHED_WORDS:
+                self.known.update(added)
+                self.scores, added = scores, {}
         count = np.array([len(words) for words in split])
         out = np.tile(self.prior, (len(texts), 1))
-        code = np.fromiter((self.known[w] for words in split for w in words), dtype=np.int64, count=int(count.sum()))
+        code = np.fromiter((place[w] if w in place else added[w] for words in split for w in words), dtype=np.int64, count=int(count.sum()))
         if code.size:
             owner = np.repeat(np.arange(len(texts)), count)
             for k in range(len(self.languages)):
-                out[:, k] += np.bincount(owner, weights=self.scores[code, k], minlength=len(texts))
+                out[:, k] += np.bincount(owner, weights=scores[code, k], minlength=len(texts))
         return out, count
 
 
@@ -267,7 +269,8 @@ def identify_language(
         documents, id_col=id_col, text_col=text_col, lang_col=lang_col, folds=folds, max_documents=max_documents, iterations=iterations, vocabulary_path=vocabulary_path
     )
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
+    others = [c for c in carry if c != text_col]
+    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(others)])
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -289,7 +292,8 @@ def identify_language(
     source_names = source.columns
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
     found = source.mapInArrow(predicted, f"{fields}, lang_pred string, score double")
-    kept = [F.col("id").alias(id_col), *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)]]
+    kept = [F.col("text" if c == text_col else f"carried_{others.index(c)}").alias(c) for c in carry]
+    kept.insert(0, F.col("id").alias(id_col))
     return found.select(*kept, (remainder("id", folds) == 0).alias("held_out"), "lang_pred", "score")
 
 
