@@ -166,8 +166,9 @@ def contamination(
     spark = documents.sparkSession
     asked = checkpointed(windows(benchmark, item_col, item_text_col, window))
     blocks = max(1, -(-asked.count() // block_rows))
+    others = [c for c in carry if c != text_col]
     source = documents.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(others)]
     )
     names = [*source.columns, "n_words", "n_hit", "items", "spans"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
@@ -192,7 +193,8 @@ def contamination(
     found = searched(source, 0)
     for block in range(1, blocks):
         found = searched(checkpointed(found), block)
-    kept = [F.col("id").alias(id_col), *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)]]
+    kept = [F.col("text" if c == text_col else f"carried_{others.index(c)}").alias(c) for c in carry]
+    kept.insert(0, F.col("id").alias(id_col))
     return found.select(*kept, "n_words", "n_hit", "items", "spans")
 
 
