@@ -7,10 +7,11 @@ they can share at all. The first order (most frequent shingles last, else by
 hash) makes candidates by a join on those prefixes; candidates must then share
 prefix shingles under every further order too, before whole sets are compared.
 
-Groups of near copies would make a pair of each two members. So each node is
-first compared with one hub only, the likeliest of its prefixes; components of
-the links found are then one class, and only pairs across classes are left for
-the complete join, which loses no link between different classes.
+Groups of near copies would make a pair of each two members. So shingles that
+stand in many prefixes first compare each node with one hub only; components of
+the links found are then one class, and such shingles pair members of different
+classes only, which loses no link between different classes. Of all candidates,
+the best of each node is compared first, then those still across classes.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ PIECE_BYTES = 4_000_000
 #: Shingles that the first order puts last; a local count of this many makes a shingle a candidate for them.
 HOT = 1 << 17
 LOCALLY_HOT = 4
+#: A shingle in at most so many prefixes pairs them directly.
+FEW = 32
+#: Rows of 8 to 40 bytes that may be broadcast; larger tables are shuffled.
+BROADCAST_ROWS = 500_000
 #: Salts of the further orders.
 FURTHER = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 HUB_ROUNDS = 2
@@ -95,7 +100,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
 
 
 def _surveyed(source: DataFrame) -> DataFrame:
-    """A row (id, n, node) for each text, and rows (token, count) of what some megabytes of texts hold several times."""
+    """A row (id, row, n, node) for each text, and rows (token, count) of what some megabytes of texts hold several times."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,15 +111,16 @@ def _surveyed(source: DataFrame) -> DataFrame:
                 none = pa.nulls(token.size)
                 columns = [
                     pa.concat_arrays([batch.column(0).slice(low, high - low), none.cast(batch.schema.types[0])]),
+                    pa.concat_arrays([batch.column(2).slice(low, high - low), none.cast(pa.int64())]),
                     pa.concat_arrays([pa.array([s.size for s in sets], pa.int64()), none.cast(pa.int64())]),
                     pa.concat_arrays([pa.array([_node(s) for s in sets], pa.int64()), none.cast(pa.int64())]),
                     pa.concat_arrays([pa.nulls(high - low, pa.int64()), pa.array(token)]),
                     pa.concat_arrays([pa.nulls(high - low, pa.int64()), pa.array(count, pa.int64())]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "node", "token", "count"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n", "node", "token", "count"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return checkpointed(source.mapInArrow(survey, f"id {kind}, n bigint, node bigint, token bigint, count bigint"))
+    return checkpointed(source.mapInArrow(survey, f"id {kind}, row bigint, n bigint, node bigint, token bigint, count bigint"))
 
 
 def _index(source: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -151,16 +157,25 @@ def _index(source: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _shared(index: DataFrame) -> DataFrame:
-    """The index rows of shingles that stand in the prefixes of several nodes, without repetitions.
+    """(token, node, n, pos, many) of shingles in the prefixes of several nodes; many: of more than FEW.
 
-    A shingle that is not hot has few rows, so its rows meet in one task. Those
-    of hot ones, of which there are HOT at most, are kept by their extremes.
+    A shingle that is not hot has few rows, so its rows meet in one task. The
+    hot ones, of which there are HOT at most, always count as many; their rows
+    stay spread by node.
     """
-    few = F.expr("min(node) OVER (PARTITION BY token) <> max(node) OVER (PARTITION BY token)")
-    rare = index.where(~F.col("hot")).withColumn("several", few).where("several").drop("several").dropDuplicates(["token", "node"])
+    rare = index.where(~F.col("hot")).repartition("token").dropDuplicates(["token", "node"])
+    rare = rare.withColumn("holders", F.expr("count(*) OVER (PARTITION BY token)")).where("holders > 1")
     often = index.where("hot").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    several = often.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    return rare.select("token", "node", "n", "pos").unionByName(often.join(several, "token", "left_semi").select("token", "node", "n", "pos"))
+    several = often.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
+    often = often.join(_small(several, HOT), "token", "left_semi")
+    return rare.select("token", "node", "n", "pos", (F.col("holders") > FEW).alias("many")).unionByName(
+        often.select("token", "node", "n", "pos", F.lit(True).alias("many"))
+    )
+
+
+def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` to be broadcast if it has no more than BROADCAST_ROWS rows, else as it is."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -182,37 +197,39 @@ def _bounded(pairs: DataFrame) -> DataFrame:
     return grouped.where(room >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b", "common")
 
 
-def _set_table(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens, first_0, ...) of the wanted (node, id): whole sets, and their prefixes under the further orders."""
-    texts = source.join(wanted.select("id").hint("shuffle_hash"), "id", "left_semi")
+def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a prefix shingle under every further order and are similar as whole sets."""
+    pairs = checkpointed(pairs.select("a", "b"))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = checkpointed(nodes.join(ends, "node", "left_semi").select("node", F.col("id").alias("of_id"), F.col("row").alias("of_row")))
+    texts = source.join(_small(wanted), (F.col("row") == F.col("of_row")) & F.col("id").eqNullSafe(F.col("of_id"))).select("node", "text")
+
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, sets in _sets(batch):
-                nodes = pa.array([_node(s) for s in sets], pa.int64())
-                columns = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                for salt in FURTHER:
-                    firsts = [s[np.argsort(mix(s ^ np.uint64(salt)))[: prefix_length(s.size)]] for s in sets]
-                    columns.append(pa.array([f.view(np.int64) for f in firsts], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([nodes, *columns], names=["node", "tokens", *(f"first_{i}" for i in range(len(FURTHER)))])
+            (raw_a, offsets_a), (raw_b, offsets_b) = string_buffer(batch.column(2)), string_buffer(batch.column(3))
+            similar = []
+            for i in range(batch.num_rows):
+                x, y = (
+                    shingle_sets(raw[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))[0] for raw, at in ((raw_a, offsets_a), (raw_b, offsets_b))
+                )
+                similar.append(all(_prefixes_meet(x, y, salt) for salt in FURTHER) and _similar(x, y))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(similar, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    firsts = "".join(f", first_{i} array<bigint>" for i in range(len(FURTHER)))
-    return texts.mapInArrow(listed, f"node bigint, tokens array<bigint>{firsts}").dropDuplicates(["node"])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    return checkpointed(both.mapInArrow(compared, "a bigint, b bigint"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix shingle under every further order and are similar as whole sets."""
-    firsts = [f"first_{i}" for i in range(len(FURTHER))]
+def _prefixes_meet(x: np.ndarray, y: np.ndarray, salt: int) -> bool:
+    first = [s[np.argsort(mix(s ^ np.uint64(salt)))[: prefix_length(s.size)]] for s in (x, y)]
+    return np.intersect1d(*first, assume_unique=True).size > 0
 
-    def side(name: str, columns: list[str]) -> DataFrame:
-        return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    kept = pairs.join(side("a", firsts), "a").join(side("b", firsts), "b")
-    for c in firsts:
-        kept = kept.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
-    both = kept.select("a", "b", "n_a", "n_b").join(side("a", ["tokens"]), "a").join(side("b", ["tokens"]), "b")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    return both.where(common * DENOMINATOR >= (F.col("n_a") + F.col("n_b") - common) * NUMERATOR).select("a", "b")
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    common = np.intersect1d(x, y, assume_unique=True).size
+    return common * DENOMINATOR >= (x.size + y.size - common) * NUMERATOR
 
 
 def _with_classes(rows: DataFrame, members: DataFrame | None) -> DataFrame:
@@ -223,16 +240,25 @@ def _with_classes(rows: DataFrame, members: DataFrame | None) -> DataFrame:
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
     """For each node its likeliest partner among the least nodes of other classes that share a prefix shingle."""
-    hubs = rows.groupBy("token").agg(F.min(F.struct("node", "class", "n", "pos")).alias("hub"), F.max("class").alias("last"), F.min("class").alias("first"))
-    hubs = hubs.where("first <> last").select("token", F.col("hub.node").alias("b"), F.col("hub.class").alias("class_b"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b"))
+    hubs = rows.groupBy("token").agg(F.min(F.struct("node", "class", "n")).alias("hub"), F.max("class").alias("last"), F.min("class").alias("first"))
+    hubs = hubs.where("first <> last").select("token", F.col("hub.node").alias("b"), F.col("hub.class").alias("class_b"), F.col("hub.n").alias("n_b"))
     pairs = rows.join(hubs, "token").where((F.col("class") != F.col("class_b")) & _near_in_size("n", "n_b"))
-    bounded = _bounded(pairs.select(F.col("node").alias("a"), "b", F.col("n").alias("n_a"), "n_b", F.col("pos").alias("pos_a"), "pos_b"))
-    best = bounded.groupBy("a").agg(F.max(F.struct("common", "b", "n_a", "n_b")).alias("best"))
-    return best.select("a", F.col("best.b").alias("b"), F.col("best.n_a").alias("n_a"), F.col("best.n_b").alias("n_b"))
+    counted = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("common"))
+    return counted.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
 
+def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    names = {"node": x, "n": f"n_{x}", "pos": f"pos_{x}", "class": f"class_{x}"}
+    return rows.select("token", *[F.col(c).alias(names[c]) for c in ("node", "n", "pos", *more)])
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of nodes of different classes that pass the first order's filter.
+
+def _few_pairs(rows: DataFrame) -> DataFrame:
+    """A row for each two nodes near in size and each shingle of few holders that both have."""
+    return _side(rows, "a").join(_side(rows, "b"), "token").where((F.col("a") < F.col("b")) & _near_in_size("n_a", "n_b"))
+
+
+def _many_pairs(rows: DataFrame) -> DataFrame:
+    """The same for shingles of many holders, but of different classes only.
 
     Classes are paired by shingle first and members joined to them, so that
     members of one class never meet.
@@ -243,12 +269,33 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     left, right = (classes.select("token", F.col("class").alias(f"class_{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ab")
     sized = (F.col("high_a") * DENOMINATOR >= F.col("low_b") * NUMERATOR) & (F.col("high_b") * DENOMINATOR >= F.col("low_a") * NUMERATOR)
     met = left.join(right, "token").where((F.col("class_a") < F.col("class_b")) & sized).select("token", "class_a", "class_b")
+    pairs = met.join(_side(rows, "a", "class"), ["token", "class_a"]).join(_side(rows, "b", "class"), ["token", "class_b"]).where(_near_in_size("n_a", "n_b"))
+    turned = F.col("a") > F.col("b")  # the smaller node is a, as in _few_pairs()
+    return pairs.select(
+        *[F.when(turned, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")).alias(f"{c}{x}") for x, y in ("ab", "ba") for c in ("", "n_", "pos_")]
+    )
+
+
+class _Links:
+    """Links found so far, and the classes that they make."""
+
+    def __init__(self) -> None:
+        self.links: DataFrame | None = None
+        self.members: DataFrame | None = None
 
-    def members(x: str) -> DataFrame:
-        return rows.select("token", F.col("class").alias(f"class_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"))
+    def add(self, found: DataFrame) -> None:
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.members = checkpointed(connected_components(self.links))
 
-    pairs = met.join(members("a"), ["token", "class_a"]).join(members("b"), ["token", "class_b"]).where(_near_in_size("n_a", "n_b"))
-    return _bounded(pairs)
+    def across(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ...) whose ends are in different classes."""
+        if self.members is None:
+            return pairs
+        of = self.members.select("node", "component")
+        pairs = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left")
+        pairs = pairs.join(of.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
+        return pairs.where("coalesce(of_a, a) <> coalesce(of_b, b)").drop("of_a", "of_b")
 
 
 def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -257,31 +304,33 @@ def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     Returns for each row: id_col, n_shingles (long) and component_id, the
     smallest id that links reach. A null, empty or blank text has no shingles
     and no links; one of fewer words is a single shingle. Equal rows stay apart
-    and share a class; a null id takes part, but names no class unless it is
-    alone. Sets are compared by 64-bit hashes of their shingles. Other columns
+    and share a class; a null id takes part, but names no class unless all are
+    null. Sets are compared by 64-bit hashes of their shingles. Other columns
     are not read.
     """
-    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     surveyed = _surveyed(source)
-    texts = surveyed.where("n IS NOT NULL").select("id", "n", "node")
+    texts = surveyed.where("n IS NOT NULL").select("id", "row", "n", "node")
     counts = surveyed.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
     frequent = [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(hot).select("token").collect()]
-    rows = checkpointed(_shared(_index(source, np.array(frequent, dtype=np.int64))))
-
-    nodes = texts.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-    sets = checkpointed(_set_table(source, nodes.join(rows.select("node").distinct(), "node", "left_semi")))
-    links, members = None, None
-    for step in range(HUB_ROUNDS + 1):
-        classed = _with_classes(rows, members)
-        pairs = _hub_pairs(classed) if step < HUB_ROUNDS else _cross_pairs(classed)
-        found = checkpointed(_verified(pairs, sets))
-        if step < HUB_ROUNDS and found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        members = checkpointed(connected_components(links))
-
-    class_of = nodes.join(members, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "id")
-    named = class_of.groupBy("class").agg(F.min("id").alias("component_id"))
+    rows = checkpointed(_shared(_index(source.select("id", "text"), np.array(frequent, dtype=np.int64))))
+
+    least = texts.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "row")).alias("of"), F.min("id").alias("least"))
+    nodes = checkpointed(least.select("node", F.col("of.id").alias("id"), F.col("of.row").alias("row"), "least"))
+    links = _Links()
+    many = rows.where("many")
+    for _ in range(HUB_ROUNDS if not many.isEmpty() else 0):
+        links.add(_verified(_hub_pairs(_with_classes(many, links.members)), source, nodes))
+
+    shared = _few_pairs(rows.where("NOT many")).drop("token").unionByName(_many_pairs(_with_classes(many, links.members)))
+    candidates = checkpointed(links.across(_bounded(shared)))
+    best = candidates.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    links.add(_verified(best, source, nodes))
+    links.add(_verified(links.across(candidates.join(best, ["a", "b"], "left_anti")), source, nodes))
+
+    class_of = nodes.select("node", "least")
+    class_of = _with_classes(class_of, links.members)
+    named = class_of.groupBy("class").agg(F.min("least").alias("component_id"))
     classes = class_of.join(named, "class").select("node", "component_id")
     return texts.join(classes, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id")
