@@ -93,10 +93,13 @@ def punctuation(text: Column, words: Column) -> dict[str, Column]:
     return out
 
 
+#: Features of a tagger and a parser.
+SYNTAX = ("pos_diversity", "dep_depth_mean", "dep_depth_max", "branching_factor_mean", "passive_ratio", "subordinate_density")
+
+
 def syntax() -> dict[str, Column]:
     """Tag and dependency features without a tagger: constants, kept so that vectors keep their length."""
-    names = ("pos_diversity", "dep_depth_mean", "dep_depth_max", "branching_factor_mean", "passive_ratio", "subordinate_density")
-    return {name: F.lit(0.0) for name in names}
+    return {name: F.lit(0.0) for name in SYNTAX}
 
 
 def paragraph_shape(text: Column) -> dict[str, Column]:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WINDOW_SIZE = 512
 WINDOW_OVERLAP = 128
@@ -15,7 +16,7 @@ MIN_CHUNK_LENGTH = 50
 MIN_WORDS = 150
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 

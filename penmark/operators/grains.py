@@ -82,8 +82,11 @@ def self_bleu(units: DataFrame, id_col: str, text_col: str = "text", least: int
     keys = [id_col, "own", "own_size"]
     references = pairs.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col("other_size") - F.col("own_size")), "other_size"))["other_size"].alias("closest"))
 
+    def sized_grams(words: str, n: int) -> Column:
+        return F.transform(T.ngrams(F.col(words), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
     def grams(words: str) -> Column:
-        return F.flatten(F.array(*[F.transform(T.ngrams(F.col(words), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, 5)]))
+        return F.flatten(F.array(*[sized_grams(words, n) for n in range(1, 5)]))
 
     have = left.join(references, keys, "left_semi").select(*keys, F.explode(grams("words")).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("count"))
     allowed = pairs.select(*keys, "other", F.explode(grams("other_words")).alias("g")).groupBy(*keys, "other", "g").agg(F.count("*").alias("count"))

@@ -140,7 +140,7 @@ def coerced_label(value: Column, mapping: dict[str, int] | None) -> Column:
 
 def hash_order(key: Column, seed: int = 42) -> Column:
     """A seeded pseudo-random order of integer keys that other engines can reproduce."""
-    return F.pmod((key + seed) * F.lit(2654435761), F.lit(1_000_003))
+    return F.pmod((F.pmod(key.cast("long"), F.lit(1 << 31)) + seed) * F.lit(2654435761), F.lit(1_000_003))
 
 
 def sampled(rows: DataFrame, key: str, limit: int, seed: int = 42) -> DataFrame:

@@ -230,7 +230,7 @@ SELECT doc_id, rank, CAST(n AS BIGINT) AS n, ngram, count FROM r WHERE rank <= 5
     "lexical_richness": (_on_words(lambda: X.richness(F.col("w"), F.col("k"))), RICHNESS_SQL),
     "stylistic_ratios": (_on_words(lambda: X.style(F.col("text"), F.col("w"))), f"SELECT doc_id, {_columns(_STYLE, 'greatest(len(w), 1)')} FROM {_WORDS}"),
     "punctuation_ratios": (_on_words(lambda: X.punctuation(F.col("text"), F.col("w"))), f"SELECT doc_id, {_columns(_PUNCTUATION, 'greatest(len(w), 1)')} FROM {_WORDS}"),
-    "syntax_constants": (_on_words(X.syntax), "SELECT doc_id, " + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in X.syntax()) + " FROM documents"),
+    "syntax_constants": (_on_words(X.syntax), "SELECT doc_id, " + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in X.SYNTAX) + " FROM documents"),
     "readability": (readability, f"""
 WITH r AS (SELECT doc_id, c, greatest(len({S.sentences()}), 1) AS s, [greatest(len(regexp_extract_all(lower(x), '[aeiouy]+')), 1) FOR x IN c] AS y FROM (SELECT doc_id, text, {S.cased()} AS c FROM documents)),
 v AS (SELECT doc_id, c, len(c) AS n, len(c) / CAST(s AS DOUBLE) AS per, {S.ratio('list_sum(y)', 'len(c)')} AS syl, {S.ratio('len(list_filter(y, lambda k: k >= 3))', 'len(c)')} AS hard FROM r)
