@@ -73,8 +73,8 @@ def auprc_trapezoid(points: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 
 def tpr_at_fpr(points: DataFrame, at: float, groups: Sequence[str] = (), name: str = "tpr") -> DataFrame:
-    """The largest TPR whose FPR is `at` or less; 0 if there is none."""
-    ok = T.ratio(F.col("fp"), F.col("all_n")) <= at
+    """The largest TPR whose FPR is `at` or less; 0 if there is none, or only one class."""
+    ok = (F.col("all_n") > 0) & (T.ratio(F.col("fp"), F.col("all_n")) <= at)
     return points.groupBy(*groups).agg(F.coalesce(F.max(F.when(ok, T.ratio(F.col("tp"), F.col("all_p")))), F.lit(0.0)).alias(name))
 
 

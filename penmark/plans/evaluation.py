@@ -165,9 +165,9 @@ _HASH = "(({k} + 42) * 2654435761) % 1000003"
 
 
 def _fpr_at(at: float, source: str, name: str) -> str:
-    return f"""(SELECT g, arg_max(CASE WHEN nt > t THEN f + ({at} - t) * (nf - f) / (nt - t) ELSE f END, i) AS {name} FROM (
-      SELECT g, i, t, f, lead(t) OVER (PARTITION BY g ORDER BY i) AS nt, lead(f) OVER (PARTITION BY g ORDER BY i) AS nf FROM (
-        SELECT g, i, {_TPR} AS t, {_FPR} AS f FROM {source} UNION ALL SELECT DISTINCT g, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM {source})) WHERE t <= {at} GROUP BY g)"""
+    return f"""(SELECT g, CASE WHEN bool_and(two) THEN arg_max(CASE WHEN nt > t THEN f + ({at} - t) * (nf - f) / (nt - t) ELSE f END, i) ELSE 1 END AS {name} FROM (
+      SELECT g, i, t, f, two, lead(t) OVER (PARTITION BY g ORDER BY i) AS nt, lead(f) OVER (PARTITION BY g ORDER BY i) AS nf FROM (
+        SELECT g, i, {_TPR} AS t, {_FPR} AS f, all_p > 0 AND all_n > 0 AS two FROM {source} UNION ALL SELECT DISTINCT g, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), all_p > 0 AND all_n > 0 FROM {source})) WHERE t <= {at} GROUP BY g)"""
 
 
 _STRATA_SQL = f"""{SCORED_SQL.replace('scored AS', 'base AS')}, each AS (
