@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from penmark.llm.components import connected_components
 from penmark.llm.session import checkpointed, table
@@ -30,17 +31,22 @@ from penmark.llm.textbytes import NOT_SPACE, Words, mix, pieces, string_buffer
 SHINGLE = 5
 #: Similarity as a fraction, so that set sizes are compared in whole numbers.
 NUMERATOR, DENOMINATOR = 3, 4
-PIECE_BYTES = 4_000_000
-#: Shingles that the first order puts last; a local count of this many makes a shingle a candidate for them.
-HOT = 1 << 17
-LOCALLY_HOT = 4
+PIECE_BYTES = 750_000
+#: Shingles that the first order puts last at most, and the count from which one is a candidate for them.
+#: Counts are sums over spans of SURVEY_BYTES of text, of what occurs in several sets of a span.
+HOT = 1 << 20
+LEAST_HOT = 16
+SURVEY_BYTES = 16_000_000
 #: A shingle in at most so many prefixes pairs them directly.
 FEW = 32
 #: Rows of 8 to 40 bytes that may be broadcast; larger tables are shuffled.
 BROADCAST_ROWS = 500_000
 #: Salts of the further orders.
 FURTHER = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-HUB_ROUNDS = 2
+#: Rounds of comparing each node of a crowded shingle with one hub, at most.
+HUB_ROUNDS = 12
+#: As few pairs of classes as this are compared at once, without further rounds.
+FEW_PAIRS = 100_000
 _PLACES = np.random.default_rng(20240502).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
@@ -100,25 +106,36 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
 
 
 def _surveyed(source: DataFrame) -> DataFrame:
-    """A row (id, row, n, node) for each text, and rows (token, count) of what some megabytes of texts hold several times."""
+    """A row (id, row, n, node) for each text, and rows (token, count) of what a span of texts holds several times."""
+
+    def rows(names: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: dict[int, np.ndarray] = {}
+        size = 0
+
+        def often() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(list(gathered.values())), return_counts=True)
+            token, count = token[count > 1].view(np.int64), count[count > 1]
+            return rows({"token": pa.array(token), "count": pa.array(count, pa.int64())}, token.size)
+
         for batch in batches:
             for low, high, sets in _sets(batch):
-                token, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count >= LOCALLY_HOT
-                token, count = token[often].view(np.int64), count[often]
-                none = pa.nulls(token.size)
-                columns = [
-                    pa.concat_arrays([batch.column(0).slice(low, high - low), none.cast(batch.schema.types[0])]),
-                    pa.concat_arrays([batch.column(2).slice(low, high - low), none.cast(pa.int64())]),
-                    pa.concat_arrays([pa.array([s.size for s in sets], pa.int64()), none.cast(pa.int64())]),
-                    pa.concat_arrays([pa.array([_node(s) for s in sets], pa.int64()), none.cast(pa.int64())]),
-                    pa.concat_arrays([pa.nulls(high - low, pa.int64()), pa.array(token)]),
-                    pa.concat_arrays([pa.nulls(high - low, pa.int64()), pa.array(count, pa.int64())]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n", "node", "token", "count"])
-
+                nodes = [int(_node(s)) for s in sets]
+                own = batch.slice(low, high - low)
+                counts = pa.array([s.size for s in sets], pa.int64())
+                yield rows({"id": own.column(0), "row": own.column(2), "n": counts, "node": pa.array(nodes, pa.int64())}, high - low)
+                gathered.update(zip(nodes, sets, strict=True))
+                size += sum(s.size for s in sets) * 6
+                if size > SURVEY_BYTES:
+                    yield often()
+                    gathered, size = {}, 0
+        if gathered:
+            yield often()
+
+    id_type = to_arrow_type(source.schema["id"].dataType)
+    schema = pa.schema([("id", id_type), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
     kind = source.schema["id"].dataType.simpleString()
     return checkpointed(source.mapInArrow(survey, f"id {kind}, row bigint, n bigint, node bigint, token bigint, count bigint"))
 
@@ -183,6 +200,12 @@ def _needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * F.lit(NUMERATOR) / F.lit(NUMERATOR + DENOMINATOR)).cast("long")
 
 
+def _within_prefixes() -> Column:
+    """Whether a shared shingle is in the prefixes that the sizes of both its nodes leave."""
+    needed = _needed(F.col("n_a"), F.col("n_b"))
+    return (F.col("pos_a") <= F.col("n_a") - needed) & (F.col("pos_b") <= F.col("n_b") - needed)
+
+
 def _near_in_size(n: str, m: str) -> Column:
     return (F.col(n) * DENOMINATOR >= F.col(m) * NUMERATOR) & (F.col(m) * DENOMINATOR >= F.col(n) * NUMERATOR)
 
@@ -238,15 +261,26 @@ def _with_classes(rows: DataFrame, members: DataFrame | None) -> DataFrame:
     return rows.join(members.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
-def _hub_pairs(rows: DataFrame) -> DataFrame:
-    """For each node its likeliest partner among the least nodes of other classes that share a prefix shingle."""
-    hubs = rows.groupBy("token").agg(F.min(F.struct("node", "class", "n")).alias("hub"), F.max("class").alias("last"), F.min("class").alias("first"))
-    hubs = hubs.where("first <> last").select("token", F.col("hub.node").alias("b"), F.col("hub.class").alias("class_b"), F.col("hub.n").alias("n_b"))
+def _hub_pairs(rows: DataFrame, step: int) -> DataFrame:
+    """For each node its likeliest partner among hubs of other classes that share a prefix shingle.
+
+    A shingle's hub is a node of its own, another one in each step: where a
+    group's members are only just similar, each step links a good part of them.
+    """
+    hubs = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("order"), "node", "class", "n")).alias("hub"))
+    hubs = hubs.select("token", F.col("hub.node").alias("b"), F.col("hub.class").alias("class_b"), F.col("hub.n").alias("n_b"))
     pairs = rows.join(hubs, "token").where((F.col("class") != F.col("class_b")) & _near_in_size("n", "n_b"))
     counted = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("common"))
     return counted.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
+def _open(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows of shingles that are still in several classes, their number, and how many pairs of classes they make."""
+    classes = rows.groupBy("token", "class").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
+    found = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.expr("classes * (classes - 1) / 2")), F.lit(0.0)).alias("pairs")).first()
+    return rows.join(classes.select("token"), "token", "left_semi"), found["rows"], int(found["pairs"])
+
+
 def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
     names = {"node": x, "n": f"n_{x}", "pos": f"pos_{x}", "class": f"class_{x}"}
     return rows.select("token", *[F.col(c).alias(names[c]) for c in ("node", "n", "pos", *more)])
@@ -254,7 +288,7 @@ def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
 
 def _few_pairs(rows: DataFrame) -> DataFrame:
     """A row for each two nodes near in size and each shingle of few holders that both have."""
-    return _side(rows, "a").join(_side(rows, "b"), "token").where((F.col("a") < F.col("b")) & _near_in_size("n_a", "n_b"))
+    return _side(rows, "a").join(_side(rows, "b"), "token").where((F.col("a") < F.col("b")) & _near_in_size("n_a", "n_b") & _within_prefixes())
 
 
 def _many_pairs(rows: DataFrame) -> DataFrame:
@@ -264,12 +298,10 @@ def _many_pairs(rows: DataFrame) -> DataFrame:
     members of one class never meet.
     """
     classes = rows.groupBy("token", "class").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = classes.groupBy("token").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last").select("token")
-    classes = classes.join(several, "token", "left_semi")
     left, right = (classes.select("token", F.col("class").alias(f"class_{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ab")
     sized = (F.col("high_a") * DENOMINATOR >= F.col("low_b") * NUMERATOR) & (F.col("high_b") * DENOMINATOR >= F.col("low_a") * NUMERATOR)
     met = left.join(right, "token").where((F.col("class_a") < F.col("class_b")) & sized).select("token", "class_a", "class_b")
-    pairs = met.join(_side(rows, "a", "class"), ["token", "class_a"]).join(_side(rows, "b", "class"), ["token", "class_b"]).where(_near_in_size("n_a", "n_b"))
+    pairs = met.join(_side(rows, "a", "class"), ["token", "class_a"]).join(_side(rows, "b", "class"), ["token", "class_b"]).where(_near_in_size("n_a", "n_b") & _within_prefixes())
     turned = F.col("a") > F.col("b")  # the smaller node is a, as in _few_pairs()
     return pairs.select(
         *[F.when(turned, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")).alias(f"{c}{x}") for x, y in ("ab", "ba") for c in ("", "n_", "pos_")]
@@ -277,16 +309,15 @@ def _many_pairs(rows: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """Links found so far, and the classes that they make."""
+    """The classes (node, component) that the links found so far make."""
 
     def __init__(self) -> None:
-        self.links: DataFrame | None = None
         self.members: DataFrame | None = None
 
     def add(self, found: DataFrame) -> None:
         if not found.isEmpty():
-            self.links = found if self.links is None else self.links.unionByName(found)
-            self.members = checkpointed(connected_components(self.links))
+            known = found if self.members is None else found.unionByName(self.members.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            self.members = checkpointed(connected_components(known))
 
     def across(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, ...) whose ends are in different classes."""
@@ -311,7 +342,7 @@ def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     surveyed = _surveyed(source)
     texts = surveyed.where("n IS NOT NULL").select("id", "row", "n", "node")
-    counts = surveyed.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
+    counts = surveyed.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_HOT)
     frequent = [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(hot).select("token").collect()]
     rows = checkpointed(_shared(_index(source.select("id", "text"), np.array(frequent, dtype=np.int64))))
 
@@ -319,10 +350,17 @@ def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     nodes = checkpointed(least.select("node", F.col("of.id").alias("id"), F.col("of.row").alias("row"), "least"))
     links = _Links()
     many = rows.where("many")
-    for _ in range(HUB_ROUNDS if not many.isEmpty() else 0):
-        links.add(_verified(_hub_pairs(_with_classes(many, links.members)), source, nodes))
-
-    shared = _few_pairs(rows.where("NOT many")).drop("token").unionByName(_many_pairs(_with_classes(many, links.members)))
+    crowd = None
+    for step in range(HUB_ROUNDS):
+        still, n, pairs = _open(_with_classes(many, links.members))
+        if pairs <= max(2 * n, FEW_PAIRS):  # then all of them are compared
+            break
+        if crowd is None:  # their texts are read again in each round
+            wanted = nodes.join(still.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("of_id"), F.col("row").alias("of_row"))
+            crowd = checkpointed(source.join(_small(wanted), (F.col("row") == F.col("of_row")) & F.col("id").eqNullSafe(F.col("of_id"))).select(*source.columns))
+        links.add(_verified(_hub_pairs(still, step), crowd, nodes))
+
+    shared = _few_pairs(rows.where("NOT many")).drop("token").unionByName(_many_pairs(_open(_with_classes(many, links.members))[0]))
     candidates = checkpointed(links.across(_bounded(shared)))
     best = candidates.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links.add(_verified(best, source, nodes))
