@@ -55,7 +55,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     words = Words(raw, offsets, NOT_SPACE)
     h = words.hash
     run = np.zeros(h.size, dtype=np.uint64)
-    for j in range(SHINGLE):
+    for j in range(min(SHINGLE, h.size)):
         run[: h.size - j] += h[j:] * _PLACES[j]
     run = mix(run + np.uint64(SHINGLE))
     out = []

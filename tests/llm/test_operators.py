@@ -138,6 +138,12 @@ def test_jaccard_join_edges(odd, empty):
     assert jaccard_join.similar_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four"])
+def test_jaccard_join_of_a_lone_short_text(spark, text):
+    df = spark.createDataFrame([(7, text)], "doc_id bigint, text string").coalesce(1)
+    assert [tuple(r) for r in jaccard_join.similar_documents(df).collect()] == [(7, 1, 7)]
+
+
 def test_components_against_brute_force(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 560)]
