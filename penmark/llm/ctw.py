@@ -7,10 +7,11 @@ the up to DEPTH codes before. Each binary decision in each context has a
 Krichevsky-Trofimov estimate; the estimates of all depths are mixed by the
 weights that context-tree weighting gives them after the training counts.
 
-The tree may be pruned: extensions of a context that are not kept form one
-further extension together, with an estimate of their joint counts. A decision
-without counts in a context has the estimate of the next shorter one. In both
-cases each decision keeps a proper distribution, and so has the text.
+All contexts are kept. A decision without counts in a context has the estimate
+of the next shorter one, so each decision has a proper distribution, and so has
+the text. Contexts of up to UPPER codes are one table (64**UPPER at most); those
+of more are computed by shards, each with all contexts that end in some UPPER + 1
+codes. Model is the same tree in the memory of one machine, for small corpora.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from penmark.llm.textbytes import LOWER
 CODES = 64
 BITS = 6
 DEPTH = 5
+UPPER = 2
 RARE = CODES - 1
 #: Exact log-gamma of n + 1/2 and of n + 1 for small n; larger ones by Stirling's series.
 _SMALL = 4096
@@ -205,6 +207,102 @@ def padded(raw: np.ndarray, offsets: np.ndarray, code: np.ndarray) -> tuple[np.n
     return codes, at
 
 
+class Upper:
+    """Contexts of up to UPPER codes: what each of the longest has settled, left to longer ones, and estimates itself."""
+
+    def __init__(self, counts: np.ndarray, log_below: np.ndarray):
+        """counts of the codes in each context of UPPER codes; log_below: summed log probability of the trees below (both 64**UPPER x 64)."""
+        below, own = [log_below], [decisions(counts)]
+        for _ in range(UPPER):
+            log_tree = np.logaddexp(log_kt(own[0]), below[0]) - np.log(2)
+            log_tree[own[0].sum(axis=-1) == 0] = 0.0
+            counts = counts.reshape(CODES, -1, CODES).sum(axis=0)
+            below.insert(0, log_tree.reshape(CODES, -1, CODES).sum(axis=0))
+            own.insert(0, decisions(counts))
+        self.settled, self.left, self.estimate = (np.full((1, CODES), x) for x in (0.0, 1.0, 0.5))
+        for n, log in zip(own, below, strict=True):
+            parent = np.arange(len(n)) % len(self.settled)
+            self.estimate = _estimate(n, self.estimate[parent])
+            weight = _weight(n, log)
+            self.settled = self.settled[parent] + self.left[parent] * weight * self.estimate
+            self.left = self.left[parent] * (1 - weight)
+
+
+class Shard:
+    """The contexts of more than UPPER codes, of which a shard has all that end in the same UPPER + 1 codes.
+
+    Only decisions that occur are held: for each depth and each bit of the code,
+    in order, the context before the bits that were decided.
+    """
+
+    def __init__(self, cells: np.ndarray, n: np.ndarray):
+        """cells in order, each once, and their training counts, which may be 0."""
+        self.cells = cells
+        levels = {DEPTH: (cells, n)}
+        for d in range(DEPTH - 1, UPPER - 1, -1):
+            shorter, place = np.unique(levels[d + 1][0] & ((1 << BITS * (d + 1)) - 1), return_inverse=True)
+            levels[d] = shorter, np.bincount(place, weights=levels[d + 1][1], minlength=shorter.size).astype(np.int64)
+        self.upper_cells, self.upper_n = levels[UPPER]
+        self.bits = [{d: self._decided(*levels[d], bit) for d in range(UPPER + 1, DEPTH + 1)} for bit in range(BITS)]
+        self.parent = [
+            {d: np.searchsorted(of[d - 1][0], self._shorter(of[d][0], d, bit)) for d in range(UPPER + 2, DEPTH + 1)} for bit, of in enumerate(self.bits)
+        ]
+        self.below: list[dict[int, np.ndarray]] = [{} for _ in range(BITS)]
+
+    @staticmethod
+    def _decided(cells: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        key, place = np.unique(cells >> (BITS - bit), return_inverse=True)
+        one = cells >> (BITS - 1 - bit) & 1
+        return key, np.bincount(place * 2 + one, weights=n, minlength=2 * key.size).astype(np.int64).reshape(-1, 2)
+
+    @staticmethod
+    def _shorter(key: np.ndarray, depth: int, bit: int) -> np.ndarray:
+        return key & ((1 << BITS * (depth - 1) + bit) - 1)
+
+    def _upper(self, bit: int) -> np.ndarray:
+        """For each decision at the first depth of the shard, its place in the tables of the upper contexts."""
+        key = self._shorter(self.bits[bit][UPPER + 1][0], UPPER + 1, bit)
+        return (key >> bit) * CODES + (1 << bit) + (key & ((1 << bit) - 1))
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the tables of Upper, count of the code and log probability of the trees below, in any order."""
+        place, log_below = [], []
+        for bit, of in enumerate(self.bits):
+            log_tree = log_kt(of[DEPTH][1])
+            for d in range(DEPTH - 1, UPPER, -1):
+                n = of[d][1]
+                self.below[bit][d] = np.bincount(self.parent[bit][d + 1], weights=log_tree, minlength=len(n))
+                log_tree = np.where(n.sum(axis=-1) > 0, np.logaddexp(log_kt(n), self.below[bit][d]) - np.log(2), 0.0)
+            at, where = np.unique(self._upper(bit), return_inverse=True)
+            place.append(at)
+            log_below.append(np.bincount(where, weights=log_tree, minlength=at.size))
+        trees = sum(x.size for x in place)
+        return (
+            np.concatenate([self.upper_cells, *place]), np.concatenate([self.upper_n, np.zeros(trees, dtype=np.int64)]),
+            np.concatenate([np.zeros(self.upper_cells.size), *log_below]),
+        )
+
+    def log2(self, upper: Upper) -> np.ndarray:
+        """log2 probability of each cell's code in its context."""
+        self.summed()
+        total = np.zeros(self.cells.size)
+        for bit, of in enumerate(self.bits):
+            at = self._upper(bit)
+            settled, left, estimate = upper.settled.ravel()[at], upper.left.ravel()[at], upper.estimate.ravel()[at]
+            for d in range(UPPER + 1, DEPTH):
+                if d > UPPER + 1:
+                    settled, left, estimate = (x[self.parent[bit][d]] for x in (settled, left, estimate))
+                n = of[d][1]
+                estimate = _estimate(n, estimate)
+                weight = _weight(n, self.below[bit][d])
+                settled, left = settled + left * weight * estimate, left * (1 - weight)
+            last = self.parent[bit][DEPTH]
+            one = settled[last] + left[last] * _estimate(of[DEPTH][1], estimate[last])
+            one = one[np.searchsorted(of[DEPTH][0], self.cells >> (BITS - bit))]
+            total += np.log2(np.where(self.cells >> (BITS - 1 - bit) & 1, one, 1 - one))
+        return total
+
+
 def cells(raw: np.ndarray, offsets: np.ndarray, code: np.ndarray) -> np.ndarray:
     """For each byte and each text's end, its code below the DEPTH codes before it: the oldest in the highest bits."""
     codes, at = padded(raw, offsets, code)

@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 from penmark.llm import ctw
 from penmark.llm.blocks import BLOCK_BYTES, placed
 from penmark.llm.session import checkpointed, remainder, table
-from penmark.llm.textbytes import LOWER, NOT_SPACE, Words, pieces, string_buffer
+from penmark.llm.textbytes import LOWER, NOT_SPACE, Words, mix, pieces, string_buffer
 
 PIECE_BYTES = 750_000
 #: A task's counts are merged after so many new ones.
 MERGED_GRAMS = 1_000_000
-#: Contexts of more than three codes that the model has at most: 64 floats each.
-MAX_CONTEXTS = 1 << 17
 #: Hash of the token that ends each text; no word hashes to it but by chance.
 END = np.int64(0)
 
@@ -34,6 +32,44 @@ def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield raw[part[0] : part[-1]], part - part[0]
 
 
+class _Tally:
+    """Counts by cell, merged whenever MERGED_GRAMS new ones are there."""
+
+    def __init__(self) -> None:
+        self.cells, self.counts, self.new = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, cell: np.ndarray, n: np.ndarray) -> None:
+        self.cells.append(cell)
+        self.counts.append(n)
+        self.new += cell.size
+        if self.new > MERGED_GRAMS:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct cells in order, and the sum of each."""
+        cell, place = np.unique(np.concatenate(self.cells), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate(self.counts), minlength=cell.size).astype(np.int64)
+        self.cells, self.counts, self.new = [cell], [n], 0
+        return cell, n
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=kind)
+
+
+def _packed_cells(cell: np.ndarray) -> bytes:
+    """Cells in order, as their differences."""
+    return _packed(np.diff(cell, prepend=0))
+
+
+def _unpacked_cells(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(packed, np.int64))
+
+
 def byte_histogram(texts: DataFrame) -> np.ndarray:
     """Counts of the 256 bytes over the first column, A-Z lower-cased."""
 
@@ -50,13 +86,8 @@ def byte_histogram(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _kept_contexts(grams: DataFrame, max_contexts: int) -> DataFrame:
-    """(depth, context, code, n) of the contexts that the tree keeps.
-
-    All contexts of up to three codes are kept (64**3 at most). Of longer ones
-    those are kept that occur at least k times, k being the least power of two
-    that leaves `max_contexts` of them or fewer.
-    """
+def _levels(grams: DataFrame) -> DataFrame:
+    """(depth, context, code, n) of all contexts, from counts of cells."""
     context, code = F.shiftright("cell", ctw.BITS), F.col("cell").bitwiseAND(ctw.CODES - 1).cast("int")
     level = grams.select(context.alias("context"), code.alias("code"), "n")
     levels = [level]
@@ -64,51 +95,29 @@ def _kept_contexts(grams: DataFrame, max_contexts: int) -> DataFrame:
         shorter = F.col("context").bitwiseAND(F.lit((1 << ctw.BITS * depth) - 1))
         level = level.groupBy(shorter.alias("context"), "code").agg(F.sum("n").alias("n"))
         levels.insert(0, level)
-    deep = range(3, ctw.DEPTH)
-    totals = [levels[i].groupBy("context").agg(F.sum("n").alias("total")).select(F.lit(i + 1).alias("depth"), "context", "total") for i in deep]
-    totals = checkpointed(reduce(DataFrame.unionByName, totals))
-    sizes = {r["size"]: r["n"] for r in totals.groupBy(F.floor(F.log2("total")).alias("size")).agg(F.count("*").alias("n")).collect()}
-    least = 0
-    while sum(n for size, n in sizes.items() if size >= least) > max_contexts:
-        least += 1
-    kept = totals.where(F.col("total") >= 2**least)
-    for i in deep:
-        levels[i] = levels[i].join(kept.where(F.col("depth") == i + 1).select("context"), "context", "left_semi")
     named = [rows.select(F.lit(i + 1).alias("depth"), "context", "code", "n") for i, rows in enumerate(levels)]
     return checkpointed(reduce(DataFrame.unionByName, named))
 
 
-def train(texts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> ctw.Model:
-    """Fits the context tree to the first column, over all its rows.
+def train(texts: DataFrame) -> ctw.Model:
+    """Fits the context tree to the first column, over all its rows, as a model in memory.
 
     Spark sums the counts of all contexts; the subtree below each last code is
-    one task, whose size `max_contexts` bounds, as it bounds the model: a row
-    of 64 floats for each kept context.
+    one task. The model has a row of 64 floats for each context, so this is for
+    small corpora; lm_scores() computes the same probabilities by shards.
     """
     code, rare = ctw.byte_codes(byte_histogram(texts))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, counts, gathered = [], [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            cell, place = np.unique(np.concatenate(cells), return_inverse=True)
-            return cell, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-
+        tally = _Tally()
         for batch in batches:
             for raw, offsets in _parts(batch.column(0)):
-                cell, n = np.unique(ctw.cells(raw, offsets, code), return_counts=True)
-                cells.append(cell)
-                counts.append(n)
-                gathered += cell.size
-                if gathered > MERGED_GRAMS:
-                    cell, n = merged()
-                    cells, counts, gathered = [cell], [n], 0
-        if cells:
-            cell, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+                tally.add(*np.unique(ctw.cells(raw, offsets, code), return_counts=True))
+        cell, n = tally.merged()
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
     grams = checkpointed(texts.mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")))
-    kept = _kept_contexts(grams, max_contexts).withColumn("last", F.col("context").bitwiseAND(ctw.CODES - 1))
+    kept = _levels(grams).withColumn("last", F.col("context").bitwiseAND(ctw.CODES - 1))
 
     def subtree(rows: pa.Table) -> ctw.Subtree:
         return ctw.Subtree(*(rows.column(c).to_numpy() for c in ("depth", "context", "code", "n")))
@@ -148,7 +157,6 @@ def lm_scores(
     text_col: str = "text",
     folds: int = 7,
     held_out_fold: int = 2,
-    max_contexts: int = MAX_CONTEXTS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Scores every text by models of the training texts (crc32 of the id modulo `folds` is not `held_out_fold`).
@@ -160,11 +168,18 @@ def lm_scores(
     with a null id is scored, never learnt from, and not held out. Repeated rows
     count each for itself. Without training rows both models are uniform.
     Other columns are not read.
+
+    The tree has every context of the training texts. Each block of texts lists
+    its distinct cells (a code below its context) by shard of the context's last
+    codes; a shard sums them over all blocks, and after the short contexts were
+    put together it returns the log probability of each cell to its blocks.
     """
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     training = source.where(F.col("id").isNotNull() & (remainder("id", folds) != held_out_fold))
-    model = spark.sparkContext.broadcast(train(training.select(F.coalesce("text", F.lit(""))), max_contexts))
+    histogram = byte_histogram(training.select(F.coalesce("text", F.lit(""))))
+    code, rare = ctw.byte_codes(histogram)
+    shards = max(1, -(-int(histogram.sum()) // block_bytes))
 
     texts = placed(source, "id", "text", block_bytes)
     texts = texts.withColumn("fold", remainder("id", folds)).select("block", "id", "fold", "text")
@@ -181,34 +196,82 @@ def lm_scores(
                 yield low, i + 1, np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
                 own, size, low = [], 0, i + 1
 
-    def block_words(rows: pa.Table) -> pa.Table:
+    def block_counts(rows: pa.Table) -> pa.Table:
         fold = rows.column("fold").to_numpy()
         learnt = (fold >= 0) & (fold != held_out_fold)
         words, counts = [np.array([END])], [np.array([learnt.sum()])]
+        tally = _Tally()
         for low, high, raw, offsets in opened(rows):
             found = Words(raw, offsets, NOT_SPACE)
             word, place = np.unique(found.hash.view(np.int64), return_inverse=True)
             words.append(word)
             counts.append(np.bincount(place, weights=learnt[low:high][found.text], minlength=word.size))
+            cell, own = ctw.cells(raw, offsets, code), np.repeat(learnt[low:high], np.diff(offsets) + 1)
+            tally.add(*np.unique(cell[own], return_counts=True))
+            other = np.unique(cell[~own])
+            tally.add(other, np.zeros(other.size, dtype=np.int64))
         word, place = np.unique(np.concatenate(words), return_inverse=True)
         n = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-        block = np.full(word.size, rows.column("block")[0].as_py(), dtype=np.int32)
-        return pa.table({"block": block, "word": word, "n": n})
 
-    words = texts.groupBy("block").applyInArrow(block_words, "block int, word bigint, n bigint")
+        cell, times = tally.merged()
+        last = cell >> ctw.BITS & ((1 << ctw.BITS * (ctw.UPPER + 1)) - 1)
+        shard = (mix(last.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        shard, first = np.unique(shard[order], return_index=True)
+        parts = list(zip(np.split(cell[order], first[1:]), np.split(times[order], first[1:]), strict=True))
+        block = np.full(word.size + shard.size, rows.column("block")[0].as_py(), dtype=np.int32)
+        return pa.table({
+            "block": block, "word": pa.concat_arrays([pa.array(word), pa.nulls(shard.size, pa.int64())]), "n": pa.concat_arrays([pa.array(n), pa.nulls(shard.size, pa.int64())]),
+            "shard": pa.concat_arrays([pa.nulls(word.size, pa.int32()), pa.array(shard)]),
+            "cells": pa.array([None] * word.size + [_packed_cells(c) for c, _ in parts], pa.binary()),
+            "times": pa.array([None] * word.size + [_packed(t) for _, t in parts], pa.binary()),
+        })
+
+    listed = checkpointed(texts.groupBy("block").applyInArrow(block_counts, "block int, word bigint, n bigint, shard int, cells binary, times binary"))
+    words = listed.where("word IS NOT NULL").select("block", "word", "n")
     totals = checkpointed(words.groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")))
     seen = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct")).first()
     n_train, distinct = seen["tokens"], seen["distinct"]
     known = totals.select(F.explode("blocks").alias("block"), "word", "n")
 
+    by_shard = listed.where("shard IS NOT NULL").select("block", "shard", "cells", "times").groupBy("shard")
+
+    def shard_of(rows: pa.Table) -> ctw.Shard:
+        tally = _Tally()
+        for cell, times in zip(rows.column("cells"), rows.column("times"), strict=True):
+            tally.add(_unpacked_cells(cell.as_py()), _unpacked(times.as_py(), np.int64))
+        return ctw.Shard(*tally.merged())
+
+    def summed(rows: pa.Table) -> pa.Table:
+        place, n, log_below = shard_of(rows).summed()
+        return pa.table({"place": place, "n": n, "log_below": log_below})
+
+    short = by_shard.applyInArrow(summed, "place bigint, n bigint, log_below double").groupBy("place").agg(F.sum("n").alias("n"), F.sum("log_below").alias("log_below")).toArrow()
+    table_size = ctw.CODES ** (ctw.UPPER + 1)
+    counts, log_below = np.zeros(table_size, dtype=np.int64), np.zeros(table_size)
+    place = short.column("place").to_numpy()
+    counts[place], log_below[place] = short.column("n").to_numpy(), short.column("log_below").to_numpy()
+    upper = spark.sparkContext.broadcast(ctw.Upper(counts.reshape(-1, ctw.CODES), log_below.reshape(-1, ctw.CODES)))
+
+    def returned(rows: pa.Table) -> pa.Table:
+        shard = shard_of(rows)
+        log2 = shard.log2(upper.value).astype(np.float32)
+        packed = [_packed(log2[np.searchsorted(shard.cells, _unpacked_cells(cell.as_py()))]) for cell in rows.column("cells")]
+        return pa.table({"block": rows.column("block"), "cells": rows.column("cells"), "log2": pa.array(packed, pa.binary())})
+
+    known = known.unionByName(by_shard.applyInArrow(returned, "block int, cells binary, log2 binary"), allowMissingColumns=True)
+
     schema = (
         f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
     )
 
     def scored(rows: pa.Table, known: pa.Table) -> pa.Table:
+        trees, known = known.filter(pc.field("cells").is_valid()), known.filter(pc.field("word").is_valid())
         order = np.argsort(known.column("word").to_numpy())
         vocabulary, counts = known.column("word").to_numpy()[order], known.column("n").to_numpy()[order]
-        tree = model.value
+        cells = np.concatenate([_unpacked_cells(x.as_py()) for x in trees.column("cells")])
+        order = np.argsort(cells)
+        cells, values = cells[order], np.concatenate([_unpacked(x.as_py(), np.float32) for x in trees.column("log2")])[order]
         out = {name: [] for name in ("n_tokens", "n_known", "base", "log2", "size")}
         for _, _, raw, offsets in opened(rows):
             n = len(offsets) - 1
@@ -216,7 +279,9 @@ def lm_scores(
             ends = counts[np.searchsorted(vocabulary, END)]
             c = counts[np.searchsorted(vocabulary, found.hash.view(np.int64))]
             base = np.bincount(found.text, weights=np.log10(c + 1), minlength=n) + np.log10(ends + 1)
-            log2 = tree.score(raw, offsets)
+            log2 = np.bincount(
+                np.repeat(np.arange(n), np.diff(offsets) + 1), weights=values[np.searchsorted(cells, ctw.cells(raw, offsets, code))], minlength=n
+            ) + np.bincount(np.repeat(np.arange(n), np.diff(offsets)), weights=rare[raw], minlength=n)
             out["n_tokens"].append(found.counts + 1)
             out["n_known"].append(np.bincount(found.text[c > 0], minlength=n) + int(ends > 0))
             out["base"].append(base - (found.counts + 1) * np.log10(n_train + distinct + 1))

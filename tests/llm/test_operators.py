@@ -242,6 +242,23 @@ def test_lm_scores_base_against_brute_force(odd, empty, documents):
     assert lm_score.lm_scores(empty).count() == 0
 
 
+def test_lm_scores_use_every_context(spark):
+    """150,000 random bytes have more than 131,072 contexts of four and five codes; the tree in memory keeps them all too."""
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789-+*/=()[]<>,.;:!?&%$ \n")
+    rows = [(i, "".join(rng.choice(letters, 2500))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = lm_score.train(df.where(session.remainder("doc_id", 7) != 2).select("text"))
+    raw, offsets = lm_score.string_buffer(pa.array([t for _, t in rows]))
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(df, block_bytes=40_000).collect()}
+    learnt, at = lm_score.string_buffer(pa.array([t for i, t in rows if fold(i, 7) != 2]))
+    contexts = np.unique(ctw.cells(learnt, at, model.code) >> ctw.BITS)
+    sizes = [np.unique(contexts & ((1 << ctw.BITS * d) - 1)).size for d in range(ctw.DEPTH + 1)]
+    assert len(got) == len(rows) and sizes[4] + sizes[5] > 1 << 17 and len(model.log2) == sum(sizes)
+    wanted = model.score(raw, offsets)
+    assert np.allclose([got[i]["score"] for i, _ in rows], wanted * np.log10(2), rtol=1e-5)
+
+
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD, PHONE = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
 
