@@ -16,11 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penmark.llm.memory import give_back
 from penmark.llm.session import total_bytes
 
 BLOCK_BYTES = 16_000_000
-#: Words of a block that one task packs into one row.
-CHUNK_WORDS = 50_000
+#: Lines of a block that make a chunk, and lines of all blocks that a task holds at most.
+CHUNK_LINES = 50_000
+PENDING_LINES = 400_000
 
 
 def placed(documents: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
@@ -37,6 +39,7 @@ def placed(documents: DataFrame, id_col: str, text_col: str, block_bytes: int) -
         for batch in batches:
             texts = [squeeze.compress(t.as_buffer()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["block", "id", "text"])
+        give_back()
 
     return source.mapInArrow(packed, f"block int, id {source.schema['id'].dataType.simpleString()}, text binary")
 
@@ -54,16 +57,22 @@ class Chunks:
 
     def __init__(self) -> None:
         self.lines: dict[int, list[str]] = {}
+        self.pending = 0
 
     def add(self, block: int, line: str) -> Iterator[pa.RecordBatch]:
         own = self.lines.setdefault(block, [])
         own.append(line)
-        if len(own) >= CHUNK_WORDS:
+        self.pending += 1
+        if len(own) >= CHUNK_LINES:
+            self.pending -= len(own)
             yield self._batch({block: self.lines.pop(block)})
+        elif self.pending >= PENDING_LINES:
+            yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         for block in list(self.lines):
             yield self._batch({block: self.lines.pop(block)})
+        self.pending = 0
 
     @staticmethod
     def _batch(lines: dict[int, list[str]]) -> pa.RecordBatch:
@@ -75,4 +84,4 @@ class Chunks:
 def lines_of(chunks: pa.Table) -> Iterable[str]:
     expand = zstandard.ZstdDecompressor()
     for packed in chunks.column("lines"):
-        yield from expand.decompress(packed.as_py()).decode().split("\n")
+        yield from expand.decompress(packed.as_py()).decode().split("\n")  # a word holds no white space

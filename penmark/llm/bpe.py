@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split in Spark into the pieces that the tokenizer never merges
-across; each distinct piece is encoded once, its ids are joined with the
-vocabulary for their piece strings, and the ids come back to each text by the
-position of its words.
+Texts are split in Spark into the words that the tokenizer never merges across;
+each distinct word is encoded once (once for every GROUP_BLOCKS blocks of
+texts), and its ids come back to each text by the position of its words. A
+text is decoded from its ids by a join with the vocabulary, which has a fixed
+size and is therefore sent to all workers.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penmark.llm.blocks import BLOCK_BYTES, Chunks, lines_of, placed, unpacked
+from penmark.llm.memory import give_back
 from penmark.llm.session import table
 
 #: Results of a task are handed on in batches of about this many tokens.
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
+#: A row of the distinct-word table lists the blocks of one group, so its length is bounded.
+GROUP_BLOCKS = 4096
 
 
 def default_tokenizer() -> str:
@@ -95,6 +99,14 @@ def _encoder(tokenizer_json: str):
     return encode
 
 
+def pieces_by_id(tokenizer_json: str) -> np.ndarray:
+    """The piece of each id, special tokens included; null for ids that the vocabulary lacks."""
+    vocabulary = _tokenizer(tokenizer_json).get_vocab(with_added_tokens=True)
+    out = np.full(max(vocabulary.values()) + 1, None, dtype=object)
+    out[list(vocabulary.values())] = list(vocabulary)
+    return out
+
+
 def pieces_table(spark: SparkSession, tokenizer_json: str) -> DataFrame:
     """(id, piece) of the whole vocabulary, special tokens included: a fixed number of rows."""
     vocabulary = _tokenizer(tokenizer_json).get_vocab(with_added_tokens=True)
@@ -133,51 +145,33 @@ def encode_texts(
         for text in unpacked(rows.column("text")):
             seen.update(split.words(text))
         block = rows.column("block")[0].as_py()
-        return pa.table({"word": pa.array(list(seen), pa.string()), "block": pa.array([block] * len(seen), pa.int32())})
+        out = pa.table({"word": pa.array(seen, pa.string()), "block": np.full(len(seen), block, dtype=np.int32)})
+        give_back()
+        return out
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(sent.value)
+        encode, chunks = _encoder(sent.value), Chunks()
         for batch in batches:
-            ids = [encode(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "blocks", "ids"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The rows of a word stand together, in the order of its ids.
-        chunks, line, blocks = Chunks(), [], []
-        for batch in batches:
-            for word, own, pos, number, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if pos == 0:
-                    for block in blocks:
-                        yield from chunks.add(block, " ".join(line))
-                    line, blocks = [word], own
-                line += [str(number), piece]
-        for block in blocks:
-            yield from chunks.add(block, " ".join(line))
+            for word, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                line = " ".join([word, *map(str, encode(word))])
+                for block in blocks:
+                    yield from chunks.add(block, line)
         yield from chunks.rest()
+        give_back()
 
     words = texts.groupBy("block").applyInArrow(distinct_words, "word string, block int")
-    table_of_words = words.groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    with_pieces = (
-        table_of_words.mapInArrow(encoded, "word string, blocks array<int>, ids array<int>")
-        .select("word", "blocks", F.posexplode("ids").alias("pos", "id"))
-        .join(F.broadcast(pieces_table(spark, tokenizer_json)), "id", "left")
-        .select("word", F.when(F.col("pos") == 0, F.col("blocks")).alias("blocks"), "pos", "id", "piece")
-    )
-    known = with_pieces.mapInArrow(packed, Chunks.SCHEMA)
+    table_of_words = words.groupBy("word", F.floor(F.col("block") / GROUP_BLOCKS).alias("group")).agg(F.collect_set("block").alias("blocks"))
+    known = table_of_words.select("word", "blocks").mapInArrow(encoded, Chunks.SCHEMA)
 
     def put_together(texts: pa.Table, chunks: pa.Table) -> Iterator[tuple]:
         ids: dict[str, bytes] = {}
-        pieces: dict[str, str] = {}
         for line in lines_of(chunks):
             word, *rest = line.split(" ")
-            ids[word] = np.array(rest[::2], dtype="<u4").tobytes()
-            pieces[word] = " ".join(rest[1::2])
-        split = Splitter(sent.value)
+            ids[word] = np.array(rest, dtype="<u4").tobytes()
+        split, pieces = Splitter(sent.value), pieces_by_id(sent.value)
         for key, text in zip(texts.column("id").to_pylist(), unpacked(texts.column("text")), strict=True):
-            words = split.words(text)
-            coded = b"".join([ids[w] for w in words])
-            decoded = " ".join([pieces[w] for w in words])
-            yield key, coded, decoded
+            coded = b"".join([ids[w] for w in split.words(text)])
+            yield key, coded, " ".join(pieces[np.frombuffer(coded, dtype="<u4")])
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_decoded]
     types = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
@@ -209,6 +203,8 @@ def encode_texts(
                 rows, tokens = [], 0
         if rows:
             parts.append(flush())
+        del rows
+        give_back()
         return pa.concat_tables(parts)
 
     return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(results, types).withColumnRenamed("id", id_col)

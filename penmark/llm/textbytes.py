@@ -11,8 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Workers are reused: what a task frees should go back to the system, not stay in Arrow's own pool.
-pa.set_memory_pool(pa.system_memory_pool())
+from penmark.llm import memory  # noqa: F401
 
 #: Multiplier of the polynomial word hash (odd, hence invertible modulo 2**64).
 _MULTIPLIER = 0x9E3779B97F4A7C15
