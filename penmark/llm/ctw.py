@@ -1,33 +1,33 @@
 """Context-tree weighting over binary-decomposed byte contexts.
 
-Bytes are recoded by frequency into 64 codes of six binary decisions: 0 ends a
-text (and stands before its start), 1 to 62 are the most frequent bytes, 63 is
-any other byte, which is told apart by a context-free estimate. A context is
-the up to DEPTH codes before. Each binary decision in each context has a
-Krichevsky-Trofimov estimate; the estimates of all depths are mixed by the
-weights that context-tree weighting gives them after the training counts.
+A text is its UTF-8 bytes with A-Z lower-cased, then END, a byte that UTF-8
+never uses and that also stands before the start. Each byte is eight binary
+decisions. A context is the up to DEPTH bytes before. Each decision in each
+context has a Krichevsky-Trofimov estimate; the estimates of all depths are
+mixed by the weights that context-tree weighting gives them after the training
+counts.
 
 All contexts are kept. A decision without counts in a context has the estimate
 of the next shorter one, so each decision has a proper distribution, and so has
-the text. Contexts of up to UPPER codes are one table (64**UPPER at most); those
-of more are computed by shards, each with all contexts that end in some UPPER + 1
-codes. Model is the same tree in the memory of one machine, for small corpora.
+the text. Contexts of up to UPPER bytes are one table (256**(UPPER + 1) cells at
+most); those of more are computed by shards, each with all contexts that end in
+some UPPER + 1 bytes. A cell is a byte below the DEPTH bytes before it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from math import lgamma
 
 import numpy as np
 
 from penmark.llm.textbytes import LOWER
 
-CODES = 64
-BITS = 6
+BITS = 8
+CODES = 1 << BITS
 DEPTH = 5
-UPPER = 2
-RARE = CODES - 1
+UPPER = 1
+#: Ends a text and stands before its start; never part of UTF-8.
+END = 255
 #: Exact log-gamma of n + 1/2 and of n + 1 for small n; larger ones by Stirling's series.
 _SMALL = 4096
 _HALF = np.array([lgamma(n + 0.5) for n in range(_SMALL)])
@@ -46,7 +46,7 @@ def log_kt(n: np.ndarray) -> np.ndarray:
 
 
 def decisions(counts: np.ndarray) -> np.ndarray:
-    """Counts of the codes (contexts x 64) as counts of 63 binary decisions: contexts x 64 x 2, decision 0 unused.
+    """Counts of the codes (contexts x 256) as counts of 255 binary decisions: contexts x 256 x 2, decision 0 unused.
 
     Decision 1 is the first bit of a code, 2 and 3 the second, and so on.
     """
@@ -56,15 +56,6 @@ def decisions(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def code_log2(of_one: np.ndarray) -> np.ndarray:
-    """log2 probability of each code from the probability of a one in each decision."""
-    total = np.zeros((len(of_one), 1))
-    for level in range(BITS):
-        one = of_one[:, 1 << level : 2 << level]
-        total = (total[..., None] + np.stack([np.log2(1 - one), np.log2(one)], axis=-1)).reshape(len(one), -1)
-    return total
-
-
 def _estimate(n: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
     total = n.sum(axis=-1)
     return np.where(total > 0, (n[..., 1] + 0.5) / (total + 1), otherwise)
@@ -75,143 +66,26 @@ def _weight(n: np.ndarray, log_below: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(log_below - log_kt(n), -700, 700)))
 
 
-class Level:
-    """The kept contexts of one depth in order, with the counts of their decisions."""
-
-    def __init__(self, context: np.ndarray, code: np.ndarray, n: np.ndarray):
-        self.context, place = np.unique(context, return_inverse=True)
-        counts = np.zeros((self.context.size, CODES), dtype=np.int64)
-        np.add.at(counts, (place, code), n)
-        self.counts, self.n = counts, decisions(counts)
-
-
-class Subtree:
-    """The contexts that end in one code, level by level from one code on."""
-
-    def __init__(self, depth: np.ndarray, context: np.ndarray, code: np.ndarray, n: np.ndarray):
-        self.levels = [Level(context[depth == d], code[depth == d], n[depth == d]) for d in range(1, DEPTH + 1)]
-        self.parent = [None] + [
-            np.searchsorted(self.levels[d - 1].context, self.levels[d].context & ((1 << BITS * d) - 1)) for d in range(1, DEPTH)
-        ]
-        log_tree = log_kt(self.levels[-1].n)
-        self.below: list[np.ndarray | None] = [None] * DEPTH
-        self.rest: list[np.ndarray | None] = [None] * DEPTH
-        for d in range(DEPTH - 2, -1, -1):
-            own = self.levels[d].n
-            kept, below = np.zeros_like(own), np.zeros(own.shape[:2])
-            np.add.at(kept, self.parent[d + 1], self.levels[d + 1].n)
-            np.add.at(below, self.parent[d + 1], log_tree)
-            self.rest[d] = own - kept
-            self.below[d] = below + log_kt(self.rest[d])
-            log_tree = np.logaddexp(log_kt(own), self.below[d]) - np.log(2)
-            log_tree[own.sum(axis=-1) == 0] = 0.0
-        self.log_tree = log_tree.sum(axis=0)
-        self.counts = self.levels[0].counts.sum(axis=0)
-
-    def tables(self, root: Root) -> list[np.ndarray]:
-        """For each level, log2 probabilities (contexts x 64) where that context is the longest kept one."""
-        out = []
-        settled, left, shorter = root.weight * root.estimate, 1 - root.weight, root.estimate
-        for d, level in enumerate(self.levels):
-            if d:
-                settled, left, shorter = (x[self.parent[d]] for x in (settled, left, shorter))
-            own = _estimate(level.n, shorter)
-            if d == DEPTH - 1:
-                out.append(code_log2(settled + left * own))
-            else:
-                weight = _weight(level.n, self.below[d])
-                rest = _estimate(self.rest[d], own)
-                out.append(code_log2(settled + left * (weight * own + (1 - weight) * rest)))
-                settled, left, shorter = settled + left * weight * own, left * (1 - weight), own
-        return [x.astype(np.float32) for x in out]
-
-
-@dataclass
-class Root:
-    """What is mixed at depth 0: the estimate of each decision and its weight against longer contexts."""
-
-    estimate: np.ndarray
-    weight: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray, log_below: np.ndarray) -> Root:
-        """counts of all codes; log_below: summed log probability of the trees of all one-code contexts."""
-        n = decisions(counts[None])[0]
-        return cls(_estimate(n, np.full(CODES, 0.5)), _weight(n, log_below))
-
-
-@dataclass
-class Model:
-    """The code of each byte, the cost of rare bytes, and the tree: extensions and probabilities of each context.
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and for each element the place of its value."""
+    new = np.ones(ordered.size, dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return ordered[new], np.cumsum(new) - 1
 
-    longer[i, c] is the context that extends context i by an older code c, or
-    0; log2[i] are the probabilities of the next code where the tree ends at i.
-    """
-
-    code: np.ndarray
-    rare: np.ndarray
-    longer: np.ndarray
-    log2: np.ndarray
 
-    @classmethod
-    def of(cls, code: np.ndarray, rare: np.ndarray, root: Root, levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-        """levels: contexts and their log2 probabilities, for each depth from 1 on."""
-        ordered = [(context[order], table[order]) for context, table in levels for order in [np.argsort(context)]]
-        first = np.cumsum([1, *(len(context) for context, _ in ordered)])
-        longer = np.zeros((first[-2], CODES), dtype=np.int32)
-        for d, (context, _) in enumerate(ordered):
-            parent = np.zeros(context.size, dtype=np.int64)
-            if d:
-                parent = first[d - 1] + np.searchsorted(ordered[d - 1][0], context & ((1 << BITS * d) - 1))
-            longer[parent, context >> (BITS * d)] = first[d] + np.arange(context.size)
-        alone = code_log2(root.estimate[None]).astype(np.float32)
-        return cls(code, rare, longer, np.concatenate([alone, *(table for _, table in ordered)]))
-
-    def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log2 probability of each text and its end."""
-        texts = len(offsets) - 1
-        codes, at = padded(raw, offsets, self.code)
-        node = self.longer[0, codes[at - 1]]
-        alive = node > 0
-        for back in range(2, DEPTH + 1):
-            deeper = self.longer[np.minimum(node, len(self.longer) - 1), codes[at - back]]
-            alive &= deeper > 0
-            node = np.where(alive, deeper, node)
-        owner = np.repeat(np.arange(texts), np.diff(offsets) + 1)
-        log2 = np.bincount(owner, weights=self.log2[node, codes[at]], minlength=texts)
-        return log2 + np.bincount(np.repeat(np.arange(texts), np.diff(offsets)), weights=self.rare[raw], minlength=texts)
-
-
-def byte_codes(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code of each byte by its training count, and log2 probability of each byte among the rare ones."""
-    order = np.argsort(-histogram, kind="stable")
-    code = np.full(256, RARE, dtype=np.int64)
-    code[order[: RARE - 1]] = np.arange(1, RARE)
-    others = order[RARE - 1 :]
-    rare = np.zeros(256)
-    rare[others] = np.log2((histogram[others] + 0.5) / (histogram[others].sum() + 0.5 * others.size))
-    return code[LOWER], rare[LOWER]
-
-
-def padded(raw: np.ndarray, offsets: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of the texts, each after DEPTH codes 0 and before one, and the places of all but the former."""
-    n = len(offsets) - 1
-    first = offsets[:-1] + np.arange(n) * (DEPTH + 1)
-    inside = np.ones(raw.size + n * (DEPTH + 1), dtype=bool)
-    for i in range(DEPTH):
-        inside[first + i] = False
-    at = np.flatnonzero(inside)
-    inside[offsets[1:] + np.arange(n) * (DEPTH + 1) + DEPTH] = False
-    codes = np.zeros(inside.size, dtype=np.uint8)
-    codes[inside] = code[raw]
-    return codes, at
+def summed_cells(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells in order, and the sum of each one's counts."""
+    order = np.argsort(cells)
+    cells, n = cells[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if cells.size else np.zeros(0, dtype=np.int64)
+    return cells[first], np.add.reduceat(n, first) if first.size else n[:0]
 
 
 class Upper:
-    """Contexts of up to UPPER codes: what each of the longest has settled, left to longer ones, and estimates itself."""
+    """Contexts of up to UPPER bytes: what each of the longest has settled, left to longer ones, and estimates itself."""
 
     def __init__(self, counts: np.ndarray, log_below: np.ndarray):
-        """counts of the codes in each context of UPPER codes; log_below: summed log probability of the trees below (both 64**UPPER x 64)."""
+        """counts of the bytes in each context of UPPER bytes; log_below: summed log probability of the trees below (both 256**UPPER x 256)."""
         below, own = [log_below], [decisions(counts)]
         for _ in range(UPPER):
             log_tree = np.logaddexp(log_kt(own[0]), below[0]) - np.log(2)
@@ -227,11 +101,18 @@ class Upper:
             self.settled = self.settled[parent] + self.left[parent] * weight * self.estimate
             self.left = self.left[parent] * (1 - weight)
 
+    @classmethod
+    def of(cls, settled: np.ndarray, left: np.ndarray, estimate: np.ndarray) -> Upper:
+        """From its three tables."""
+        out = cls.__new__(cls)
+        out.settled, out.left, out.estimate = settled, left, estimate
+        return out
+
 
 class Shard:
-    """The contexts of more than UPPER codes, of which a shard has all that end in the same UPPER + 1 codes.
+    """The contexts of more than UPPER bytes, of which a shard has all that end in the same UPPER + 1 bytes.
 
-    Only decisions that occur are held: for each depth and each bit of the code,
+    Only decisions that occur are held: for each depth and each bit of the byte,
     in order, the context before the bits that were decided.
     """
 
@@ -240,42 +121,39 @@ class Shard:
         self.cells = cells
         levels = {DEPTH: (cells, n)}
         for d in range(DEPTH - 1, UPPER - 1, -1):
-            shorter, place = np.unique(levels[d + 1][0] & ((1 << BITS * (d + 1)) - 1), return_inverse=True)
-            levels[d] = shorter, np.bincount(place, weights=levels[d + 1][1], minlength=shorter.size).astype(np.int64)
+            levels[d] = summed_cells(levels[d + 1][0] & ((1 << BITS * (d + 1)) - 1), levels[d + 1][1])
         self.upper_cells, self.upper_n = levels[UPPER]
-        self.bits = [{d: self._decided(*levels[d], bit) for d in range(UPPER + 1, DEPTH + 1)} for bit in range(BITS)]
-        self.parent = [
-            {d: np.searchsorted(of[d - 1][0], self._shorter(of[d][0], d, bit)) for d in range(UPPER + 2, DEPTH + 1)} for bit, of in enumerate(self.bits)
-        ]
-        self.below: list[dict[int, np.ndarray]] = [{} for _ in range(BITS)]
-
-    @staticmethod
-    def _decided(cells: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-        key, place = np.unique(cells >> (BITS - bit), return_inverse=True)
-        one = cells >> (BITS - 1 - bit) & 1
-        return key, np.bincount(place * 2 + one, weights=n, minlength=2 * key.size).astype(np.int64).reshape(-1, 2)
+        self.levels = {d: levels[d] for d in range(UPPER + 1, DEPTH + 1)}
 
     @staticmethod
     def _shorter(key: np.ndarray, depth: int, bit: int) -> np.ndarray:
         return key & ((1 << BITS * (depth - 1) + bit) - 1)
 
-    def _upper(self, bit: int) -> np.ndarray:
-        """For each decision at the first depth of the shard, its place in the tables of the upper contexts."""
-        key = self._shorter(self.bits[bit][UPPER + 1][0], UPPER + 1, bit)
-        return (key >> bit) * CODES + (1 << bit) + (key & ((1 << bit) - 1))
+    def _bit(self, bit: int) -> tuple[dict, dict, dict, np.ndarray]:
+        """By depth: decisions with their counts, places among those a byte shorter, log probability of the trees below; and places in Upper's tables."""
+        own, parent, below = {}, {}, {}
+        for d, (cells, n) in self.levels.items():
+            key, place = runs(cells >> (BITS - bit))
+            own[d] = key, np.bincount(place * 2 + (cells >> (BITS - 1 - bit) & 1), weights=n, minlength=2 * key.size).astype(np.int64).reshape(-1, 2)
+            if d > UPPER + 1:
+                parent[d] = np.searchsorted(own[d - 1][0], self._shorter(key, d, bit))
+        log_tree = log_kt(own[DEPTH][1])
+        for d in range(DEPTH - 1, UPPER, -1):
+            n = own[d][1]
+            below[d] = np.bincount(parent[d + 1], weights=log_tree, minlength=len(n))
+            log_tree = np.where(n.sum(axis=-1) > 0, np.logaddexp(log_kt(n), below[d]) - np.log(2), 0.0)
+        below[UPPER] = log_tree
+        key = self._shorter(own[UPPER + 1][0], UPPER + 1, bit)
+        return own, parent, below, (key >> bit) * CODES + (1 << bit) + (key & ((1 << bit) - 1))
 
     def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in the tables of Upper, count of the code and log probability of the trees below, in any order."""
+        """Place in the tables of Upper, count of the byte and log probability of the trees below, in any order."""
         place, log_below = [], []
-        for bit, of in enumerate(self.bits):
-            log_tree = log_kt(of[DEPTH][1])
-            for d in range(DEPTH - 1, UPPER, -1):
-                n = of[d][1]
-                self.below[bit][d] = np.bincount(self.parent[bit][d + 1], weights=log_tree, minlength=len(n))
-                log_tree = np.where(n.sum(axis=-1) > 0, np.logaddexp(log_kt(n), self.below[bit][d]) - np.log(2), 0.0)
-            at, where = np.unique(self._upper(bit), return_inverse=True)
+        for bit in range(BITS):
+            _, _, below, upper = self._bit(bit)
+            at, where = np.unique(upper, return_inverse=True)
             place.append(at)
-            log_below.append(np.bincount(where, weights=log_tree, minlength=at.size))
+            log_below.append(np.bincount(where, weights=below[UPPER], minlength=at.size))
         trees = sum(x.size for x in place)
         return (
             np.concatenate([self.upper_cells, *place]), np.concatenate([self.upper_n, np.zeros(trees, dtype=np.int64)]),
@@ -283,30 +161,38 @@ class Shard:
         )
 
     def log2(self, upper: Upper) -> np.ndarray:
-        """log2 probability of each cell's code in its context."""
-        self.summed()
+        """log2 probability of each cell's byte in its context."""
         total = np.zeros(self.cells.size)
-        for bit, of in enumerate(self.bits):
-            at = self._upper(bit)
+        for bit in range(BITS):
+            own, parent, below, at = self._bit(bit)
             settled, left, estimate = upper.settled.ravel()[at], upper.left.ravel()[at], upper.estimate.ravel()[at]
             for d in range(UPPER + 1, DEPTH):
                 if d > UPPER + 1:
-                    settled, left, estimate = (x[self.parent[bit][d]] for x in (settled, left, estimate))
-                n = of[d][1]
+                    settled, left, estimate = (x[parent[d]] for x in (settled, left, estimate))
+                n = own[d][1]
                 estimate = _estimate(n, estimate)
-                weight = _weight(n, self.below[bit][d])
+                weight = _weight(n, below[d])
                 settled, left = settled + left * weight * estimate, left * (1 - weight)
-            last = self.parent[bit][DEPTH]
-            one = settled[last] + left[last] * _estimate(of[DEPTH][1], estimate[last])
-            one = one[np.searchsorted(of[DEPTH][0], self.cells >> (BITS - bit))]
+            last = parent[DEPTH]
+            one = settled[last] + left[last] * _estimate(own[DEPTH][1], estimate[last])
+            one = one[runs(self.cells >> (BITS - bit))[1]]
             total += np.log2(np.where(self.cells >> (BITS - 1 - bit) & 1, one, 1 - one))
         return total
 
 
-def cells(raw: np.ndarray, offsets: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """For each byte and each text's end, its code below the DEPTH codes before it: the oldest in the highest bits."""
-    codes, at = padded(raw, offsets, code)
+def cells(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The cell of each byte and of each text's end: the oldest byte of the context in the highest bits."""
+    n = len(offsets) - 1
+    first = offsets[:-1] + np.arange(n) * (DEPTH + 1)
+    inside = np.ones(raw.size + n * (DEPTH + 1), dtype=bool)
+    for i in range(DEPTH):
+        inside[first + i] = False
+    at = np.flatnonzero(inside)
+    inside[offsets[1:] + np.arange(n) * (DEPTH + 1) + DEPTH] = False
+    codes = np.full(inside.size, END, dtype=np.uint8)
+    codes[inside] = LOWER[raw]
     cell = np.zeros(at.size, dtype=np.int64)
-    for back in range(DEPTH, 0, -1):
-        cell = cell << BITS | codes[at - back]
-    return cell << BITS | codes[at]
+    for back in range(DEPTH, -1, -1):
+        cell <<= BITS
+        cell |= codes[at - back]
+    return cell

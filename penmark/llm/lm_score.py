@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,44 +12,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penmark.llm import ctw
-from penmark.llm.blocks import BLOCK_BYTES, placed
-from penmark.llm.session import checkpointed, remainder, table
-from penmark.llm.textbytes import LOWER, NOT_SPACE, Words, mix, pieces, string_buffer
-
-PIECE_BYTES = 750_000
+from penmark.llm.blocks import placed
+from penmark.llm.memory import give_back
+from penmark.llm.session import checkpointed, remainder, table, total_bytes
+from penmark.llm.textbytes import NOT_SPACE, Words, mix
+
+#: Texts are counted and scored in pieces of this size.
+PIECE_BYTES = 2_000_000
+BLOCK_BYTES = 16_000_000
 #: A task's counts are merged after so many new ones.
-MERGED_GRAMS = 1_000_000
+MERGED_CELLS = 4_000_000
 #: Hash of the token that ends each text; no word hashes to it but by chance.
 END = np.int64(0)
 
 
-def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bytes and offsets of some megabytes of texts at a time."""
-    raw, offsets = string_buffer(column)
-    for low, high in pieces(offsets, PIECE_BYTES):
-        part = offsets[low : high + 1]
-        yield raw[part[0] : part[-1]], part - part[0]
-
-
 class _Tally:
-    """Counts by cell, merged whenever MERGED_GRAMS new ones are there."""
+    """Counts by key, merged whenever MERGED_CELLS new ones are there."""
 
     def __init__(self) -> None:
-        self.cells, self.counts, self.new = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        self.keys, self.counts, self.new = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
-    def add(self, cell: np.ndarray, n: np.ndarray) -> None:
-        self.cells.append(cell)
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(key)
         self.counts.append(n)
-        self.new += cell.size
-        if self.new > MERGED_GRAMS:
+        self.new += key.size
+        if self.new > MERGED_CELLS:
             self.merged()
 
+    def add_all(self, keys: np.ndarray, counted: bool) -> None:
+        """Counts each key once if `counted`, else as seen only."""
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if keys.size else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, keys.size)) if counted else np.zeros(first.size, dtype=np.int64)
+        self.add(keys[first], n)
+
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct cells in order, and the sum of each."""
-        cell, place = np.unique(np.concatenate(self.cells), return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate(self.counts), minlength=cell.size).astype(np.int64)
-        self.cells, self.counts, self.new = [cell], [n], 0
-        return cell, n
+        """The distinct keys in order, and the sum of each."""
+        key, n = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.keys, self.counts = [], []
+        key, n = ctw.summed_cells(key, n)
+        self.keys, self.counts, self.new = [key], [n], 0
+        return key, n
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -61,93 +63,19 @@ def _unpacked(packed: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=kind)
 
 
-def _packed_cells(cell: np.ndarray) -> bytes:
-    """Cells in order, as their differences."""
-    return _packed(np.diff(cell, prepend=0))
+def _packed_keys(key: np.ndarray) -> bytes:
+    """Keys in order, as their differences."""
+    return _packed(np.diff(key, prepend=np.int64(0)))
 
 
-def _unpacked_cells(packed: bytes) -> np.ndarray:
+def _unpacked_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(packed, np.int64))
 
 
-def byte_histogram(texts: DataFrame) -> np.ndarray:
-    """Counts of the 256 bytes over the first column, A-Z lower-cased."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
-        for batch in batches:
-            total += np.bincount(LOWER[string_buffer(batch.column(0))[0]], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
-
-    rows = texts.mapInArrow(counted, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(256, dtype=np.int64)
-    for row in rows:
-        out[row["byte"]] = row["n"]
-    return out
-
-
-def _levels(grams: DataFrame) -> DataFrame:
-    """(depth, context, code, n) of all contexts, from counts of cells."""
-    context, code = F.shiftright("cell", ctw.BITS), F.col("cell").bitwiseAND(ctw.CODES - 1).cast("int")
-    level = grams.select(context.alias("context"), code.alias("code"), "n")
-    levels = [level]
-    for depth in range(ctw.DEPTH - 1, 0, -1):
-        shorter = F.col("context").bitwiseAND(F.lit((1 << ctw.BITS * depth) - 1))
-        level = level.groupBy(shorter.alias("context"), "code").agg(F.sum("n").alias("n"))
-        levels.insert(0, level)
-    named = [rows.select(F.lit(i + 1).alias("depth"), "context", "code", "n") for i, rows in enumerate(levels)]
-    return checkpointed(reduce(DataFrame.unionByName, named))
-
-
-def train(texts: DataFrame) -> ctw.Model:
-    """Fits the context tree to the first column, over all its rows, as a model in memory.
-
-    Spark sums the counts of all contexts; the subtree below each last code is
-    one task. The model has a row of 64 floats for each context, so this is for
-    small corpora; lm_scores() computes the same probabilities by shards.
-    """
-    code, rare = ctw.byte_codes(byte_histogram(texts))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-        for batch in batches:
-            for raw, offsets in _parts(batch.column(0)):
-                tally.add(*np.unique(ctw.cells(raw, offsets, code), return_counts=True))
-        cell, n = tally.merged()
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
-
-    grams = checkpointed(texts.mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")))
-    kept = _levels(grams).withColumn("last", F.col("context").bitwiseAND(ctw.CODES - 1))
-
-    def subtree(rows: pa.Table) -> ctw.Subtree:
-        return ctw.Subtree(*(rows.column(c).to_numpy() for c in ("depth", "context", "code", "n")))
-
-    def summary(rows: pa.Table) -> pa.Table:
-        tree = subtree(rows)
-        return pa.table({"counts": pa.array([tree.counts], pa.list_(pa.int64())), "log_tree": pa.array([tree.log_tree], pa.list_(pa.float64()))})
-
-    summaries = kept.groupBy("last").applyInArrow(summary, "counts array<bigint>, log_tree array<double>").collect()
-    zero = np.zeros((1, ctw.CODES))
-    root = ctw.Root.of(
-        np.sum([*zero, *(r["counts"] for r in summaries)], axis=0).astype(np.int64), np.sum([*zero, *(r["log_tree"] for r in summaries)], axis=0)
-    )
-
-    def probabilities(rows: pa.Table) -> pa.Table:
-        tree = subtree(rows)
-        levels = list(zip(tree.levels, tree.tables(root), strict=True))
-        return pa.table({
-            "depth": pa.array(range(1, ctw.DEPTH + 1), pa.int32()),
-            "contexts": pa.array([level.context.astype(np.int64).tobytes() for level, _ in levels], pa.binary()),
-            "log2": pa.array([log2.tobytes() for _, log2 in levels], pa.binary()),
-        })
-
-    found = kept.groupBy("last").applyInArrow(probabilities, "depth int, contexts binary, log2 binary").toArrow()
-    levels = []
-    for d in range(1, ctw.DEPTH + 1):
-        rows = found.filter(pc.field("depth") == d)
-        context = np.frombuffer(b"".join(rows.column("contexts").to_pylist()), dtype=np.int64)
-        levels.append((context, np.frombuffer(b"".join(rows.column("log2").to_pylist()), dtype=np.float32).reshape(-1, ctw.CODES)))
-    return ctw.Model.of(code, rare, root, levels)
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of `wanted` (ascending, so that the search stays within the cache), and the values in that order."""
+    order = np.argsort(wanted)
+    return order, values[np.searchsorted(keys, wanted[order])]
 
 
 def lm_scores(
@@ -170,16 +98,14 @@ def lm_scores(
     Other columns are not read.
 
     The tree has every context of the training texts. Each block of texts lists
-    its distinct cells (a code below its context) by shard of the context's last
-    codes; a shard sums them over all blocks, and after the short contexts were
+    its distinct cells (a byte below its context) by shard of the context's last
+    bytes; a shard sums them over all blocks, and after the short contexts were
     put together it returns the log probability of each cell to its blocks.
     """
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     training = source.where(F.col("id").isNotNull() & (remainder("id", folds) != held_out_fold))
-    histogram = byte_histogram(training.select(F.coalesce("text", F.lit(""))))
-    code, rare = ctw.byte_codes(histogram)
-    shards = max(1, -(-int(histogram.sum()) // block_bytes))
+    shards = max(1, -(-total_bytes(training, "text") // block_bytes))
 
     texts = placed(source, "id", "text", block_bytes)
     texts = texts.withColumn("fold", remainder("id", folds)).select("block", "id", "fold", "text")
@@ -199,99 +125,118 @@ def lm_scores(
     def block_counts(rows: pa.Table) -> pa.Table:
         fold = rows.column("fold").to_numpy()
         learnt = (fold >= 0) & (fold != held_out_fold)
-        words, counts = [np.array([END])], [np.array([learnt.sum()])]
-        tally = _Tally()
+        words, cells = _Tally(), _Tally()
+        words.add(np.array([END]), np.array([learnt.sum()]))
         for low, high, raw, offsets in opened(rows):
-            found = Words(raw, offsets, NOT_SPACE)
-            word, place = np.unique(found.hash.view(np.int64), return_inverse=True)
-            words.append(word)
-            counts.append(np.bincount(place, weights=learnt[low:high][found.text], minlength=word.size))
-            cell, own = ctw.cells(raw, offsets, code), np.repeat(learnt[low:high], np.diff(offsets) + 1)
-            tally.add(*np.unique(cell[own], return_counts=True))
-            other = np.unique(cell[~own])
-            tally.add(other, np.zeros(other.size, dtype=np.int64))
-        word, place = np.unique(np.concatenate(words), return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-
-        cell, times = tally.merged()
-        last = cell >> ctw.BITS & ((1 << ctw.BITS * (ctw.UPPER + 1)) - 1)
-        shard = (mix(last.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        shard, first = np.unique(shard[order], return_index=True)
-        parts = list(zip(np.split(cell[order], first[1:]), np.split(times[order], first[1:]), strict=True))
-        block = np.full(word.size + shard.size, rows.column("block")[0].as_py(), dtype=np.int32)
-        return pa.table({
-            "block": block, "word": pa.concat_arrays([pa.array(word), pa.nulls(shard.size, pa.int64())]), "n": pa.concat_arrays([pa.array(n), pa.nulls(shard.size, pa.int64())]),
-            "shard": pa.concat_arrays([pa.nulls(word.size, pa.int32()), pa.array(shard)]),
-            "cells": pa.array([None] * word.size + [_packed_cells(c) for c, _ in parts], pa.binary()),
-            "times": pa.array([None] * word.size + [_packed(t) for _, t in parts], pa.binary()),
-        })
-
-    listed = checkpointed(texts.groupBy("block").applyInArrow(block_counts, "block int, word bigint, n bigint, shard int, cells binary, times binary"))
-    words = listed.where("word IS NOT NULL").select("block", "word", "n")
-    totals = checkpointed(words.groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")))
-    seen = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct")).first()
-    n_train, distinct = seen["tokens"], seen["distinct"]
-    known = totals.select(F.explode("blocks").alias("block"), "word", "n")
-
-    by_shard = listed.where("shard IS NOT NULL").select("block", "shard", "cells", "times").groupBy("shard")
-
-    def shard_of(rows: pa.Table) -> ctw.Shard:
+            found, own = Words(raw, offsets, NOT_SPACE), learnt[low:high]
+            of_word, of_cell = own[found.text], np.repeat(own, np.diff(offsets) + 1)
+            word, cell = found.hash.view(np.int64), ctw.cells(raw, offsets)
+            del found
+            for counted in (True, False):
+                words.add_all(word[of_word == counted], counted)
+                cells.add_all(cell[of_cell == counted], counted)
+        parts = []
+        for is_word, tally in ((True, words), (False, cells)):
+            key, times = tally.merged()
+            last = key if is_word else key >> ctw.BITS & ((1 << ctw.BITS * (ctw.UPPER + 1)) - 1)
+            shard = (mix(last.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            shard, first = np.unique(shard[order], return_index=True)
+            for k, keys, n in zip(shard, np.split(key[order], first[1:]), np.split(times[order], first[1:]), strict=True):
+                parts.append((is_word, k, _packed_keys(keys), _packed(n)))
+        del words, cells, key, times, last, order
+        give_back()
+        block = np.full(len(parts), rows.column("block")[0].as_py(), dtype=np.int32)
+        columns = [pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.bool_(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
+        return pa.table([pa.array(block), *columns], names=["block", "is_word", "shard", "keys", "times"])
+
+    listed = checkpointed(texts.groupBy("block").applyInArrow(block_counts, "block int, is_word boolean, shard int, keys binary, times binary"))
+    by_shard = listed.groupBy("is_word", "shard")
+
+    def gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a shard and their counts over all blocks."""
         tally = _Tally()
-        for cell, times in zip(rows.column("cells"), rows.column("times"), strict=True):
-            tally.add(_unpacked_cells(cell.as_py()), _unpacked(times.as_py(), np.int64))
-        return ctw.Shard(*tally.merged())
+        for keys, times in zip(rows.column("keys"), rows.column("times"), strict=True):
+            tally.add(_unpacked_keys(keys.as_py()), _unpacked(times.as_py(), np.int64))
+        return tally.merged()
 
     def summed(rows: pa.Table) -> pa.Table:
-        place, n, log_below = shard_of(rows).summed()
-        return pa.table({"place": place, "n": n, "log_below": log_below})
+        key, times = gathered(rows)
+        if rows.column("is_word")[0].as_py():
+            return pa.table({"place": pa.nulls(1, pa.int64()), "n": [int(times.sum())], "log_below": [0.0], "distinct": [int(np.count_nonzero(times))]})
+        place, n, log_below = ctw.Shard(key, times).summed()
+        return pa.table({"place": place, "n": n, "log_below": log_below, "distinct": np.zeros(place.size, dtype=np.int64)})
+
+    def upper_of(rows: pa.Table) -> pa.Table:
+        total = rows.filter(pc.is_null(rows.column("place")))
+        rows = rows.filter(pc.is_valid(rows.column("place")))
+        counts, log_below = np.zeros(ctw.CODES ** (ctw.UPPER + 1), dtype=np.int64), np.zeros(ctw.CODES ** (ctw.UPPER + 1))
+        place = rows.column("place").to_numpy()
+        counts[place], log_below[place] = rows.column("n").to_numpy(), rows.column("log_below").to_numpy()
+        upper = ctw.Upper(counts.reshape(-1, ctw.CODES), log_below.reshape(-1, ctw.CODES))
+        return pa.table({
+            "tokens": [total.column("n")[0].as_py()], "distinct": [total.column("distinct")[0].as_py()],
+            **{name: pa.array([_packed(x)], pa.binary()) for name, x in (("settled", upper.settled), ("rest", upper.left), ("estimate", upper.estimate))},
+        })
 
-    short = by_shard.applyInArrow(summed, "place bigint, n bigint, log_below double").groupBy("place").agg(F.sum("n").alias("n"), F.sum("log_below").alias("log_below")).toArrow()
-    table_size = ctw.CODES ** (ctw.UPPER + 1)
-    counts, log_below = np.zeros(table_size, dtype=np.int64), np.zeros(table_size)
-    place = short.column("place").to_numpy()
-    counts[place], log_below[place] = short.column("n").to_numpy(), short.column("log_below").to_numpy()
-    upper = spark.sparkContext.broadcast(ctw.Upper(counts.reshape(-1, ctw.CODES), log_below.reshape(-1, ctw.CODES)))
+    # 256**(UPPER + 1) rows at most, whatever the input: one task, whose three tables go to all workers.
+    short = by_shard.applyInArrow(summed, "place bigint, n bigint, log_below double, distinct bigint").groupBy("place")
+    short = short.agg(*(F.sum(c).alias(c) for c in ("n", "log_below", "distinct"))).withColumn("tree", F.lit(0))
+    top = short.groupBy("tree").applyInArrow(upper_of, "tokens bigint, distinct bigint, settled binary, rest binary, estimate binary").first()
+    n_train, distinct = (top["tokens"], top["distinct"]) if top else (0, 0)
+    upper = spark.sparkContext.broadcast([bytes(top[c]) for c in ("settled", "rest", "estimate")] if top else [])
 
     def returned(rows: pa.Table) -> pa.Table:
-        shard = shard_of(rows)
-        log2 = shard.log2(upper.value).astype(np.float32)
-        packed = [_packed(log2[np.searchsorted(shard.cells, _unpacked_cells(cell.as_py()))]) for cell in rows.column("cells")]
-        return pa.table({"block": rows.column("block"), "cells": rows.column("cells"), "log2": pa.array(packed, pa.binary())})
-
-    known = known.unionByName(by_shard.applyInArrow(returned, "block int, cells binary, log2 binary"), allowMissingColumns=True)
+        key, times = gathered(rows)
+        if rows.column("is_word")[0].as_py():
+            value, kind = times, np.int64
+        else:
+            value, kind = ctw.Shard(key, times).log2(ctw.Upper.of(*(_unpacked(x, np.float64) for x in upper.value))), np.float32
+        value = value.astype(kind)
+        packed = [_packed(value[np.searchsorted(key, _unpacked_keys(keys.as_py()))]) for keys in rows.column("keys")]
+        out = pa.table({**{c: rows.column(c) for c in ("block", "is_word", "keys")}, "found": pa.array(packed, pa.binary())})
+        del key, times, value, packed
+        give_back()
+        return out
+
+    known = by_shard.applyInArrow(returned, "block int, is_word boolean, keys binary, found binary")
+
+    def looked_up(known: pa.Table, is_word: bool, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a block in order, and what is known of each."""
+        own = known.filter(pc.equal(known.column("is_word"), is_word))
+        key = np.concatenate([_unpacked_keys(x.as_py()) for x in own.column("keys")])
+        order = np.argsort(key)
+        return key[order], np.concatenate([_unpacked(x.as_py(), kind) for x in own.column("found")])[order]
 
     schema = (
         f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
     )
 
     def scored(rows: pa.Table, known: pa.Table) -> pa.Table:
-        trees, known = known.filter(pc.field("cells").is_valid()), known.filter(pc.field("word").is_valid())
-        order = np.argsort(known.column("word").to_numpy())
-        vocabulary, counts = known.column("word").to_numpy()[order], known.column("n").to_numpy()[order]
-        cells = np.concatenate([_unpacked_cells(x.as_py()) for x in trees.column("cells")])
-        order = np.argsort(cells)
-        cells, values = cells[order], np.concatenate([_unpacked(x.as_py(), np.float32) for x in trees.column("log2")])[order]
+        vocabulary, counts = looked_up(known, True, np.int64)
+        cells, values = looked_up(known, False, np.float32)
+        ends = counts[np.searchsorted(vocabulary, END)]
         out = {name: [] for name in ("n_tokens", "n_known", "base", "log2", "size")}
         for _, _, raw, offsets in opened(rows):
             n = len(offsets) - 1
             found = Words(raw, offsets, NOT_SPACE)
-            ends = counts[np.searchsorted(vocabulary, END)]
-            c = counts[np.searchsorted(vocabulary, found.hash.view(np.int64))]
-            base = np.bincount(found.text, weights=np.log10(c + 1), minlength=n) + np.log10(ends + 1)
-            log2 = np.bincount(
-                np.repeat(np.arange(n), np.diff(offsets) + 1), weights=values[np.searchsorted(cells, ctw.cells(raw, offsets, code))], minlength=n
-            ) + np.bincount(np.repeat(np.arange(n), np.diff(offsets)), weights=rare[raw], minlength=n)
+            order, c = _looked_up(vocabulary, counts, found.hash.view(np.int64))
+            owner = found.text[order]
             out["n_tokens"].append(found.counts + 1)
-            out["n_known"].append(np.bincount(found.text[c > 0], minlength=n) + int(ends > 0))
+            out["n_known"].append(np.bincount(owner[c > 0], minlength=n) + int(ends > 0))
+            base = np.bincount(owner, weights=np.log10(c + 1), minlength=n) + np.log10(ends + 1)
             out["base"].append(base - (found.counts + 1) * np.log10(n_train + distinct + 1))
-            out["log2"].append(log2)
+            del found
+            order, log2 = _looked_up(cells, values, ctw.cells(raw, offsets))
+            out["log2"].append(np.bincount(np.repeat(np.arange(n), np.diff(offsets) + 1)[order], weights=log2, minlength=n))
             out["size"].append(np.diff(offsets) + 1)
         joined = {name: np.concatenate(x) for name, x in out.items()}
         columns = [
             rows.column("id"), pa.array(rows.column("fold").to_numpy() == held_out_fold), joined["n_tokens"], joined["n_known"],
             np.full(rows.num_rows, n_train), joined["base"], joined["log2"] * np.log10(2), -joined["log2"] / joined["size"],
         ]
+        del cells, values, order, log2
+        give_back()
         return pa.table(columns, names=[f.split()[0] for f in schema.split(", ")])
 
     return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, schema).withColumnRenamed("id", id_col)
