@@ -2,8 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A
 word's probability in a language is summed over all its segmentations into
-pieces by a forward algorithm, for all languages and many words at once; a text
-is the product of its words. The piece probabilities are fitted by expectation
+pieces by a forward algorithm, for all languages and many words at once (very
+long words one by one in logarithms); a text is the product of its words. The piece probabilities are fitted by expectation
 maximisation over the word counts of a bounded hash sample of each language's
 training documents (`max_documents`).
 """
@@ -23,16 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penmark.llm.bpe import byte_characters, default_tokenizer
+from penmark.llm.memory import give_back
 from penmark.llm.session import remainder, table
 
 MAX_DOCUMENTS = 3_000
 ITERATIONS = 3
 SMOOTHING = 0.05
-#: A letter run of more bytes is scored in parts of this many.
+#: Words of more bytes are summed one by one in logarithms, others many at a time.
 LONGEST = 60
 #: Words whose probabilities a worker keeps: the first that it meets, which include the frequent ones.
-CACHED_WORDS = 300_000
-#: Every piece probability is multiplied by this for each of its bytes, so that long words stay within a double.
+CACHED_WORDS = 100_000
+#: Words whose segmentations are laid out at a time.
+LATTICE_WORDS = 10_000
+#: Every piece probability is multiplied by this for each of its bytes, so that a word of LONGEST bytes stays within a double.
 _LIFT = 12.0
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER_BYTES = byte_characters()
@@ -127,6 +130,43 @@ class Lattice:
     def total(self, probability: np.ndarray) -> np.ndarray:
         return self.forward(probability)[np.arange(len(self.size)), self.size]
 
+    def log_forward(self, log_probability: np.ndarray) -> np.ndarray:
+        """forward() of a single word of any length, in logarithms: (length + 1) x languages."""
+        alpha = np.full((self.longest + 1, log_probability.shape[1]), -np.inf)
+        alpha[0] = 0
+        bounds = np.searchsorted(self.end, np.arange(self.longest + 2))
+        for e in range(1, self.longest + 1):
+            at = slice(bounds[e], bounds[e + 1])
+            alpha[e] = np.logaddexp.reduce(alpha[self.start[at]] + log_probability[self.piece[at]], axis=0)
+        return alpha
+
+    def log_backward(self, log_probability: np.ndarray) -> np.ndarray:
+        """backward() likewise."""
+        beta = np.full((self.longest + 1, log_probability.shape[1]), -np.inf)
+        beta[-1] = 0
+        bounds = np.searchsorted(self.start[self.by_start], np.arange(self.longest + 2))
+        for s in range(self.longest - 1, -1, -1):
+            at = self.by_start[bounds[s] : bounds[s + 1]]
+            beta[s] = np.logaddexp.reduce(beta[self.end[at]] + log_probability[self.piece[at]], axis=0)
+        return beta
+
+    def uses(self, probability: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Expected uses of each edge of the lattice, where word i is of language k[i]."""
+        alpha, beta = self.forward(probability), self.backward(probability)
+        total, w = alpha[np.arange(len(self.size)), self.size], self.word
+        own = k[w]
+        return alpha[w, self.start, own] * probability[self.piece, own] * beta[w, self.end, own] / np.maximum(total[w, own], 1e-300)
+
+    def log_uses(self, log_probability: np.ndarray, k: int) -> np.ndarray:
+        """uses() of a single word of any length."""
+        own = log_probability[:, [k]]
+        alpha, beta = self.log_forward(own)[:, 0], self.log_backward(own)[:, 0]
+        return np.exp(alpha[self.start] + own[self.piece, 0] + beta[self.end] - alpha[-1])
+
+
+def _is_long(word: str) -> bool:
+    return len(word) > LONGEST // 4 and len(word.encode()) > LONGEST
+
 
 @dataclass
 class Model:
@@ -136,21 +176,28 @@ class Model:
     vocabulary: Vocabulary
     known: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
+    logs: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "scores": None}
+        return self.__dict__ | {"known": {}, "scores": None, "logs": None}
+
+    def log_probability(self) -> np.ndarray:
+        if self.logs is None:
+            self.logs = np.log(self.probability) - self.vocabulary.lengths()[:, None] * np.log(_LIFT)
+        return self.logs
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log probability of each word in each language."""
-        parts = [[w[i : i + LONGEST // 4] for i in range(0, len(w), LONGEST // 4)] if len(w) > LONGEST // 4 and len(w.encode()) > LONGEST else [w] for w in words]
-        flat = [p for own in parts for p in own]
-        total = np.empty((len(flat), len(self.languages)))
-        for low in range(0, len(flat), 20_000):
-            lattice = Lattice(flat[low : low + 20_000], self.vocabulary)
-            lift = lattice.size[:, None] * np.log(_LIFT)
-            total[low : low + 20_000] = np.log(np.maximum(lattice.total(self.probability), 1e-300)) - lift
-        first = np.cumsum([0, *(len(own) for own in parts[:-1])])
-        return np.add.reduceat(total, first, axis=0) if flat else total
+        total = np.zeros((len(words), len(self.languages)))
+        long = np.array([_is_long(w) for w in words], dtype=bool)
+        short = np.flatnonzero(~long)
+        for low in range(0, short.size, LATTICE_WORDS):
+            own = short[low : low + LATTICE_WORDS]
+            lattice = Lattice([words[i] for i in own], self.vocabulary)
+            total[own] = np.log(np.maximum(lattice.total(self.probability), 1e-300)) - lattice.size[:, None] * np.log(_LIFT)
+        for i in np.flatnonzero(long):
+            total[i] = Lattice([words[i]], self.vocabulary).log_forward(self.log_probability())[-1]
+        return total
 
     def text_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """log probability of each text in each language, prior included, and its number of words."""
@@ -182,10 +229,10 @@ def _word_counts(sample: DataFrame) -> DataFrame:
             seen: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = seen.setdefault(lang, Counter())
-                for w in words_of(text or ""):
-                    own.update([w] if len(w.encode()) <= LONGEST else [])
+                own.update(words_of(text or ""))
             rows = [(lang, w, n) for lang, own in seen.items() for w, n in own.items()]
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "word", "n"), r, strict=True)) for r in rows], schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
+        give_back()
 
     return sample.mapInArrow(counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -201,15 +248,16 @@ def _expected(counts: DataFrame, model: Model) -> pd.DataFrame:
         for batch in batches:
             lang = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
             words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            lattice = Lattice(words, model.vocabulary)
-            alpha, beta = lattice.forward(model.probability), lattice.backward(model.probability)
-            total = alpha[np.arange(len(words)), lattice.size]
-            w = lattice.word
-            k = lang[w]
-            used = alpha[w, lattice.start, k] * model.probability[lattice.piece, k] * beta[w, lattice.end, k] / np.maximum(total[w, k], 1e-300)
-            np.add.at(uses, (lattice.piece, k), used * n[w])
+            long = np.array([_is_long(w) for w in words], dtype=bool)
+            if not long.all():
+                lattice = Lattice([w for w, x in zip(words, long, strict=True) if not x], model.vocabulary)
+                np.add.at(uses, (lattice.piece, lang[~long][lattice.word]), lattice.uses(model.probability, lang[~long]) * n[~long][lattice.word])
+            for i in np.flatnonzero(long):
+                lattice = Lattice([words[i]], model.vocabulary)
+                np.add.at(uses[:, lang[i]], lattice.piece, lattice.log_uses(model.log_probability(), lang[i]) * n[i])
         piece, k = np.nonzero(uses)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(k, pa.int32()), pa.array(uses[piece, k])], names=["piece", "k", "uses"])
+        give_back()
 
     return counts.mapInArrow(step, "piece int, k int, uses double").groupBy("piece", "k").agg(F.sum("uses").alias("uses")).toPandas()
 
@@ -228,7 +276,7 @@ def train(
     chosen = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000))
     limit = F.coalesce(*[F.when(F.col("lang") == lang, int(1_000_000 * share[lang])) for lang in languages], F.lit(0))
     prior = np.log(np.array([n[lang] for lang in languages], dtype=float) / max(1, sum(n.values())))
-    lift = _LIFT ** np.minimum(vocabulary.lengths(), LONGEST)[:, None]
+    lift = _LIFT ** vocabulary.lengths()[:, None].astype(float)
     model = Model(languages, prior, np.full((len(vocabulary), len(languages)), 1 / len(vocabulary)) * lift, vocabulary)
     if not languages:
         return model
@@ -238,7 +286,7 @@ def train(
             found = _expected(counts, model)
             uses = np.full((len(vocabulary), len(languages)), SMOOTHING)
             uses[found["piece"], found["k"]] += found["uses"]
-            model.probability = uses / uses.sum(axis=0) * lift
+            model.probability, model.logs = uses / uses.sum(axis=0) * lift, None
     finally:
         counts.unpersist()
     return model
@@ -288,6 +336,7 @@ def identify_language(
                     score = np.where(count > 0, 1 / np.exp(logs - top[:, None]).sum(axis=1), 0.0)
                     lang = [model.languages[b] if c else "und" for b, c in zip(best, count, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(lang, pa.string()), pa.array(score)], names=names)
+        give_back()
 
     source_names = source.columns
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
