@@ -43,10 +43,17 @@ def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id in each group of near-duplicates; all that have no near-duplicate."""
-    groups = checkpointed(similar_documents(docs))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near-duplicates, that of the smallest id; all that have no near-duplicate.
+
+    Of several rows with that id the one of the least hash stays, of equal rows
+    one. A null id is larger than all others. Texts without words are in no group.
+    """
+    # Rows get names of their own: ids may be null or repeated. Files keep the names when they are read again.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source"), F.monotonically_increasing_id())
+    numbered = checkpointed(docs.select(order.alias("row"), *COLUMNS))
+    groups = checkpointed(similar_documents(numbered, id_col="row"))
+    gone = groups.where("row <> component_id").select("row")
+    return numbered.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
