@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +113,10 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("few", "least_hot"), [(32, 16), (1, 2), (2, 1000)])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, few, least_hot):
-    monkeypatch.setattr(jaccard_join, "FEW", few)
-    monkeypatch.setattr(jaccard_join, "LEAST_HOT", least_hot)
-    rng = np.random.default_rng(few)
+@pytest.mark.parametrize(("few_pairs", "hot"), [(100_000, 1 << 20), (0, 1 << 20), (0, 0), (0, 30)])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, few_pairs, hot):
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", few_pairs)
+    rng = np.random.default_rng(few_pairs + hot)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, passage = [], " ".join(rng.choice(vocabulary, 12))
     for base in range(12):
@@ -128,7 +128,7 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, few, least_hot):
             rows.append((len(rows), " ".join(own) + (f" {passage}" if base % 3 == 0 else "")))
     rows += [(1000 + i, t) for i, t in enumerate(["", None, "one two", "One  two", "one two three", " "])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_documents(df).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_documents(df, hot=hot).collect()}
     assert got == brute_components(rows)
 
 
@@ -174,54 +174,68 @@ def test_bpe_against_the_library(spark, odd, empty, documents):
     assert back.count() == len(ODD)
 
 
-def test_context_tree_is_a_distribution_and_equals_the_literal_recursion(spark):
-    rng = np.random.default_rng(1)
-    texts = ["".join(rng.choice(list("ab c"), 40)) for _ in range(30)]
-    model = lm_score.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert np.allclose(np.exp2(model.log2.astype(float)).sum(axis=1), 1, atol=1e-4)
-    stream = []
-    for t in texts:
-        codes = [0] * ctw.DEPTH + [int(model.code[b]) for b in t.encode()] + [0]
-        stream += [(tuple(reversed(codes[i - ctw.DEPTH : i])), codes[i]) for i in range(ctw.DEPTH, len(codes))]
-
-    def counts(context, node):
+class LiteralTree:
+    """Context-tree weighting over the decisions of a byte stream, as its definition reads."""
+
+    def __init__(self, texts):
+        self.stream = [x for t in texts for x in self.positions(t)]
+        self.counts, self.tree = cache(self._counts), cache(self._tree)
+
+    @staticmethod
+    def positions(text):
+        codes = [ctw.END] * ctw.DEPTH + list(lowered(text).encode()) + [ctw.END]
+        return [(tuple(reversed(codes[i - ctw.DEPTH : i])), codes[i]) for i in range(ctw.DEPTH, len(codes))]
+
+    def _counts(self, context, node):
         """Zeros and ones of a decision after a context."""
         level, prefix = node.bit_length() - 1, node - (1 << (node.bit_length() - 1))
-        bits = [(c >> (ctw.BITS - 1 - level)) & 1 for k, c in stream if k[: len(context)] == context and c >> (ctw.BITS - level) == prefix]
+        bits = [(c >> (ctw.BITS - 1 - level)) & 1 for k, c in self.stream if k[: len(context)] == context and c >> (ctw.BITS - level) == prefix]
         return bits.count(0), bits.count(1)
 
+    @staticmethod
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    def below(context, node):
-        seen = {k[: len(context) + 1] for k, _ in stream if k[: len(context)] == context}
-        return sum(tree(k, node) for k in seen)
+    def below(self, context, node):
+        return sum(self.tree(k, node) for k in {k[: len(context) + 1] for k, _ in self.stream if k[: len(context)] == context})
 
-    def tree(context, node):
-        a, b = counts(context, node)
+    def _tree(self, context, node):
+        a, b = self.counts(context, node)
         if not a + b:
             return 0.0
-        return kt(a, b) if len(context) == ctw.DEPTH else np.logaddexp(kt(a, b), below(context, node)) - math.log(2)
+        return self.kt(a, b) if len(context) == ctw.DEPTH else np.logaddexp(self.kt(a, b), self.below(context, node)) - math.log(2)
 
-    def one(path, node, depth=0, shorter=0.5):
-        a, b = counts(path[:depth], node)
+    def one(self, path, node, depth=0, shorter=0.5):
+        a, b = self.counts(path[:depth], node)
         own = (b + 0.5) / (a + b + 1) if a + b else shorter
         if depth == ctw.DEPTH:
             return own
-        weight = 1 / (1 + math.exp(below(path[:depth], node) - kt(a, b)))
-        return weight * own + (1 - weight) * one(path, node, depth + 1, own)
-
-    path, code = stream[77]
-    wanted, node = 0.0, 1
-    for level in range(ctw.BITS):
-        bit = code >> (ctw.BITS - 1 - level) & 1
-        p = one(path, node)
-        wanted += math.log2(p if bit else 1 - p)
-        node = node * 2 + bit
-    at = 0
-    for c in path:
-        at = model.longer[at, c]
-    assert math.isclose(model.log2[at, code], wanted, rel_tol=1e-4)
+        weight = 1 / (1 + math.exp(self.below(path[:depth], node) - self.kt(a, b)))
+        return weight * own + (1 - weight) * self.one(path, node, depth + 1, own)
+
+    def byte_log2(self, path, code):
+        total, node = 0.0, 1
+        for level in range(ctw.BITS):
+            bit = code >> (ctw.BITS - 1 - level) & 1
+            p = self.one(path, node)
+            total += math.log2(p if bit else 1 - p)
+            node = node * 2 + bit
+        return total
+
+
+@pytest.mark.parametrize("block_bytes", [40, 1_000_000])
+def test_lm_scores_against_the_literal_recursion(spark, block_bytes):
+    rng = np.random.default_rng(1)
+    rows = [(i, "".join(rng.choice(list("aB c"), 14))) for i in range(14)] + [(14, ""), (15, "caf\u00e9 \U0001f600")]
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), block_bytes=block_bytes).collect()}
+    tree = LiteralTree([t for i, t in rows if fold(i, 7) != 2])
+    assert {r["held_out"] for r in got.values()} == {True, False}
+    for i, t in rows:
+        wanted = sum(tree.byte_log2(*x) for x in tree.positions(t))
+        assert math.isclose(got[i]["score"], wanted * math.log10(2), rel_tol=1e-4)
+        assert math.isclose(got[i]["bits_per_byte"], -wanted / (len(t.encode()) + 1), rel_tol=1e-4)
+    path = tree.positions("ab c")[3][0]
+    assert math.isclose(sum(2 ** tree.byte_log2(path, c) for c in range(256)), 1)
 
 
 def test_lm_scores_base_against_brute_force(odd, empty, documents):
@@ -242,23 +256,6 @@ def test_lm_scores_base_against_brute_force(odd, empty, documents):
     assert lm_score.lm_scores(empty).count() == 0
 
 
-def test_lm_scores_use_every_context(spark):
-    """150,000 random bytes have more than 131,072 contexts of four and five codes; the tree in memory keeps them all too."""
-    rng = np.random.default_rng(3)
-    letters = list("abcdefghijklmnopqrstuvwxyz0123456789-+*/=()[]<>,.;:!?&%$ \n")
-    rows = [(i, "".join(rng.choice(letters, 2500))) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    model = lm_score.train(df.where(session.remainder("doc_id", 7) != 2).select("text"))
-    raw, offsets = lm_score.string_buffer(pa.array([t for _, t in rows]))
-    got = {r["doc_id"]: r for r in lm_score.lm_scores(df, block_bytes=40_000).collect()}
-    learnt, at = lm_score.string_buffer(pa.array([t for i, t in rows if fold(i, 7) != 2]))
-    contexts = np.unique(ctw.cells(learnt, at, model.code) >> ctw.BITS)
-    sizes = [np.unique(contexts & ((1 << ctw.BITS * d) - 1)).size for d in range(ctw.DEPTH + 1)]
-    assert len(got) == len(rows) and sizes[4] + sizes[5] > 1 << 17 and len(model.log2) == sum(sizes)
-    wanted = model.score(raw, offsets)
-    assert np.allclose([got[i]["score"] for i, _ in rows], wanted * np.log10(2), rtol=1e-5)
-
-
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD, PHONE = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
 
@@ -323,6 +320,46 @@ def test_forward_sums_all_segmentations():
     lattice = language_id.Lattice(words, vocabulary)
     assert np.allclose(lattice.total(p)[:, 0], [literal(w) for w in words])
     assert np.allclose(lattice.backward(p)[:, 0, 0], lattice.total(p)[:, 0])
+    for i, w in enumerate(words):
+        alone = language_id.Lattice([w], vocabulary)
+        assert np.allclose(np.exp(alone.log_forward(np.log(p))[-1]), lattice.total(p)[i])
+        assert np.allclose(alone.log_uses(np.log(p), 0), lattice.uses(p, np.zeros(len(words), dtype=int))[lattice.word == i])
+
+
+def literal_uses(word, vocabulary, p):
+    """Probability and expected uses of each piece, by listing all segmentations."""
+
+    def segmentations(rest):
+        if rest in vocabulary.final:
+            yield [vocabulary.final[rest]]
+        for x, i in vocabulary.inner.items():
+            if rest.startswith(x) and len(x) < len(rest):
+                for more in segmentations(rest[len(x) :]):
+                    yield [i, *more]
+
+    total, uses = 0.0, np.zeros(len(p))
+    for own in segmentations(word):
+        weight = np.prod(p[own, 0])
+        total += weight
+        np.add.at(uses, own, weight)
+    return total, uses / total
+
+
+@pytest.mark.parametrize("longest", [60, 0])
+def test_language_model_training_against_all_segmentations(spark, monkeypatch, longest):
+    monkeypatch.setattr(language_id, "LONGEST", longest)
+    monkeypatch.setattr(language_id, "_LIFT", 1.0)
+    vocabulary = language_id.Vocabulary(inner={"a": 0, "b": 1, "ab": 2}, final={"a": 3, "b": 4, "ab": 5, "bab": 6}, longest=3)
+    p = np.array([[0.2], [0.3], [0.1], [0.05], [0.1], [0.05], [0.2]])
+    words = [("b", 2), ("ab", 1), ("bab", 3), ("abab", 1), ("aabb", 2)]
+    wanted = sum(n * literal_uses(w, vocabulary, p)[1] for w, n in words)
+    counts = spark.createDataFrame([("xx", w, n) for w, n in words], "lang string, word string, n bigint")
+    model = language_id.Model(["xx"], np.zeros(1), p, vocabulary)
+    found = language_id._expected(counts, model)
+    got = np.zeros(len(p))
+    got[found["piece"]] = found["uses"]
+    assert np.allclose(got, wanted)
+    assert np.allclose(np.exp(model.word_scores([w for w, _ in words])[:, 0]), [literal_uses(w, vocabulary, p)[0] for w, _ in words])
 
 
 def test_url_rules_and_aliases(spark):
