@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penmark.llm.session import checkpointed
+from penmark.llm.session import checkpointed, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     its smaller neighbours likewise, until nothing changes, which takes about
     the logarithm of the longest path. Minima are aggregated before the joins,
     so a hub of any degree is no single task's work. Loops, repeated edges and
-    edges with a null end are ignored; an empty table has no components.
+    edges with a null end are ignored; an empty table has no components. The
+    result is a table of its own, which discard() deletes.
     """
     at = checkpointed(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(at)
@@ -29,11 +30,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        at = checkpointed(small.unionByName(least.select("a", F.col("least").alias("b"))).distinct())
+        before, at = at, checkpointed(small.unionByName(least.select("a", F.col("least").alias("b"))).distinct())
+        discard(before)
         new = _state(at)
         if new == state:
             break
         state = new
-    return at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    found = checkpointed(
+        at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     )
+    discard(at)
+    return found

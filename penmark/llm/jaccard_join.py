@@ -3,15 +3,16 @@
 Texts with equal shingle sets are one node. Under a global order of all
 shingles, two sets of Jaccard similarity 0.75 or more share one of the first
 n - ceil(0.75 n) + 1 shingles of each, and what they share there bounds what
-they can share at all. The first order (most frequent shingles last, else by
-hash) makes candidates by a join on those prefixes; candidates must then share
-prefix shingles under every further order too, before whole sets are compared.
-
-Groups of near copies would make a pair of each two members. So shingles that
-stand in many prefixes first compare each node with one hub only; components of
-the links found are then one class, and such shingles pair members of different
-classes only, which loses no link between different classes. Of all candidates,
-the best of each node is compared first, then those still across classes.
+they can share at all. The first order (shingles that recur last, the most
+frequent at the very end, else by hash) makes candidates by a join on those
+prefixes. Pairs stay candidates only if their prefixes under two further orders
+meet too; whole texts of what is left are compared.
+
+Groups of near copies would make a pair of each two members. So each node is
+first compared with a few partners that have the same least shingles under
+several hash orders; components of the links found are then one class. Only members of different classes are paired, which loses no link
+between classes. Of the candidates, the best of each node is compared first,
+then those still across classes.
 """
 
 from __future__ import annotations
@@ -20,33 +21,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from penmark.llm.components import connected_components
-from penmark.llm.session import checkpointed, table
+from penmark.llm.memory import give_back
+from penmark.llm.session import checkpointed, discard, table, total_bytes
 from penmark.llm.textbytes import NOT_SPACE, Words, mix, pieces, string_buffer
 
 SHINGLE = 5
 #: Similarity as a fraction, so that set sizes are compared in whole numbers.
 NUMERATOR, DENOMINATOR = 3, 4
 PIECE_BYTES = 750_000
-#: Shingles that the first order puts last at most, and the count from which one is a candidate for them.
+#: Recurring shingles that the first order ranks by count, at most; those that recur most.
 #: Counts are sums over spans of SURVEY_BYTES of text, of what occurs in several sets of a span.
 HOT = 1 << 20
-LEAST_HOT = 16
 SURVEY_BYTES = 16_000_000
-#: A shingle in at most so many prefixes pairs them directly.
-FEW = 32
 #: Rows of 8 to 40 bytes that may be broadcast; larger tables are shuffled.
 BROADCAST_ROWS = 500_000
+#: Packed texts that may be broadcast.
+BROADCAST_BYTES = 24_000_000
 #: Salts of the further orders.
 FURTHER = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Rounds of comparing each node of a crowded shingle with one hub, at most.
-HUB_ROUNDS = 12
-#: As few pairs of classes as this are compared at once, without further rounds.
-FEW_PAIRS = 100_000
+#: Salts of the orders whose least shingles find a partner, and how many of these must agree.
+LEAST = np.random.default_rng(20240503).integers(1, 1 << 63, 8, dtype=np.uint64)
+AGREEING = 3
+#: Rounds of comparing each node with so many partners at most; in the later ones only few nodes are left that look for one.
+PARTNERS = (1, 8, 8)
 _PLACES = np.random.default_rng(20240502).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
@@ -74,28 +78,39 @@ def _node(tokens: np.ndarray) -> np.int64:
     return np.bitwise_xor.reduce(mix(tokens + np.uint64(tokens.size)), initial=np.uint64(tokens.size)).view(np.int64)
 
 
+def _least(sets: list[np.ndarray]) -> np.ndarray:
+    """The least shingle of each set under each order of LEAST; an empty set has a zero."""
+    whole = np.concatenate([s if s.size else np.zeros(1, np.uint64) for s in sets])
+    first = np.cumsum([0, *(max(1, s.size) for s in sets[:-1])])
+    return np.column_stack([np.minimum.reduceat(mix(whole ^ salt), first) for salt in LEAST]).view(np.int64)
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
 class Order:
-    """The first global order: by hash, but the hot shingles behind all others, the most frequent last."""
+    """The first global order: by hash, but the ranked shingles behind all others, the most frequent last."""
 
     def __init__(self, hot: np.ndarray):
-        """hot: frequent shingles, the most frequent first."""
-        self.hot = np.sort(hot)
-        self.rank = np.empty(hot.size, dtype=np.int64)
-        self.rank[np.searchsorted(self.hot, hot)] = np.arange(hot.size, 0, -1)
-
-    def prefix(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The prefix of a set in order, and which of it is hot."""
-        rank = np.zeros(tokens.size, dtype=np.int64)
+        """hot: recurring shingles, the most frequent first."""
+        order = np.argsort(hot)
+        self.hot, self.rank = hot[order], (hot.size - order).astype(np.int32)
+
+    def prefixes(self, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The prefix of each set in order, and which of it is ranked. Sets are sorted, so ties go to the smaller shingle."""
+        whole = np.concatenate(sets)
+        rank = np.zeros(whole.size, dtype=np.uint64)
         if self.hot.size:
-            at = np.minimum(np.searchsorted(self.hot, tokens), self.hot.size - 1)
-            found = self.hot[at] == tokens
+            at = np.minimum(np.searchsorted(self.hot, whole), self.hot.size - 1)
+            found = self.hot[at] == whole
             rank[found] = self.rank[at[found]]
-        order = np.lexsort((mix(tokens), rank))[: prefix_length(tokens.size)]
-        return tokens[order], rank[order] > 0
+        key = rank << np.uint64(40) | mix(whole) >> np.uint64(24)
+        first = 0
+        for s in sets:
+            order = np.argsort(key[first : first + s.size], kind="stable")[: prefix_length(s.size)]
+            yield s[order], rank[first : first + s.size][order] > 0
+            first += s.size
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -106,7 +121,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
 
 
 def _surveyed(source: DataFrame) -> DataFrame:
-    """A row (id, row, n, node) for each text, and rows (token, count) of what a span of texts holds several times."""
+    """A row (id, row, n, node, mins) for each text, and rows (token, count) of what a span of texts holds several times."""
 
     def rows(names: dict[str, pa.Array], n: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([names.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
@@ -125,7 +140,8 @@ def _surveyed(source: DataFrame) -> DataFrame:
                 nodes = [int(_node(s)) for s in sets]
                 own = batch.slice(low, high - low)
                 counts = pa.array([s.size for s in sets], pa.int64())
-                yield rows({"id": own.column(0), "row": own.column(2), "n": counts, "node": pa.array(nodes, pa.int64())}, high - low)
+                mins = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * LEAST.size, pa.int32()), pa.array(_least(sets).ravel()))
+                yield rows({"id": own.column(0), "row": own.column(2), "n": counts, "node": pa.array(nodes, pa.int64()), "mins": mins}, high - low)
                 gathered.update(zip(nodes, sets, strict=True))
                 size += sum(s.size for s in sets) * 6
                 if size > SURVEY_BYTES:
@@ -133,34 +149,48 @@ def _surveyed(source: DataFrame) -> DataFrame:
                     gathered, size = {}, 0
         if gathered:
             yield often()
+        gathered = {}
+        give_back()
 
     id_type = to_arrow_type(source.schema["id"].dataType)
-    schema = pa.schema([("id", id_type), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("id", id_type), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("mins", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
     kind = source.schema["id"].dataType.simpleString()
-    return checkpointed(source.mapInArrow(survey, f"id {kind}, row bigint, n bigint, node bigint, token bigint, count bigint"))
+    return checkpointed(source.mapInArrow(survey, f"id {kind}, row bigint, n bigint, node bigint, mins array<bigint>, token bigint, count bigint"))
+
+
+def _recurring(surveyed: DataFrame, hot: int) -> np.ndarray:
+    """At most `hot` shingles that occur most often, the most frequent first: all with at least some count."""
+    counts = surveyed.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
+    counts = checkpointed(counts)
+    least, kept = None, 0
+    for count, tokens in counts.groupBy("count").agg(F.count("*").alias("tokens")).orderBy(F.desc("count")).collect():
+        kept += tokens
+        if kept > hot:
+            break
+        least = count
+    found = counts.where(F.col("count") >= least).toArrow() if least else None
+    discard(counts)
+    if found is None:
+        return np.zeros(0, dtype=np.uint64)
+    token, count = found.column("token").to_numpy(), found.column("count").to_numpy()
+    return token[np.lexsort((token, -count))].view(np.uint64)
 
 
 def _index(source: DataFrame, hot: np.ndarray) -> DataFrame:
     """(token, node, n, pos, hot): the prefix of each set under the first order, once a task for equal sets."""
-    sent = source.sparkSession.sparkContext.broadcast(Order(hot.view(np.uint64)))
+    sent = source.sparkSession.sparkContext.broadcast(Order(hot))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, sets in _sets(batch):
-                tokens, flags, nodes, sizes = [], [], [], []
-                for s in sets:
-                    node = int(_node(s))
-                    if not s.size or node in seen:
-                        continue
-                    seen.add(node)
-                    prefix, often = sent.value.prefix(s)
-                    tokens.append(prefix)
-                    flags.append(often)
-                    nodes.append(node)
-                    sizes.append(s.size)
-                if not tokens:
+                of_node = {int(_node(s)): s for s in sets if s.size}
+                nodes = [node for node in of_node if node not in seen]
+                if not nodes:
                     continue
+                seen.update(nodes)
+                sizes = [of_node[node].size for node in nodes]
+                tokens, flags = zip(*sent.value.prefixes([of_node[node] for node in nodes]), strict=True)
                 length = [t.size for t in tokens]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes), length)),
@@ -169,25 +199,25 @@ def _index(source: DataFrame, hot: np.ndarray) -> DataFrame:
                 ], names=["token", "node", "n", "pos", "hot"])
             if len(seen) > 1_000_000:
                 seen.clear()
+        give_back()
 
     return source.mapInArrow(indexed, "token bigint, node bigint, n int, pos int, hot boolean")
 
 
 def _shared(index: DataFrame) -> DataFrame:
-    """(token, node, n, pos, many) of shingles in the prefixes of several nodes; many: of more than FEW.
+    """(token, node, n, pos, inner) of shingles in the prefixes of several nodes, and of all ranked ones.
 
-    A shingle that is not hot has few rows, so its rows meet in one task. The
-    hot ones, of which there are HOT at most, always count as many; their rows
-    stay spread by node.
+    The rows of a shingle that is not ranked, which are few, meet in one task;
+    they go if it is inner to none. Those of ranked ones, which may stand in a
+    third of all sets, stay spread by node; whether several nodes hold one is
+    left to the joins.
     """
-    rare = index.where(~F.col("hot")).repartition("token").dropDuplicates(["token", "node"])
-    rare = rare.withColumn("holders", F.expr("count(*) OVER (PARTITION BY token)")).where("holders > 1")
-    often = index.where("hot").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    several = often.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
-    often = often.join(_small(several, HOT), "token", "left_semi")
-    return rare.select("token", "node", "n", "pos", (F.col("holders") > FEW).alias("many")).unionByName(
-        often.select("token", "node", "n", "pos", F.lit(True).alias("many"))
-    )
+    place = F.when(F.col("hot"), F.xxhash64("token", "node")).otherwise(F.col("token"))
+    dealt = index.repartition(place).withColumn("place", place)
+    dealt = dealt.withColumn("inner", F.col("pos") <= F.col("n") - _needed(F.col("n"), F.col("n")))
+    window = "OVER (PARTITION BY place)"
+    held = dealt.withColumn("several", F.expr(f"min(node) {window} <> max(node) {window} AND max(inner) {window}")).where("hot OR several")
+    return held.dropDuplicates(["place", "token", "node"]).select("token", "node", "n", "pos", "inner")
 
 
 def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -220,36 +250,79 @@ def _bounded(pairs: DataFrame) -> DataFrame:
     return grouped.where(room >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b", "common")
 
 
-def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix shingle under every further order and are similar as whole sets."""
-    pairs = checkpointed(pairs.select("a", "b"))
+def _fetched(pairs: DataFrame, source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, second, third, text) of the ends of the pairs (a, b): prefixes under the further orders, as 32 bits of each shingle, and the packed text."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = checkpointed(nodes.join(ends, "node", "left_semi").select("node", F.col("id").alias("of_id"), F.col("row").alias("of_row")))
     texts = source.join(_small(wanted), (F.col("row") == F.col("of_row")) & F.col("id").eqNullSafe(F.col("of_id"))).select("node", "text")
 
-    def side(name: str) -> DataFrame:
-        return texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        seen: set[int] = set()  # repeated rows
+        for batch in batches:
+            new = [node for node in dict.fromkeys(batch.column(0).to_pylist()) if node not in seen]
+            batch = batch.take(pc.index_in(pa.array(new, pa.int64()), batch.column(0)))
+            seen.update(new)
+            for low, high, sets in _sets(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["node", "text"])):
+                own = batch.slice(low, high - low)
+                prefixes = []
+                for salt in FURTHER:
+                    first = [s[np.argsort(mix(s ^ np.uint64(salt)))[: prefix_length(s.size)]].astype(np.uint32).view(np.int32) for s in sets]
+                    prefixes.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first))))
+                packed = pa.array([squeeze.compress(t.as_buffer()) for t in own.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(0), *prefixes, packed], names=["node", "second", "third", "text"])
+        give_back()
+
+    held = checkpointed(texts.mapInArrow(signed, "node bigint, second array<int>, third array<int>, text binary"))
+    if held.count() != wanted.count():  # rows that repeat across tasks
+        held, repeated = checkpointed(held.dropDuplicates(["node"])), held
+        discard(repeated)
+    discard(wanted)
+    return held
+
+
+def _meeting(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs whose prefixes meet under every further order."""
+
+    def side(x: str) -> DataFrame:
+        return held.select(F.col("node").alias(x), F.col("second").alias(f"second_{x}"), F.col("third").alias(f"third_{x}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar as whole sets."""
+
+    def side(x: str) -> DataFrame:
+        return held.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+
+    def sets_of(texts: pa.Array) -> list[np.ndarray]:
+        expand = zstandard.ZstdDecompressor()
+        raw = [np.frombuffer(expand.decompress(t.as_buffer()), np.uint8) for t in texts]
+        return shingle_sets(np.concatenate(raw), np.cumsum([0, *map(len, raw)]))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (raw_a, offsets_a), (raw_b, offsets_b) = string_buffer(batch.column(2)), string_buffer(batch.column(3))
             similar = []
-            for i in range(batch.num_rows):
-                x, y = (
-                    shingle_sets(raw[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))[0] for raw, at in ((raw_a, offsets_a), (raw_b, offsets_b))
-                )
-                similar.append(all(_prefixes_meet(x, y, salt) for salt in FURTHER) and _similar(x, y))
+            weight = pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy(zero_copy_only=False)
+            for low, high in pieces(np.concatenate([[0], np.cumsum(weight, dtype=np.int64)]), PIECE_BYTES):
+                x, y = (sets_of(batch.column(c).slice(low, high - low)) for c in (2, 3))
+                similar += map(_similar, x, y)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(similar, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+        give_back()
+
+    ends = side("b").join(pairs.select("b").distinct(), "b", "left_semi")
+    if held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] > BROADCAST_BYTES:
+        leaders = checkpointed(ends)  # often few, as many nodes share one
+        size = leaders.agg(F.coalesce(F.sum(F.length("text_b")), F.lit(0))).first()[0]
+        ends = F.broadcast(leaders) if size <= BROADCAST_BYTES else leaders
+    else:
+        ends = F.broadcast(ends)
+    both = pairs.select("a", "b").join(side("a"), "a").join(ends, "b").select("a", "b", "text_a", "text_b")
     return checkpointed(both.mapInArrow(compared, "a bigint, b bigint"))
 
 
-def _prefixes_meet(x: np.ndarray, y: np.ndarray, salt: int) -> bool:
-    first = [s[np.argsort(mix(s ^ np.uint64(salt)))[: prefix_length(s.size)]] for s in (x, y)]
-    return np.intersect1d(*first, assume_unique=True).size > 0
-
-
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     common = np.intersect1d(x, y, assume_unique=True).size
     return common * DENOMINATOR >= (x.size + y.size - common) * NUMERATOR
@@ -258,54 +331,72 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
 def _with_classes(rows: DataFrame, members: DataFrame | None) -> DataFrame:
     if members is None:
         return rows.withColumn("class", F.col("node"))
+    members = _small(members)
     return rows.join(members.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
-def _hub_pairs(rows: DataFrame, step: int) -> DataFrame:
-    """For each node its likeliest partner among hubs of other classes that share a prefix shingle.
-
-    A shingle's hub is a node of its own, another one in each step: where a
-    group's members are only just similar, each step links a good part of them.
-    """
-    hubs = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("order"), "node", "class", "n")).alias("hub"))
-    hubs = hubs.select("token", F.col("hub.node").alias("b"), F.col("hub.class").alias("class_b"), F.col("hub.n").alias("n_b"))
-    pairs = rows.join(hubs, "token").where((F.col("class") != F.col("class_b")) & _near_in_size("n", "n_b"))
-    counted = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("common"))
-    return counted.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-
+def _kin(nodes: DataFrame) -> DataFrame:
+    """(order, token, node, holders) of the least shingles that several nodes have; holders: of all those of the node."""
+    each = nodes.select("node", F.posexplode("mins").alias("order", "token"))
+    several = each.groupBy("order", "token").agg(F.count("*").alias("holders")).where("holders > 1")
+    shared = checkpointed(each.join(several, ["order", "token"]))
+    kin = checkpointed(shared.drop("holders").join(shared.groupBy("node").agg(F.sum("holders").alias("holders")), "node"))
+    discard(shared)
+    return kin
 
-def _open(rows: DataFrame) -> tuple[DataFrame, int, int]:
-    """The rows of shingles that are still in several classes, their number, and how many pairs of classes they make."""
-    classes = rows.groupBy("token", "class").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
-    found = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.expr("classes * (classes - 1) / 2")), F.lit(0.0)).alias("pairs")).first()
-    return rows.join(classes.select("token"), "token", "left_semi"), found["rows"], int(found["pairs"])
 
+def _partners(kin: DataFrame, nodes: DataFrame, step: int, most: int) -> DataFrame:
+    """(a, b): for each node the `most` likeliest partners of other classes, as large or larger, among those with the same least shingles.
 
-def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
-    names = {"node": x, "n": f"n_{x}", "pos": f"pos_{x}", "class": f"class_{x}"}
-    return rows.select("token", *[F.col(c).alias(names[c]) for c in ("node", "n", "pos", *more)])
+    Of all nodes with a least shingle one stands for them, so there is a row for
+    each node and order at most: that whose least shingles have most holders,
+    which is near the middle of its group, of another part of the nodes in each
+    order and step. Partners with most least shingles in common are likeliest.
+    """
+    part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(LEAST.size))
+    by = (part != F.col("order")).alias("by"), (-F.col("holders")).alias("then"), F.xxhash64("node", F.lit(step)).alias("last")
+    leaders = kin.groupBy("order", "token").agg(F.min(F.struct(*by, "node")).alias("leader"))
+    met = kin.join(_small(checkpointed(leaders.select("order", "token", F.col("leader.node").alias("b")))), ["order", "token"]).where("node <> b")
+    met = met.select(F.col("node").alias("a"), "b").distinct()
+    nodes = nodes.join(_small(checkpointed(nodes.groupBy("class").agg(F.count("*").alias("size")))), "class")
+    sides = [nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "class", "size", "mins")]) for x in "ab"]
+    pairs = met.join(sides[0], "a").join(sides[1], "b").where((F.col("class_a") != F.col("class_b")) & (F.col("size_a") <= F.col("size_b")) & _near_in_size("n_a", "n_b"))
+    orders = F.size(F.filter(F.zip_with("mins_a", "mins_b", lambda x, y: x == y), lambda same: same)).alias("orders")
+    agreeing = pairs.select("a", "b", orders).where(F.col("orders") >= AGREEING)
+    best = agreeing.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("orders", "b")), asc=False), 1, most).alias("best"))  # of a leader an order at most
+    return checkpointed(best.select("a", F.explode("best.b").alias("b")))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that may still pair several classes."""
+    classes = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("inner").alias("inner"))
+    return rows.join(classes.where("low <> high AND inner").select("token"), "token", "left_semi")
+
+
+def _pairs_across(rows: DataFrame) -> DataFrame:
+    """A row for each two nodes of different classes, near in size, and each shingle in the prefixes of both.
+
+    The smaller set of a similar pair has its shared shingles among its inner
+    ones. Classes are paired by shingle first and members joined to them, so
+    that members of one class never meet.
+    """
 
+    def side(own: DataFrame, x: str) -> DataFrame:
+        return own.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "n", "pos")])
 
-def _few_pairs(rows: DataFrame) -> DataFrame:
-    """A row for each two nodes near in size and each shingle of few holders that both have."""
-    return _side(rows, "a").join(_side(rows, "b"), "token").where((F.col("a") < F.col("b")) & _near_in_size("n_a", "n_b") & _within_prefixes())
+    def classes(members: DataFrame, x: str) -> DataFrame:
+        return members.groupBy("token", f"class_{x}").agg(F.min(f"n_{x}").alias(f"low_{x}"), F.max(f"n_{x}").alias(f"high_{x}"), F.min(f"pos_{x}").alias(f"first_{x}"))
 
+    def reaches(x: str, y: str) -> Column:
+        return F.col(f"first_{x}") <= F.col(f"high_{x}") - _needed(F.col(f"high_{x}"), F.col(f"low_{y}"))
 
-def _many_pairs(rows: DataFrame) -> DataFrame:
-    """The same for shingles of many holders, but of different classes only.
-
-    Classes are paired by shingle first and members joined to them, so that
-    members of one class never meet.
-    """
-    classes = rows.groupBy("token", "class").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = (classes.select("token", F.col("class").alias(f"class_{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ab")
-    sized = (F.col("high_a") * DENOMINATOR >= F.col("low_b") * NUMERATOR) & (F.col("high_b") * DENOMINATOR >= F.col("low_a") * NUMERATOR)
-    met = left.join(right, "token").where((F.col("class_a") < F.col("class_b")) & sized).select("token", "class_a", "class_b")
-    pairs = met.join(_side(rows, "a", "class"), ["token", "class_a"]).join(_side(rows, "b", "class"), ["token", "class_b"]).where(_near_in_size("n_a", "n_b") & _within_prefixes())
-    turned = F.col("a") > F.col("b")  # the smaller node is a, as in _few_pairs()
-    return pairs.select(
-        *[F.when(turned, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")).alias(f"{c}{x}") for x, y in ("ab", "ba") for c in ("", "n_", "pos_")]
-    )
+    small, large = side(rows.where("inner"), "a"), side(rows, "b")
+    sized = (F.col("low_a") <= F.col("high_b")) & (F.col("high_a") * DENOMINATOR >= F.col("low_b") * NUMERATOR)
+    met = classes(small, "a").join(classes(large, "b"), "token").where((F.col("class_a") != F.col("class_b")) & sized & reaches("a", "b") & reaches("b", "a"))
+    smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))
+    pairs = met.select("token", "class_a", "class_b").join(small, ["token", "class_a"]).join(large, ["token", "class_b"])
+    pairs = pairs.where(smaller & (F.col("n_a") * DENOMINATOR >= F.col("n_b") * NUMERATOR) & _within_prefixes())
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "pos_a", "pos_b")
 
 
 class _Links:
@@ -315,9 +406,13 @@ class _Links:
         self.members: DataFrame | None = None
 
     def add(self, found: DataFrame) -> None:
+        """Takes in the links (a, b), a table of its own, which is deleted."""
+        before = self.members
         if not found.isEmpty():
-            known = found if self.members is None else found.unionByName(self.members.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            self.members = checkpointed(connected_components(known))
+            known = found if before is None else found.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            self.members = connected_components(known)
+            discard(before)
+        discard(found)
 
     def across(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, ...) whose ends are in different classes."""
@@ -340,31 +435,32 @@ def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     are not read.
     """
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    surveyed = _surveyed(source)
+    # Many small partitions show a task too little of what recurs.
+    spans = max(2 * source.sparkSession.sparkContext.defaultParallelism, -(-total_bytes(source, "text") // (2 * SURVEY_BYTES)))
+    surveyed = _surveyed(source.coalesce(spans))
     texts = surveyed.where("n IS NOT NULL").select("id", "row", "n", "node")
-    counts = surveyed.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_HOT)
-    frequent = [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(hot).select("token").collect()]
-    rows = checkpointed(_shared(_index(source.select("id", "text"), np.array(frequent, dtype=np.int64))))
-
-    least = texts.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "row")).alias("of"), F.min("id").alias("least"))
-    nodes = checkpointed(least.select("node", F.col("of.id").alias("id"), F.col("of.row").alias("row"), "least"))
-    links = _Links()
-    many = rows.where("many")
-    crowd = None
-    for step in range(HUB_ROUNDS):
-        still, n, pairs = _open(_with_classes(many, links.members))
-        if pairs <= max(2 * n, FEW_PAIRS):  # then all of them are compared
-            break
-        if crowd is None:  # their texts are read again in each round
-            wanted = nodes.join(still.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("of_id"), F.col("row").alias("of_row"))
-            crowd = checkpointed(source.join(_small(wanted), (F.col("row") == F.col("of_row")) & F.col("id").eqNullSafe(F.col("of_id"))).select(*source.columns))
-        links.add(_verified(_hub_pairs(still, step), crowd, nodes))
-
-    shared = _few_pairs(rows.where("NOT many")).drop("token").unionByName(_many_pairs(_open(_with_classes(many, links.members))[0]))
-    candidates = checkpointed(links.across(_bounded(shared)))
-    best = candidates.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links.add(_verified(best, source, nodes))
-    links.add(_verified(links.across(candidates.join(best, ["a", "b"], "left_anti")), source, nodes))
+    of_node = surveyed.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "row")).alias("of"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("mins").alias("mins"))
+    nodes = checkpointed(of_node.select("node", F.col("of.id").alias("id"), F.col("of.row").alias("row"), "least", "n", "mins"))
+
+    links, kin = _Links(), _kin(nodes)
+    near = checkpointed(nodes.join(kin.select("node").distinct(), "node", "left_semi").select("node", "n", "mins"))
+    for step, most in enumerate(PARTNERS):
+        found = _partners(kin, _with_classes(near, links.members), step, most)
+        held = _fetched(found, source, nodes)
+        links.add(_verified(_meeting(found, held), held))
+        discard(found, held)
+    discard(kin, near)
+
+    shared = checkpointed(_shared(_index(source.select("id", "text"), _recurring(surveyed, hot))))
+    rows = checkpointed(_open(_with_classes(shared, links.members)))
+    candidates = checkpointed(_bounded(_pairs_across(rows)))
+    discard(shared, rows)
+    held = _fetched(candidates, source, nodes)
+    meeting = checkpointed(_meeting(candidates, held))
+    best = meeting.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    links.add(_verified(best, held))
+    links.add(_verified(links.across(meeting.join(best, ["a", "b"], "left_anti")), held))
+    discard(candidates, held, meeting)
 
     class_of = nodes.select("node", "least")
     class_of = _with_classes(class_of, links.members)
