@@ -113,10 +113,10 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("few_pairs", "hot"), [(100_000, 1 << 20), (0, 1 << 20), (0, 0), (0, 30)])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, few_pairs, hot):
-    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", few_pairs)
-    rng = np.random.default_rng(few_pairs + hot)
+@pytest.mark.parametrize(("partners", "hot"), [((3, 8), 1 << 20), ((), 1 << 20), ((), 0), ((1,), 30)])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, partners, hot):
+    monkeypatch.setattr(jaccard_join, "PARTNERS", partners)
+    rng = np.random.default_rng(len(partners) + hot)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, passage = [], " ".join(rng.choice(vocabulary, 12))
     for base in range(12):
