@@ -99,17 +99,14 @@ def judge_urls(
     """The verdict on every page: id_col, host, path, rule, verdict, decided_by.
 
     decided_by is rule, alias (the component's decision) or default. Edges are
-    declared canonical links and refresh redirects of the pages' html; a target
+    all declared canonical links and refresh redirects of the pages' html; a target
     need not be a page. A null url or one without `://` has an empty host and
     path, fits no rule and is no alias. Null html declares nothing. Repeated
     rows get equal verdicts. Other columns are not read.
     """
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     html = F.col("html")
-    targets = F.array(
-        F.when(F.contains(F.lower(html), F.lit("canonical")), F.regexp_extract(html, CANONICAL, 1)),
-        F.when(F.contains(F.lower(html), F.lit("refresh")), F.regexp_extract(html, REFRESH, 1)),
-    )
+    targets = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), 1), F.regexp_extract_all(html, F.lit(REFRESH), 1))
     links = checkpointed(
         source.where(F.lower(html).rlike("canonical|refresh"))
         .select("url", F.explode(targets).alias("target"))
@@ -118,20 +115,17 @@ def judge_urls(
     )
     judged = matched_rules(source.select("id", "url"), rules)
     named = judged.withColumn("address", address(F.col("url")))
-    if links.isEmpty():
-        decided = named.withColumn("decision", F.lit(None).cast("string"))
-    else:
-        edges = links.select(address(F.col("url")).alias("a"), address(F.col("target")).alias("b"))
-        members = connected_components(edges)
-        urls = links.select("url").unionByName(links.select(F.col("target").alias("url"))).distinct()
-        own = matched_rules(urls, rules).select(address(F.col("url")).alias("node"), "action").where("action is not null")
-        decisions = (
-            members.join(own, "node")
-            .groupBy("component")
-            .agg(F.when(F.max(F.col("action") == "allow"), "allow").otherwise("block").alias("decision"))
-        )
-        of_address = members.join(decisions, "component").select(F.col("node").alias("address"), "decision")
-        decided = named.join(of_address, "address", "left")
+    edges = links.select(address(F.col("url")).alias("a"), address(F.col("target")).alias("b"))
+    members = connected_components(edges)
+    urls = links.select("url").unionByName(links.select(F.col("target").alias("url"))).distinct()
+    own = matched_rules(urls, rules).select(address(F.col("url")).alias("node"), "action").where("action is not null")
+    decisions = (
+        members.join(own, "node")
+        .groupBy("component")
+        .agg(F.when(F.max(F.col("action") == "allow"), "allow").otherwise("block").alias("decision"))
+    )
+    of_address = members.join(decisions, "component").select(F.col("node").alias("address"), "decision")
+    decided = named.join(of_address, "address", "left")
     return decided.select(
         F.col("id").alias(id_col),
         "host",
