@@ -2,10 +2,12 @@
 
 One pass over the texts finds the spans of the fixed kinds and all other tokens
 that look like identifiers, each with the words to its left and the character
-to its right. The former are seeds. Contexts ("patterns") and tokens
+to its right. The former are seeds, and so are tokens with the shape of keys
+(long hexadecimal or mixed strings). Contexts ("patterns") and tokens
 ("instances") form a graph, which Spark scores in turns: a pattern is as
 reliable as its instances are known, and an instance as its patterns are
-reliable. Tokens whose score passes are reported as kind `id`.
+reliable. Tokens whose patterns make them pass are reported as kind `id`; the
+shape of a key alone does not suffice.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_./+=@-])(?=[A-Za-z_./+=@-]*+[0-9])[A-Za-z0-9_./+=@-]{6,}+")
+#: Shapes of keys: 32 or more hexadecimal digits, or 20 or more characters with both cases and digits.
+_KEY = re.compile(r"(?=.*[0-9])(?:(?=.*[a-f])[0-9a-f]{32,}|(?=.*[A-F])[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_/+=-]{20,})")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -89,7 +93,7 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 def examine(text: str) -> tuple[list[dict], list[dict]]:
     """Base spans, and all identifier-like spans with their instance and patterns."""
     base = base_spans(text)
-    spots = [{"start": s, "end": e, "instance": text[s:e].lower(), "seed": True, "patterns": _patterns(text, s, e)} for s, _, e in base]
+    spots = [{"start": s, "end": e, "instance": text[s:e].lower(), "seed": True, "base": True, "patterns": _patterns(text, s, e)} for s, _, e in base]
     if _DIGIT.search(text):
         taken, i = sorted((s, e) for s, _, e in base), 0
         for m in _TOKEN.finditer(text):
@@ -97,20 +101,21 @@ def examine(text: str) -> tuple[list[dict], list[dict]]:
             while i < len(taken) and taken[i][1] <= s:
                 i += 1
             if i == len(taken) or taken[i][0] >= e:
-                spots.append({"start": s, "end": e, "instance": m[0].lower(), "seed": False, "patterns": _patterns(text, s, e)})
+                spots.append({"start": s, "end": e, "instance": m[0].lower(), "seed": bool(_KEY.fullmatch(m[0])), "base": False, "patterns": _patterns(text, s, e)})
     return [{"start": s, "kind": k, "end": e} for s, k, e in base], spots
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_SPOT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+_SPOT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 
 
 def reliable_instances(edges: DataFrame, *, rounds: int, min_support: int, min_confidence: float, accept: float) -> DataFrame:
-    """Instances that are no seeds but score `accept` or more, from distinct edges (pattern, instance, seed).
+    """Instances that are not of the fixed kinds but whose patterns give them `accept` or more, from distinct edges (pattern, instance, seed, base).
 
     pattern: sum of its instances' scores / (number of instances + 1), if it has
     `min_support` instances and that value is `min_confidence` or more, else 0;
-    instance: 1 for a seed, else 1 - product of (1 - value) over its patterns.
+    instance: 1 - product of (1 - value) over its patterns; a seed counts as 1
+    for its patterns.
     """
     scores = edges.where("seed").select("instance", F.lit(1.0).alias("score")).distinct()
     for _ in range(rounds):
@@ -123,11 +128,11 @@ def reliable_instances(edges: DataFrame, *, rounds: int, min_support: int, min_c
         scores = checkpointed(
             edges.join(rated.select("pattern", "confidence"), "pattern", "left")
             .groupBy("instance")
-            .agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("doubt"))
-            .select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score"))
+            .agg(F.max("seed").alias("seed"), F.max("base").alias("base"), F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("doubt"))
+            .select("instance", "base", (1 - F.exp("doubt")).alias("own"), F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score"))
             .where("score > 0")
         )
-    return scores.where(~F.col("seed") & (F.col("score") >= accept)).select("instance")
+    return scores.where(~F.col("base") & (F.col("own") >= accept)).select("instance")
 
 
 def find_personal_data(
@@ -160,15 +165,17 @@ def find_personal_data(
 
     kind = source.schema["id"].dataType.simpleString()
     spans = "array<struct<start:int,kind:int,end:int>>"
-    spots = "array<struct<start:int,end:int,instance:string,seed:boolean,patterns:array<string>>>"
+    spots = "array<struct<start:int,end:int,instance:string,seed:boolean,base:boolean,patterns:array<string>>>"
     texts = checkpointed(source.mapInArrow(examined, f"id {kind}, row bigint, base {spans}, spots {spots}"))
     each = texts.select("row", F.explode("spots").alias("spot")).select("row", "spot.*")
     edges = checkpointed(
-        each.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+        each.select(F.explode("patterns").alias("pattern"), "instance", "seed", "base")
+        .groupBy("pattern", "instance")
+        .agg(F.max("seed").alias("seed"), F.max("base").alias("base"))
     )
     accepted = reliable_instances(edges, rounds=rounds, min_support=min_support, min_confidence=min_confidence, accept=accept)
     new = (
-        each.where(~F.col("seed"))
+        each.where(~F.col("base"))
         .join(accepted, "instance")
         .groupBy("row")
         .agg(F.collect_set(F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")).alias("new"))
