@@ -288,6 +288,14 @@ def test_bootstrapping_finds_unseen_identifiers(spark, odd, empty):
     assert pii.find_personal_data(odd).count() == len(ODD) and pii.find_personal_data(empty).count() == 0
 
 
+def test_bootstrapping_from_the_shape_of_keys(spark):
+    keys = [hashlib.sha1(bytes([i])).hexdigest() for i in range(12)]
+    rows = [(i, f'set token = "{k}" here') for i, k in enumerate(keys)] + [(20, 'set token = "blue42-short" here'), (21, f"the digest {keys[0][::-1]} of a file")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.find_personal_data(df).collect()}
+    assert all(got[i] == [(13, 4, 53)] for i in range(12)) and got[20] == [(13, 4, 25)] and got[21] == []
+
+
 def test_quality_held_out_accuracy(spark, odd, empty):
     folder = "/root/testdata/sf0.01"
     labels = session.table(spark, folder, "labels")
@@ -367,12 +375,12 @@ def test_url_rules_and_aliases(spark):
         (1, "http://a.net/x", '<link rel="canonical" href="https://example.org/es/1">'), (2, "http://b.net/y", '<META HTTP-EQUIV=refresh content="0; url=http://a.net/x#f">'),
         (3, "http://c.net/", "<link href='/z' rel=canonical>"), (4, "http://c.net/z", None), (5, None, "x"), (6, "nourl", ""), (7, "http://d.net", '<link rel=canonical href="q.html">'),
         (8, "http://d.net/q.html", '<link rel=canonical href="//example.org/es/q"><meta http-equiv="refresh" content="5;url=https://sub.com/fr/">'),
-        (9, "https://Sub.EXAMPLE.org/en/12?x", ""), (10, "https://notexample.org/es/1", ""), (10, "https://notexample.org/es/1", ""), (11, "x://y://org/es/", ""),
+        (12, "http://e.net/", "<link rel=canonical href='/none'><link rel=canonical href='http://a.net/x'>"), (9, "https://Sub.EXAMPLE.org/en/12?x", ""), (10, "https://notexample.org/es/1", ""), (10, "https://notexample.org/es/1", ""), (11, "x://y://org/es/", ""),
     ]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("clash"))
     got = {r["page_id"]: (r["host"], r["rule"], r["verdict"], r["decided_by"]) for r in url_filter.judge_urls(df, url_filter.rule_table(spark)).collect()}
     assert got[1] == ("a.net", None, "block", "alias") and got[2][2:] == ("block", "alias") and got[3][2:] == ("allow", "default")
-    assert got[7][2:] == ("allow", "alias") and got[8][2:] == ("allow", "alias")
+    assert got[12][2:] == ("block", "alias") and got[7][2:] == ("allow", "alias") and got[8][2:] == ("allow", "alias")
     assert got[9] == ("sub.example.org", "example.org/en/1", "block", "rule") and got[10] == ("notexample.org", "org/", "allow", "rule")
     assert got[5] == ("", None, "allow", "default") and got[6][0] == "" and got[11][0] == "y:"
     assert url_filter.judge_urls(df, url_filter.rule_table(spark)).count() == len(rows)
