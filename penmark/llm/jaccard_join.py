@@ -50,7 +50,7 @@ FURTHER = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 LEAST = np.random.default_rng(20240503).integers(1, 1 << 63, 8, dtype=np.uint64)
 AGREEING = 3
 #: Rounds of comparing each node with so many partners at most; in the later ones only few nodes are left that look for one.
-PARTNERS = (1, 8, 8)
+PARTNERS = (3, 8)
 _PLACES = np.random.default_rng(20240502).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
