@@ -116,7 +116,7 @@ def run_lengths(items: Column) -> Column:
         starts = F.filter(places(0, n), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
         return bind(starts, lambda own: F.zip_with(own, F.concat(F.slice(own, 2, F.greatest(n, F.lit(1))), F.when(n > 0, F.array(n)).otherwise(F.array().cast("array<int>"))), lambda a, b: b - a))
 
-    return bind(F.array_sort(items), counted)
+    return bind(F.sort_array(items), counted)  # array_sort would call a comparator for each two items
 
 
 def total(values: Column) -> Column:

@@ -8,12 +8,17 @@ datasets and strata are evaluated in one job.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penmark.functions import text as T
 
+#: Slices of the scores from 0 to 1 in which curves are summed.
+SLICES = 4096
+
 
 def confusion(rows: DataFrame, groups: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
     """tn, fp, fn, tp and what follows from them; zero denominators give 0. Labels other than 0 and 1 count nowhere."""
@@ -32,16 +37,30 @@ def confusion(rows: DataFrame, groups: Sequence[str] = (), threshold: float = 0.
 
 
 def curve(rows: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """For each group and distinct score: p and n there, tp and fp down to it, all P and N, and i, counted from the highest score."""
+    """For each group and distinct score: p and n there, tp and fp down to it, all P and N, and i, counted from the highest score.
+
+    Sums run in two levels, so that no task holds a whole group: within slices
+    of 1/SLICES of a score, and over the totals of the slices. Scores beyond
+    0 to 1 make more slices. NaN is the highest score, null the lowest.
+    """
     points = rows.where(F.col("label").isin(0, 1)).groupBy(*groups, "score").agg(
         F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
     )
-    down = Window.partitionBy(*groups).orderBy(F.desc("score"))
+    points = points.withColumn("slice", F.when(F.isnan("score"), F.lit((1 << 63) - 1)).otherwise(F.floor(F.col("score") * SLICES)))
     whole = Window.partitionBy(*groups)
+    above = whole.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = points.groupBy(*groups, "slice").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.count("*").alias("points"))
+    totals = totals.select(
+        *[F.col(g).alias(f"of_{g}") for g in (*groups, "slice")], *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("p", "n", "points")],
+        F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"),
+    )
+    down = Window.partitionBy(*groups, "slice").orderBy(F.desc("score"))
     running = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.select(
-        *groups, "score", "p", "n", F.sum("p").over(running).alias("tp"), F.sum("n").over(running).alias("fp"),
-        F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"), F.row_number().over(down).alias("i"),
+    within = points.select("*", F.sum("p").over(running).alias("tp"), F.sum("n").over(running).alias("fp"), F.row_number().over(down).alias("place"))
+    joined = within.join(totals, reduce(and_, [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in (*groups, "slice")]))
+    return joined.select(
+        *groups, "score", "p", "n", (F.col("tp") + F.col("p_above")).alias("tp"), (F.col("fp") + F.col("n_above")).alias("fp"),
+        "all_p", "all_n", (F.col("place") + F.col("points_above")).alias("i"),
     )
 
 
@@ -66,7 +85,7 @@ def auprc_trapezoid(points: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Trapezoids under precision over recall, from (0, 1) to (1, 0)."""
     recall, precision = T.ratio(F.col("tp"), F.col("all_p")), T.ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     own = points.select(*groups, "i", recall.alias("r"), precision.alias("p"))
-    ends = points.select(*groups).distinct().select(*groups, F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("r"), F.lit(1.0).alias("p")), F.struct(F.lit(2**31 - 1).alias("i"), F.lit(1.0).alias("r"), F.lit(0.0).alias("p")))).alias("e"))
+    ends = points.select(*groups).distinct().select(*groups, F.explode(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("r"), F.lit(1.0).alias("p")), F.struct(F.lit((1 << 63) - 1).alias("i"), F.lit(1.0).alias("r"), F.lit(0.0).alias("p")))).alias("e"))
     w = Window.partitionBy(*groups).orderBy("i")
     each = own.unionByName(ends.select(*groups, "e.*")).select(*groups, ((F.col("r") - F.lag("r").over(w)) * (F.col("p") + F.lag("p").over(w)) / 2).alias("area"))
     return each.groupBy(*groups).agg(F.sum("area").alias("auprc"))
@@ -82,7 +101,7 @@ def fpr_at_tpr(points: DataFrame, at: float, groups: Sequence[str] = (), name: s
     """The FPR at a TPR, linear between the last point whose TPR is `at` or less and the next; one class gives 1."""
     tpr, fpr = T.ratio(F.col("tp"), F.col("all_p")), T.ratio(F.col("fp"), F.col("all_n"))
     own = points.select(*groups, "i", tpr.alias("t"), fpr.alias("f"), ((F.col("all_p") > 0) & (F.col("all_n") > 0)).alias("both"))
-    start = own.groupBy(*groups).agg(F.lit(0).alias("i"), F.lit(0.0).alias("t"), F.lit(0.0).alias("f"), F.max("both").alias("both"))
+    start = own.groupBy(*groups).agg(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("t"), F.lit(0.0).alias("f"), F.max("both").alias("both"))
     w = Window.partitionBy(*groups).orderBy("i")
     steps = own.unionByName(start).select("*", F.lead("t").over(w).alias("nt"), F.lead("f").over(w).alias("nf"))
     last = steps.where(F.col("t") <= at).groupBy(*groups).agg(F.max(F.struct("i", "t", "f", "nt", "nf", "both")).alias("s"))

@@ -17,7 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` over all cores where their files have fewer row groups than there are cores; a large table is left as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
 
 
 def rounded(columns: dict[str, Column]) -> list[Column]:
