@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penmark.functions import features as X
 from penmark.functions import text as T
-from penmark.operators import calibration, detectors, ensemble, facade, grains, lm, metrics
+from penmark.operators import boosting, calibrated, calibration, detectors, ensemble, facade, grains, lm, metrics
 from penmark.sources import config, datasets, reports
 
 
@@ -27,6 +28,16 @@ def _parser() -> argparse.ArgumentParser:
     audit.add_argument("-l", "--language", action="append", required=True)
     for command in (evaluate, compare, audit):
         command.add_argument("--dataset", required=True)
+    train = commands.add_parser("train", help="fit boosted stylometry on a JSON-lines corpus and save it")
+    train.add_argument("--dataset", required=True)
+    train.add_argument("--out", required=True)
+    calibrate = commands.add_parser("calibrate", help="fit calibrations on a JSON-lines corpus, save them, and report before and after")
+    against = commands.add_parser("calibration-compare", help="saved calibrations against the plain detectors on a JSON-lines corpus")
+    saved = commands.add_parser("calibration-evaluate", help="metrics of saved calibrations on a JSON-lines corpus")
+    for command in (calibrate, against, saved):
+        command.add_argument("--dataset", required=True)
+        command.add_argument("--folder", default="calibration_models")
+        command.add_argument("--detector", action="append", required=True)
     promote = commands.add_parser("promote", help="gate calibrations by a summary of metrics")
     promote.add_argument("--summary-path", required=True)
     promote.add_argument("--folder", default="calibration_models")
@@ -92,6 +103,39 @@ def audit(spark: SparkSession, args: argparse.Namespace, settings: config.Settin
     return "\n".join(f"{r['group']}: {r['fpr']:.4f} of {r['n']}" for r in found.collect())
 
 
+def train(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
+    corpus = _corpus(spark, args.dataset)
+    metrics.require_both_classes(corpus)
+    made = X.stylometry(F.col("text"))
+    model = boosting.train(corpus.select("label", *[c.cast("double").alias(n) for n, c in made.items()]), list(made))
+    boosting.save(model, list(made), args.out)
+    return f"saved {args.out}: {model.getNumTrees} trees over {len(made)} features"
+
+
+def calibrate(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
+    corpus = _corpus(spark, args.dataset)
+    _, report = calibrated.train(corpus, args.detector, detectors.default_catalog(), _context(corpus), folder=args.folder)
+    return "\n".join(reports.calibration_results(report, args.dataset))
+
+
+def _saved(spark: SparkSession, args: argparse.Namespace) -> dict[str, calibration.Calibrator]:
+    where = {d: calibrated.discovered(spark, args.folder, [d]) for d in args.detector}
+    found = {d: calibrated.loaded(path) for d, path in where.items() if path}
+    if not found:
+        sys.exit("no such calibration")
+    return found
+
+
+def calibration_compare(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
+    corpus = _corpus(spark, args.dataset)
+    return reports.calibration_results(calibrated.compare(corpus, _saved(spark, args), detectors.default_catalog(), _context(corpus)), args.dataset)[1]
+
+
+def calibration_evaluate(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
+    corpus, known = _corpus(spark, args.dataset), _saved(spark, args)
+    return reports.short_markdown(calibrated.measured(corpus, [calibrated.bound(d, known[d.name]) for d in detectors.default_catalog().select(list(known))], _context(corpus)))
+
+
 def promote(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
     decided = calibration.promotion_reasons(datasets.promotion_summary(spark, args.summary_path))
     paths = {r["detector"]: calibration.artifact_path(args.folder, r["detector"], "calibration") for r in decided.select("detector").collect()}
@@ -107,7 +151,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     else:
         spark = spark or SparkSession.builder.appName("penmark").getOrCreate()
         settings = config.resolve(getattr(args, "config", None))
-        out = {"detect": detect, "evaluate": evaluate, "compare": compare, "audit": audit, "promote": promote}[args.command](spark, args, settings)
+        out = {"detect": detect, "evaluate": evaluate, "compare": compare, "audit": audit, "promote": promote, "train": train, "calibrate": calibrate,
+               "calibration-compare": calibration_compare, "calibration-evaluate": calibration_evaluate}[args.command](spark, args, settings)
     print(out)
     return out
 

@@ -202,3 +202,10 @@ def language(text: Column) -> Column:
     votes = F.array(*[F.struct(T.among(own, listed).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, listed) in enumerate(L.STOP_WORDS.items())])
     best = F.array_max(votes)
     return F.when(best["n"] > 0, best["name"]).otherwise("unknown")
+
+
+def stylometry(text: Column) -> dict[str, Column]:
+    """The features of boosted stylometry that need no model."""
+    words, cased = T.words(text), T.cased_words(text)
+    counted = richness(words, T.run_lengths(words))
+    return counted | word_lengths(cased) | sentence_lengths(text) | readability(text, cased) | style(text, words)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,9 +11,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penmark.functions import features as X
+from penmark.operators.detectors import Detector, ModelNotFoundError
+
 
 def assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Features aligned by name; what a row lacks is 0."""
@@ -39,6 +42,33 @@ def predict(model: GBTClassificationModel, rows: DataFrame, features: Sequence[s
     return scored.withColumn("confidence", F.least(F.lit(1.0), 0.7 + 0.4 * F.abs(F.col("score") - 0.5)))
 
 
+def save(model: GBTClassificationModel, features: Sequence[str], folder: str) -> None:
+    """The model and the order of its features, below a folder that all of the cluster can write."""
+    model.write().overwrite().save(f"{folder}/model")
+    rows = list(enumerate(features))
+    SparkSession.active().createDataFrame(rows, "place int, feature string").coalesce(1).write.mode("overwrite").json(f"{folder}/features")
+
+
+def load(folder: str) -> tuple[GBTClassificationModel, list[str]]:
+    try:
+        rows = SparkSession.active().read.json(f"{folder}/features").collect()
+        return GBTClassificationModel.load(f"{folder}/model"), [r["feature"] for r in sorted(rows, key=lambda r: r["place"])]
+    except Exception as failure:
+        raise ModelNotFoundError(f"no boosted model in {folder}") from failure
+
+
+def detector(model: GBTClassificationModel, features: Sequence[str], made: Callable[[Column], dict[str, Column]] = X.stylometry) -> Detector:
+    """The boosted model as a detector; `made` gives the features of a text column by name."""
+
+    def score(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+        known = made(F.col("text"))
+        rows = units.select(id_col, *[known[c].cast("double").alias(c) for c in features if c in known])
+        missing = [F.lit(0.0).alias(c) for c in features if c not in known]
+        return predict(model, rows.select("*", *missing), features).select(id_col, "score", "confidence", F.lit(None).cast("string").alias("error"))
+
+    return Detector("boosted_stylometric", "fast", ("prose", "academic"), score)
+
+
 def _flat(model: GBTClassificationModel) -> list[tuple[float, list[tuple]]]:
     """Each tree as (weight, nodes): nodes (feature or -1, threshold, left, right, value)."""
     out = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,27 @@ from pyspark.sql import functions as F
 
 from penmark.functions import features as X
 from penmark.functions import text as T
-from penmark.operators import grains, lm
+from penmark.operators import ensemble, grains, lm
 
 INFINITY = float("inf")
 
 
+class DetectorError(Exception):
+    """Any failure of a detector."""
+
+
+class DetectorInitError(DetectorError):
+    """A detector can't be set up; this is raised."""
+
+
+class ModelNotFoundError(DetectorInitError):
+    """A stored model isn't there."""
+
+
+class DetectionError(DetectorError):
+    """A text can't be scored; this becomes an error result."""
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Fixed values of the bands; any can be replaced."""
@@ -68,7 +85,7 @@ def repetition(n3: Column, n4: Column, words: Column, bleu: Column, t: Threshold
     most = F.greatest(n3, n4)
     score = F.least(F.lit(1.0), F.when(bleu > t.bleu_boost[0], F.greatest(most, F.lit(t.bleu_boost[1]))).otherwise(most))
     confidence = F.when(words > t.repetition_confidence[0], t.repetition_confidence[1]).otherwise(t.repetition_confidence[2])
-    return _or_error(short(words < t.repetition_least_words, "Text too short for repetition analysis"), score, confidence)
+    return _or_error(short(words < t.repetition_least_words, "fewer words than repetition needs"), score, confidence)
 
 
 def stylometric(std_sentence_length: Column, ttr: Column, hapax: Column) -> Column:
@@ -85,7 +102,7 @@ def cognitive(tokens: Column, f: dict[str, Column]) -> Column:
     score = sum((F.when(hit, weight).otherwise(0.0) for hit, weight in signals), F.lit(0.0))
     n = sum((hit.cast("int") for hit, _ in signals), F.lit(0))
     return _or_error(
-        short(tokens < 20, "Text too short for cognitive analysis"),
+        short(tokens < 20, "fewer than 20 tokens"),
         F.when(n > 0, F.least(F.lit(1.0), score)).otherwise(0.5), F.least(F.lit(0.9), 0.4 + 0.1 * n),
     )
 
@@ -110,7 +127,7 @@ def code(f: dict[str, Column]) -> Column:
         .otherwise(4)
     )
     pick = lambda *values: F.get(F.array(*map(F.lit, values)), first - 1)
-    none = short(f["function_count"] == 0, "Could not parse as code")
+    none = short(f["function_count"] == 0, "no function could be parsed")
     return result(F.when(none.isNotNull(), 0.5).otherwise(pick(0.7, 0.65, 0.6, 0.3)), F.when(none.isNotNull(), 0.3).otherwise(pick(0.7, 0.6, 0.5, 0.4)), none)
 
 
@@ -118,24 +135,24 @@ def multilingual(f: dict[str, Column], length: Column) -> Column:
     cv, threshold = f["burstiness_cv"], f["family_threshold"]
     first = F.when(cv < threshold * 0.5, 1).when(cv < threshold, 2).when(f["char_bigram_diversity"] < 0.3, 3).otherwise(4)
     pick = lambda *values: F.get(F.array(*map(F.lit, values)), first - 1)
-    return _or_error(short(length < 50, "Text too short for multilingual analysis"), pick(0.8, 0.6, 0.55, 0.35), pick(0.7, 0.6, 0.5, 0.5))
+    return _or_error(short(length < 50, "fewer than 50 characters"), pick(0.8, 0.6, 0.55, 0.35), pick(0.7, 0.6, 0.5, 0.5))
 
 
 def perplexity(mean: Column, std: Column) -> Column:
     score = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mean - 10) / 90))
     confidence = F.when(std < 5, 0.9).when(std < 15, 0.7).otherwise(0.5)
-    return _or_error(short(mean.isNull(), "Text too short for perplexity analysis"), score, confidence)
+    return _or_error(short(mean.isNull(), "no window to score"), score, confidence)
 
 
 def burstiness(cv: Column, t: Thresholds = Thresholds()) -> Column:
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - cv))
-    return _or_error(short(cv.isNull(), "Too few sentences for burstiness analysis"), score, banded(cv, t.burstiness, t.burstiness_default))
+    return _or_error(short(cv.isNull(), "too few sentences to compare"), score, banded(cv, t.burstiness, t.burstiness_default))
 
 
 def curvature(value: Column, t: Thresholds = Thresholds()) -> Column:
     band = banded(F.abs(value), t.curvature, t.curvature[-1][1])
     return _or_error(
-        short(value.isNull(), "Text too short for curvature analysis"), F.when(value > 0, band).otherwise(1 - band), banded(F.abs(value), t.curvature, t.curvature[-1][2], place=2)
+        short(value.isNull(), "no curvature of a text this short"), F.when(value > 0, band).otherwise(1 - band), banded(F.abs(value), t.curvature, t.curvature[-1][2], place=2)
     )
 
 
@@ -149,7 +166,7 @@ def surprisal(f: dict[str, Column], n: Column, t: Thresholds = Thresholds()) ->
         + banded(F.abs(f["surprisal_trend"]), t.surprisal_trend, 0.0)
     )
     confidence = F.when((var < 3) & (burst < 0.4), 0.85).when((var < 7) & (burst < 0.6), 0.7).otherwise(0.55)
-    error = short(F.coalesce(n, F.lit(0)) < t.surprisal_least, "Text too short for surprisal analysis")
+    error = short(F.coalesce(n, F.lit(0)) < t.surprisal_least, "fewer surprisals than needed")
     return _or_error(error, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), confidence)
 
 
@@ -191,37 +208,38 @@ class Context:
 Scorer = Callable[[DataFrame, str, Context], DataFrame]
 
 
-def _row_wise(outcome: Callable[[Column, Thresholds], Column]) -> Scorer:
-    """A scorer that needs the text of the row only."""
-    return lambda units, id_col, context: units.select(id_col, outcome(F.col("text"), context.thresholds).alias("r")).select(id_col, "r.*")
+@dataclass(frozen=True)
+class RowWise:
+    """A scorer that needs the text of the row only: outcome(text, words, thresholds).
 
+    score_units() puts all of these into one projection, over words split once.
+    """
 
-def _repetition(text: Column, t: Thresholds) -> Column:
-    def judged(words: Column) -> Column:
-        f = X.repetition(words)
-        return repetition(f["ngram_3_repetition"], f["ngram_4_repetition"], f["word_count"], F.lit(0.0), t)
+    outcome: Callable[[Column, Column, Thresholds], Column]
 
-    return T.bind(T.words(text), judged)
+    def __call__(self, units: DataFrame, id_col: str, context: Context) -> DataFrame:
+        ready = units.select(id_col, "text", T.words(F.col("text")).alias("words"))
+        return ready.select(id_col, self.outcome(F.col("text"), F.col("words"), context.thresholds).alias("r")).select(id_col, "r.*")
 
 
-def _cognitive(text: Column, t: Thresholds) -> Column:
-    f = X.paragraph_shape(text) | X.transitions(text) | X.argument_flow(text) | X.vocabulary_markers(T.words(text))
+def _cognitive(text: Column, words: Column, t: Thresholds) -> Column:
+    f = X.paragraph_shape(text) | X.transitions(text) | X.argument_flow(text) | X.vocabulary_markers(words)
     return cognitive(F.size(T.tokens(text)), f)
 
 
-def _stylometric(text: Column, t: Thresholds) -> Column:
-    def judged(words: Column, counts: Column) -> Column:
+def _stylometric(text: Column, words: Column, t: Thresholds) -> Column:
+    def judged(counts: Column) -> Column:
         f = X.richness(words, counts)
         return stylometric(X.sentence_lengths(text)["std_sentence_length"], f["ttr"], f["hapax_ratio"])
 
-    return T.bind(T.words(text), lambda words: T.bind(T.run_lengths(words), lambda counts: judged(words, counts)))
+    return T.bind(T.run_lengths(words), judged)
 
 
-def _academic(text: Column, t: Thresholds) -> Column:
-    return academic(X.citations(text) | X.claims(T.words(text)), F.length(text))
+def _academic(text: Column, words: Column, t: Thresholds) -> Column:
+    return academic(X.citations(text) | X.claims(words), F.length(text))
 
 
-def _multilingual(text: Column, t: Thresholds) -> Column:
+def _multilingual(text: Column, words: Column, t: Thresholds) -> Column:
     return multilingual(X.multilingual(text, X.language(text)), F.length(text))
 
 
@@ -313,31 +331,76 @@ def default_catalog() -> Catalog:
         Detector("perplexity", "medium", _ALL, _perplexity), Detector("perplexity_large", "slow", _ALL, _perplexity),
         Detector("burstiness", "slow", _ALL, _burstiness), Detector("entropy", "fast", _ALL, _entropy),
         Detector("repetition", "fast", _ALL, _repetition_with_bleu), Detector("curvature", "medium", _ALL, _curvature),
-        Detector("surprisal", "medium", _ALL, _surprisal), Detector("stylometric", "fast", _ALL, _row_wise(_stylometric)),
-        Detector("boosted_stylometric", "fast", _ALL), Detector("cognitive", "fast", _ALL, _row_wise(_cognitive)),
+        Detector("surprisal", "medium", _ALL, _surprisal), Detector("stylometric", "fast", _ALL, RowWise(_stylometric)),
+        Detector("boosted_stylometric", "fast", _ALL), Detector("cognitive", "fast", _ALL, RowWise(_cognitive)),
         Detector("classifier", "slow", _PROSE), Detector("classifier_openai", "slow", _PROSE), Detector("classifier_chatgpt", "slow", _PROSE),
         Detector("classifier_radar", "slow", ("prose", "code")), Detector("classifier_raid", "slow", ("prose", "code")),
         Detector("attention_heatmap", "slow", _PROSE), Detector("llm_logprob", "slow", ("prose", "code")),
         Detector("llm_perturbation", "slow", _PROSE), Detector("llm_reasoning", "slow", _PROSE),
-        Detector("academic", "medium", ("academic",), _row_wise(_academic)), Detector("code", "medium", ("code",), _code),
-        Detector("multilingual", "slow", ("multilingual",), _row_wise(_multilingual)),
+        Detector("academic", "medium", ("academic",), RowWise(_academic)), Detector("code", "medium", ("code",), _code),
+        Detector("multilingual", "slow", ("multilingual",), RowWise(_multilingual)),
     ])
 
 
-def score_units(units: DataFrame, detectors: Sequence[Detector], context: Context, id_col: str = "doc_id") -> DataFrame:
-    """Long rows (id, detector, position, score, confidence, error) of all detectors.
+_RESULT = ("detector", "position", "score", "confidence", "error")
 
-    A detector without a scorer yields the standard error result; the position
-    is that in `detectors` and orders what is merged later.
-    """
-    out = None
-    for position, d in enumerate(detectors):
+
+def _failed(units: DataFrame, id_col: str, d: Detector, position: int, message: str) -> DataFrame:
+    own = units.select(id_col, F.lit(d.name).alias("detector"), F.lit(position).alias("position"))
+    return own.select("*", F.lit(0.5).alias("score"), F.lit(0.0).alias("confidence"), F.lit(message).alias("error"))
+
+
+def _in_one_pass(units: DataFrame, detectors: Sequence[tuple[int, Detector]], id_col: str, t: Thresholds) -> DataFrame:
+    """Rows of all row-wise detectors and of those without a scorer."""
+    ready = units.select(id_col, "text", T.words(F.col("text")).alias("words"))
+    outcomes = []
+    for position, d in detectors:
         if d.score is None:
-            own = units.select(id_col, F.lit(0.5).alias("score"), F.lit(0.0).alias("confidence"), F.lit("The detector's model is not available").alias("error"))
+            r = result(F.lit(0.5), F.lit(0.0), F.lit("The detector's model is not available"))
         else:
-            own = d.score(units, id_col, context)
-        own = own.select(id_col, F.lit(d.name).alias("detector"), F.lit(position).alias("position"), "score", "confidence", "error")
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        raise ValueError("no detector is given")
-    return out
+            r = d.score.outcome(F.col("text"), F.col("words"), t)
+        outcomes.append(F.struct(F.lit(d.name).alias("detector"), F.lit(position).alias("position"), r.alias("r")))
+    each = ready.select(id_col, F.explode(F.array(*outcomes)).alias("o"))
+    return each.select(id_col, "o.detector", "o.position", "o.r.score", "o.r.confidence", "o.r.error")
+
+
+def score_units(units: DataFrame, detectors: Sequence[Detector], context: Context, id_col: str = "doc_id", isolate: bool = False) -> DataFrame:
+    """Long rows (id, detector, position, score, confidence, error) of all detectors.
+
+    A detector without a scorer, or whose plan can't be made, yields the
+    standard error result; setup errors are raised. Of a repeated name the last
+    holds, at the first one's place. The position is that in `detectors` and
+    orders what is merged later. No detectors, no rows. If isolated, each
+    detector that is not row-wise runs as a job of its own at once, is cached,
+    and yields error results where that job fails.
+    """
+    by_name = {d.name: d for d in detectors}
+    numbered = list(enumerate(by_name.values()))
+    if not numbered:
+        return _failed(units, id_col, Detector("", "fast", ()), 0, "").where("false")
+    at_once = [(i, d) for i, d in numbered if d.score is None or isinstance(d.score, RowWise)]
+    parts = [_in_one_pass(units, at_once, id_col, context.thresholds)] if at_once else []
+    for position, d in numbered:
+        if d.score is None or isinstance(d.score, RowWise):
+            continue
+        try:
+            own = d.score(units, id_col, context).select(id_col, F.lit(d.name).alias("detector"), F.lit(position).alias("position"), "score", "confidence", "error")
+            if isolate:
+                own = own.persist()
+                own.count()
+        except DetectorInitError:
+            raise
+        except Exception as failure:  # whatever a detector raises is its own result
+            own = _failed(units, id_col, d, position, f"{type(failure).__name__}: {str(failure).splitlines()[0] if str(failure) else ''}"[:200])
+        parts.append(own)
+    return reduce(DataFrame.unionByName, parts).select(id_col, *_RESULT)
+
+
+def combined(name: str, members: Sequence[Detector], strategy: str = "weighted_average", weights: dict[str, float] | None = None, tier: str = "slow", domains: tuple[str, ...] = _PROSE) -> Detector:
+    """An ensemble as a detector. A member's error enters as its error result, and is no error of the ensemble."""
+
+    def score(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+        found = ensemble.combine(score_units(units, members, context, id_col), strategy, weights, id_col)
+        return found.select(id_col, "score", "confidence", F.lit(None).cast("string").alias("error"))
+
+    return Detector(name, tier, domains, score)

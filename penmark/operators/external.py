@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penmark.functions import features as X
+from penmark.operators.detectors import Detector
+
 REPLY_CONFIDENCE = {"low": 0.4, "medium": 0.7, "high": 0.9}
 
 
@@ -24,7 +27,7 @@ def classifier_score(label: Column, probability: Column) -> tuple[Column, Column
 def logprob_score(mean: Column) -> tuple[Column, Column]:
     """From the mean log probability of the tokens; none gives (0.5, 0.3)."""
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - mean / -10))
-    return F.coalesce(score, F.lit(0.5)), F.when(mean.isNull(), 0.3).otherwise(0.7)
+    return F.when(mean.isNull(), 0.5).otherwise(score), F.when(mean.isNull(), 0.3).otherwise(0.7)
 
 
 def rating_score(reply: Column) -> Column:
@@ -78,3 +81,61 @@ def attributed(scores: DataFrame, id_col: str = "doc_id", by: str = "sum") -> Da
     """Rows (id, pos, token, value) with value over its sum (gradients) or maximum (attention) in the text."""
     over = F.expr(f"{'sum' if by == 'sum' else 'max'}(value) OVER (PARTITION BY {id_col})")
     return scores.where(~F.col("token").isin("[CLS]", "[SEP]", "[PAD]", "<s>", "</s>", "<pad>")).withColumn("score", F.coalesce(F.try_divide(F.col("value"), over), F.lit(0.0)))
+
+
+Client = Callable[[list[str]], list[str | None]]
+
+
+def _outcome(replies: DataFrame, id_col: str, score: Column, confidence: Column) -> DataFrame:
+    """Results of one reply each; a missing reply is the error result."""
+    none = F.col("reply").isNull()
+    return replies.select(
+        id_col, F.when(none, 0.5).otherwise(score).alias("score"), F.when(none, 0.0).otherwise(confidence).alias("confidence"),
+        F.when(none, F.lit("no reply")).alias("error"),
+    )
+
+
+def classifier(name: str, client: Client, domains: tuple[str, ...] = ("prose",)) -> Detector:
+    """A detector by a classifier: a text's reply is JSON with label and probability."""
+
+    def score(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+        parsed = F.from_json("reply", "label string, probability double")
+        replies = asked(units.withColumn("prompt", F.col("text")), client, id_col).select(id_col, F.when(parsed["probability"].isNotNull(), F.col("reply")).alias("reply"))
+        return _outcome(replies, id_col, *classifier_score(parsed["label"], parsed["probability"]))
+
+    return Detector(name, "slow", domains, score)
+
+
+def logprob(client: Client, domains: tuple[str, ...] = ("prose", "code")) -> Detector:
+    """By mean log probabilities: a text's reply is that number; one that is no number gives (0.5, 0.3)."""
+
+    def score(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+        return _outcome(asked(units.withColumn("prompt", F.col("text")), client, id_col), id_col, *logprob_score(F.col("reply").try_cast("double")))
+
+    return Detector("llm_logprob", "slow", domains, score)
+
+
+def perturbation(client: Client, paraphraser: Client, domains: tuple[str, ...] = ("prose",)) -> Detector:
+    """By ratings of a text and of its paraphrases: the client rates 0 to 10, the paraphraser replies with a JSON list of texts."""
+
+    def score(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+        rated = asked(units.withColumn("prompt", F.col("text")), client, id_col).select(id_col, "reply", rating_score(F.col("reply")).alias("original"))
+        others = asked(units.withColumn("prompt", F.col("text")), paraphraser, id_col)
+        each = others.select(F.col(id_col).alias("__of"), F.posexplode(F.from_json("reply", "array<string>")).alias("i", "prompt"))
+        keyed = each.select(F.struct("__of", "i").alias("key"), "prompt")
+        means = asked(keyed, client, "key").groupBy(F.col("key.__of").alias("__of")).agg(F.avg(rating_score(F.col("reply"))).alias("perturbed"))
+        joined = rated.join(means, F.col(id_col) == F.col("__of"), "left")
+        return _outcome(joined, id_col, *perturbation_score(F.col("original"), F.col("perturbed")))
+
+    return Detector("llm_perturbation", "slow", domains, score)
+
+
+def reasoning(client: Client, made: Callable[[Column], dict[str, Column]] = X.stylometry, domains: tuple[str, ...] = ("prose",)) -> Detector:
+    """By a reasoning model's answer to escalation_prompt()."""
+
+    def score(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+        replies = asked(units.withColumn("prompt", escalation_prompt(F.col("text"), made(F.col("text")))), client, id_col)
+        answer = json_reply(F.col("reply"))
+        return _outcome(replies, id_col, answer["score"], answer["confidence"])
+
+    return Detector("llm_reasoning", "slow", domains, score)

@@ -27,9 +27,13 @@ def detect(
     """(id, score, confidence, label, n_chunks) of every text.
 
     A text of fewer than `least` words is uncertain at 0.5 and is not scored.
-    Scores and confidences of the others are means over their chunks.
+    Scores and confidences of the others are means over their chunks. Without
+    detectors every text is uncertain at 0.5, long ones with no confidence.
     """
     ready = prepared(texts, id_col, text_col, least)
+    if not detectors:
+        unsure = F.when(F.col("short"), short_confidence).otherwise(0.0)
+        return ready.select(id_col, F.lit(0.5).alias("score"), unsure.alias("confidence"), F.lit("uncertain").alias("label"), F.lit(0).cast("long").alias("n_chunks"))
     chunks = chunked(ready.where(~F.col("short")), id_col).select(F.struct(id_col, "chunk_index").alias("unit"), "text")
     scores = score_units(chunks, detectors, context, "unit")
     by_chunk = ensemble.combine(scores, strategy, weights, "unit").select(F.col(f"unit.{id_col}").alias(id_col), "score", "confidence")
@@ -48,6 +52,30 @@ def detector_means(scores: DataFrame, unit_col: str = "unit", id_col: str = "doc
     )
 
 
+def joined_heatmap(parts: DataFrame, unit_col: str = "unit", id_col: str = "doc_id") -> DataFrame:
+    """Rows (unit, position, heatmap) to (id, heatmap): concatenated over chunks, within one over detectors in order."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(f"{unit_col}.chunk_index").alias("chunk"), "position", "heatmap")))
+    return parts.groupBy(F.col(f"{unit_col}.{id_col}").alias(id_col)).agg(F.flatten(F.transform(ordered, lambda x: x["heatmap"])).alias("heatmap"))
+
+
+def joined_features(parts: DataFrame, unit_col: str = "unit", id_col: str = "doc_id", most: int = 20) -> DataFrame:
+    """Rows (unit, rank, feature, value) of the chunks' top features to (id, features): in the order of the chunks, the first `most`."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(f"{unit_col}.chunk_index").alias("chunk"), "rank", "feature", "value")))
+    first = F.transform(F.slice(ordered, 1, most), lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value")))
+    return parts.groupBy(F.col(f"{unit_col}.{id_col}").alias(id_col)).agg(first.alias("features"))
+
+
+def heatmaps(ready: DataFrame, parts: DataFrame | None = None, id_col: str = "doc_id", most: int = 200) -> DataFrame:
+    """(id, heatmap, sentences) of prepared() texts: the joined heatmap of `parts`, else 0.5 for each token.
+
+    Sentences are scored over all tokens; only then the heatmap is cut to `most`.
+    """
+    rows = ready.select(id_col, "text") if parts is None else ready.select(id_col, "text").join(joined_heatmap(parts, id_col=id_col), id_col, "left")
+    plain = token_heatmap(T.tokens(F.col("text")))
+    rows = rows.select(id_col, "text", (plain if parts is None else F.coalesce("heatmap", plain)).alias("heatmap"))
+    return rows.select(id_col, F.slice("heatmap", 1, most).alias("heatmap"), sentence_scores(F.col("heatmap"), sentence_bounds(F.col("text"))).alias("sentences"))
+
+
 def token_heatmap(tokens: Column, scores: Column | None = None) -> Column:
     """array<struct<token,score>>, cut to the shorter; 0.5 for each token without scores."""
     if scores is None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from penmark.functions import lexicons as L
 from penmark.functions import text as T
 from penmark.operators import detectors, ensemble, facade, grains, lm
+from penmark.operators.grains import chunked
 from penmark.plans import lexical as Q
 from penmark.plans import sqltext as S
 from penmark.plans.lexical import documents, rounded, table
@@ -103,6 +104,18 @@ def facade_detect(spark, folder):
     return found.select("doc_id", "n_chunks", score.alias("score"), confidence.alias("confidence"), label.alias("label"))
 
 
+def facade_detectors(spark, folder):
+    ready = facade.prepared(documents(spark, folder))
+    units = chunked(ready.where(~F.col("short")), "doc_id").select(F.struct("doc_id", "chunk_index").alias("unit"), "text")
+    means = facade.detector_means(detectors.score_units(units, CATALOG.select(FAST), _context(spark, folder), "unit"))
+    return means.select("doc_id", "detector", *rounded({"score": F.col("score"), "confidence": F.col("confidence")}))
+
+
+def facade_heatmap(spark, folder):
+    found = facade.heatmaps(facade.prepared(documents(spark, folder)))
+    return found.select("doc_id", F.size("heatmap").cast("bigint").alias("n_tokens"), F.array_join(F.transform("heatmap", lambda t: t["token"]), " ").alias("tokens"), F.size("sentences").cast("bigint").alias("n_sentences"))
+
+
 def _feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Scores as features: each detector reports its score and confidence under shared names, in order."""
     each = F.explode(F.array(F.struct(F.lit("score").alias("feature"), F.col("score").alias("value")), F.struct(F.concat("detector", F.lit("_confidence")).alias("feature"), (F.col("confidence") - 0.5).alias("value"))))
@@ -236,6 +249,8 @@ e AS (SELECT doc_id // 100000 AS doc_id, avg(score) AS score, avg(confidence) AS
 f AS (SELECT doc_id, count(*) AS n_chunks, round(CAST(avg(score) AS DOUBLE), 6) AS score, round(CAST(avg(confidence) AS DOUBLE), 6) AS confidence FROM e GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(score, 0.5) AS score, coalesce(confidence, 0.3) AS confidence,
   CASE WHEN n_chunks IS NULL THEN 'uncertain' ELSE {_LABEL.format(s='score', c='confidence')} END AS label FROM documents d LEFT JOIN f USING (doc_id)"""
+_FACADE_MEANS_SQL = FACADE_SQL[: FACADE_SQL.index("scores AS (SELECT * FROM")] + f"""scores AS (SELECT 'entropy' AS detector, * FROM ({_ENTROPY_SCORE}){"".join(f" UNION ALL SELECT '{n}', * FROM ({q})" for n, q in _UNIT_SQL.items())})
+SELECT doc_id // 100000 AS doc_id, detector, round(CAST(avg(score) AS DOUBLE), 6) AS score, round(CAST(avg(confidence) AS DOUBLE), 6) AS confidence FROM scores GROUP BY doc_id // 100000, detector"""
 _HEAT = rf"""h AS (SELECT doc_id, text, {S.tokens()} AS t FROM (SELECT doc_id, {S.strip(r"regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')")} AS text FROM documents))"""
 
 QUERIES = {
@@ -272,6 +287,8 @@ WITH {SCORES_SQL} SELECT doc_id, round(CAST(avg(score) - 1.96 * stddev_samp(scor
 WITH {SCORES_SQL}, j AS (SELECT doc_id, detector, score, quality FROM scores JOIN labels USING (doc_id))
 SELECT x.detector AS a, y.detector AS b, count(*) AS n, round(CAST(sum(x.score * y.score) AS DOUBLE), 6) AS product, round(CAST(sum(x.score * x.quality) AS DOUBLE), 6) AS target FROM j x JOIN j y USING (doc_id) GROUP BY 1, 2"""),
     "facade_detect": (facade_detect, FACADE_SQL),
+    "facade_detectors": (facade_detectors, _FACADE_MEANS_SQL),
+    "facade_heatmap": (facade_heatmap, rf"WITH {_HEAT} SELECT doc_id, least(200, len(t)) AS n_tokens, array_to_string(t[1:200], ' ') AS tokens, len({S.terminated()}) AS n_sentences FROM h"),
     "feature_vector_merge": (feature_vector_merge, f"{_FEATURES_SQL} SELECT doc_id, feature, arg_max(value, position) AS value FROM ft GROUP BY doc_id, feature"),
     "top_features": (top_features, f"""{_FEATURES_SQL}
 SELECT doc_id, rank, feature, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(value) DESC, position, feature) AS rank FROM ft) WHERE rank <= 5"""),

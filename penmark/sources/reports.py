@@ -66,3 +66,19 @@ def promoted_config(decisions: DataFrame, paths: dict[str, str]) -> tuple[str, s
     yaml = "\n".join(["# Promoted calibrations", "penmark:", "  detector_calibration_paths:", *(f"    {d}: {paths[d]}" for d in chosen)]) + "\n"
     rejected = {r["detector"]: list(r["reasons"]) or ["no artifact"] for r in rows if r["detector"] not in chosen}
     return yaml, json.dumps({"selected": chosen, "rejected": rejected}, indent=2, sort_keys=True)
+
+
+def short_markdown(results: DataFrame) -> str:
+    """One list item for each overall result."""
+    rows = results.where("stratum = 'overall'").orderBy("dataset", "detector").collect() if "stratum" in results.columns else results.orderBy("detector").collect()
+    items = [f"- {r['detector']}: AUROC {r['auroc']:.4f}, F1 {r['f1']:.4f}, {r['num_samples']} samples" for r in rows]
+    return "\n".join(["# Results", "", *items]) + "\n"
+
+
+def calibration_results(report: DataFrame, dataset: str) -> tuple[str, str]:
+    """The JSON of a report (detector, before, after, delta) and its table as text; detectors are few."""
+    rows = {r["detector"]: json.loads(r["m"]) for r in report.select("detector", F.to_json(F.struct("before", "after", "delta")).alias("m")).orderBy("detector").collect()}
+    lines = [f"{'detector':<16}{'AUROC':>18}{'F1':>18}"]
+    for name, m in rows.items():
+        lines.append(f"{name:<16}" + "".join(f"{m['before'][c]:>9.4f}{m['after'][c]:>9.4f}" for c in ("auroc", "f1")))
+    return json.dumps({"dataset": dataset, "results": rows}, indent=2, sort_keys=True), "\n".join(lines)

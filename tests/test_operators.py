@@ -75,7 +75,7 @@ def test_code_detector(spark):
     parsed = {r["doc_id"]: (r["function_count"], r["max_function_depth"]) for r in detectors.syntax_features(df, "doc_id").collect()}
     assert parsed == {1: (1.0, 3.0), 2: (0.0, 0.0), 3: (0.0, 0.0)}
     out = {r["doc_id"]: r for r in detectors.default_catalog().get("code").score(df, "doc_id", detectors.Context()).collect()}
-    assert (out[2]["score"], out[2]["confidence"], out[2]["error"]) == (0.5, 0.3, "Could not parse as code")
+    assert (out[2]["score"], out[2]["confidence"], out[2]["error"]) == (0.5, 0.3, "no function could be parsed")
     assert out[1]["error"] is None
 
 
