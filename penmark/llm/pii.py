@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penmark.llm.session import checkpointed, table
+from penmark.llm.session import checkpointed, discard, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS = 3
 #: Distinct instances that a reliable pattern has at least, and the share of known ones among them.
 MIN_SUPPORT = 4
 MIN_CONFIDENCE = 0.6
@@ -109,16 +108,19 @@ _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32
 _SPOT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 
 
-def reliable_instances(edges: DataFrame, *, rounds: int, min_support: int, min_confidence: float, accept: float) -> DataFrame:
+def reliable_instances(edges: DataFrame, *, min_support: int, min_confidence: float, accept: float) -> DataFrame:
     """Instances that are not of the fixed kinds but whose patterns give them `accept` or more, from distinct edges (pattern, instance, seed, base).
 
     pattern: sum of its instances' scores / (number of instances + 1), if it has
     `min_support` instances and that value is `min_confidence` or more, else 0;
     instance: 1 - product of (1 - value) over its patterns; a seed counts as 1
-    for its patterns.
+    for its patterns. Values only rise, so reliable patterns and accepted
+    instances only grow in number; it ends when a turn adds none of either.
     """
     scores = edges.where("seed").select("instance", F.lit(1.0).alias("score")).distinct()
-    for _ in range(rounds):
+    before, found = None, None
+    while before is None or found != before:
+        before, last = found, scores
         rated = (
             edges.join(scores, "instance", "left")
             .groupBy("pattern")
@@ -128,10 +130,15 @@ def reliable_instances(edges: DataFrame, *, rounds: int, min_support: int, min_c
         scores = checkpointed(
             edges.join(rated.select("pattern", "confidence"), "pattern", "left")
             .groupBy("instance")
-            .agg(F.max("seed").alias("seed"), F.max("base").alias("base"), F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("doubt"))
-            .select("instance", "base", (1 - F.exp("doubt")).alias("own"), F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score"))
+            .agg(
+                F.max("seed").alias("seed"), F.max("base").alias("base"), F.count("confidence").alias("patterns"),
+                F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("doubt"),
+            )
+            .select("instance", "base", "patterns", (1 - F.exp("doubt")).alias("own"), F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score"))
             .where("score > 0")
-        )
+        )
+        discard(last)
+        found = tuple(scores.agg(F.count("*"), F.sum("patterns"), F.count_if(F.col("own") >= accept)).first())
     return scores.where(~F.col("base") & (F.col("own") >= accept)).select("instance")
 
 
@@ -140,7 +147,6 @@ def find_personal_data(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = ROUNDS,
     min_support: int = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
     accept: float = ACCEPT,
@@ -173,7 +179,7 @@ def find_personal_data(
         .groupBy("pattern", "instance")
         .agg(F.max("seed").alias("seed"), F.max("base").alias("base"))
     )
-    accepted = reliable_instances(edges, rounds=rounds, min_support=min_support, min_confidence=min_confidence, accept=accept)
+    accepted = reliable_instances(edges, min_support=min_support, min_confidence=min_confidence, accept=accept)
     new = (
         each.where(~F.col("base"))
         .join(accepted, "instance")
