@@ -16,6 +16,7 @@ _REGISTERED = {
     "line_dedup": ("op6_line_dedup", "OP6_SQL"),
     "media": ("op8_media_columns", None),
     "decontaminate": ("op9_benchmark_decontamination", "OP9_SQL"),
+    "periodic_runs": ("op11_periodic_run_detection", "OP11_SQL"),
     "token_counts": ("op13_token_counts", None),
 }
 

@@ -74,8 +74,8 @@ def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of some texts: 64-bit hash, text number and byte span of each."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray):
-        low = LOWER[raw]
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, *, lower: bool = True):
+        low = LOWER[raw] if lower else raw
         inside = word_bytes[low]
         before = np.zeros_like(inside)
         before[1:] = inside[:-1]
