@@ -17,6 +17,7 @@ _REGISTERED = {
     "media": ("op8_media_columns", None),
     "decontaminate": ("op9_benchmark_decontamination", "OP9_SQL"),
     "periodic_runs": ("op11_periodic_run_detection", "OP11_SQL"),
+    "prefix_trie": ("op12_conversation_prefix_trie", "OP12_SQL"),
     "token_counts": ("op13_token_counts", None),
 }
 
