@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -15,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penmark.functions import features as X
-from penmark.operators.detectors import Detector, ModelNotFoundError
+from penmark.operators import shapley
+from penmark.operators.detectors import Context, Detector, ModelNotFoundError
 
 
 def assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -69,50 +68,12 @@ def detector(model: GBTClassificationModel, features: Sequence[str], made: Calla
     return Detector("boosted_stylometric", "fast", ("prose", "academic"), score)
 
 
-def _flat(model: GBTClassificationModel) -> list[tuple[float, list[tuple]]]:
-    """Each tree as (weight, nodes): nodes (feature or -1, threshold, left, right, value)."""
-    out = []
-    for weight, tree in zip(model.treeWeights, model.trees, strict=True):
-        nodes: list[tuple] = []
+def attributions(
+    model: GBTClassificationModel, rows: DataFrame, features: Sequence[str], id_col: str = "doc_id", top: int = 10, background: DataFrame | None = None
+) -> DataFrame:
+    """(id, rank, feature, value): the `top` Shapley values of each row, of the margin that the trees sum up to.
 
-        def walk(node, nodes=nodes) -> int:
-            at = len(nodes)
-            nodes.append(())
-            if node.numDescendants() == 0:
-                nodes[at] = (-1, 0.0, 0, 0, node.prediction())
-            else:
-                cut = node.split()
-                left, right = walk(node.leftChild()), walk(node.rightChild())
-                nodes[at] = (cut.featureIndex(), cut.threshold(), left, right, node.prediction())
-            return at
-
-        walk(tree._call_java("rootNode"))
-        out.append((weight, nodes))
-    return out
-
-
-def attributions(model: GBTClassificationModel, rows: DataFrame, features: Sequence[str], id_col: str = "doc_id", top: int = 10) -> DataFrame:
-    """(id, feature, value): the `top` path attributions of each row.
-
-    Along a row's path through each tree, every split is credited with the
-    change of the node's prediction; sums over trees add up to the margin.
+    `background` (the rows themselves if null) says how often each side of a split is taken.
     """
-    trees, names = _flat(model), list(features)
-
-    @F.pandas_udf("array<struct<feature:string,value:double>>")
-    def paths(vectors: pd.Series) -> pd.Series:
-        out = []
-        for x in vectors:
-            credit = np.zeros(len(names))
-            for weight, nodes in trees:
-                at = 0
-                while nodes[at][0] >= 0:
-                    feature, threshold, left, right, value = nodes[at]
-                    at = left if x[feature] <= threshold else right
-                    credit[feature] += weight * (nodes[at][4] - value)
-            order = np.argsort(-np.abs(credit), kind="stable")[:top]
-            out.append([{"feature": names[i], "value": float(credit[i])} for i in order])
-        return pd.Series(out)
-
-    each = assembled(rows, features).select(id_col, F.explode(paths(vector_to_array("x"))).alias("a"))
-    return each.select(id_col, "a.feature", "a.value")
+    explained = shapley.explain(shapley.trees_of(model), rows, features, background=background, id_col=id_col)
+    return shapley.ranked(explained, features, id_col, top)

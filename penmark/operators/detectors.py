@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from penmark.functions import features as X
 from penmark.functions import text as T
-from penmark.operators import ensemble, grains, lm
+from penmark.operators import ensemble, grains, lm, shapley
 
 INFINITY = float("inf")
 
@@ -94,6 +95,17 @@ def stylometric(std_sentence_length: Column, ttr: Column, hapax: Column) -> Colu
     return result(pick(0.7, 0.6, 0.55, 0.3), pick(0.6, 0.5, 0.5, 0.4))
 
 
+#: Features of the stylometric rule, which is a tree of three splits, and that tree.
+STYLOMETRIC_FEATURES = ("std_sentence_length", "ttr", "hapax_ratio")
+STYLOMETRIC_TREE = shapley.Tree(
+    feature=(0, -1, 1, -1, 2, -1, -1),
+    threshold=(math.nextafter(3, 0), 0.0, math.nextafter(0.4, 0), 0.0, math.nextafter(0.2, 0), 0.0, 0.0),
+    left=(1, 0, 3, 0, 5, 0, 0),
+    right=(2, 0, 4, 0, 6, 0, 0),
+    value=(0.0, 0.7, 0.0, 0.6, 0.0, 0.55, 0.3),
+)
+
+
 def cognitive(tokens: Column, f: dict[str, Column]) -> Column:
     signals = (
         (f["paragraph_length_cv"] < 0.3, 0.2), (f["transition_uniformity"] > 0.6, 0.15), (f["sentence_depth_cv"] < 0.3, 0.15),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from penmark.functions import features as X
 from penmark.functions import text as T
-from penmark.operators import boosting, calibration, external, metrics
+from penmark.operators import boosting, calibration, detectors, external, metrics, shapley
 from penmark.plans import lexical as Q
 from penmark.plans import sqltext as S
 from penmark.plans.lexical import documents, rounded, table
@@ -113,6 +113,16 @@ def boosted_attributions(spark, folder):
     return boosting.attributions(model, rows, FEATURES, top=3)
 
 
+def stylometric_attributions(spark, folder):
+    """Shapley values of the stylometric rule's score, over all documents."""
+    rows = documents(spark, folder).select("doc_id", "text", T.words(F.col("text")).alias("w")).withColumn("k", T.run_lengths(F.col("w")))
+    f = X.richness(F.col("w"), F.col("k")) | X.sentence_lengths(F.col("text"))
+    made = rows.select("doc_id", *[f[c].alias(c) for c in detectors.STYLOMETRIC_FEATURES])
+    found = shapley.explain([detectors.STYLOMETRIC_TREE], made, detectors.STYLOMETRIC_FEATURES)
+    values = {c: F.get("values", F.lit(i)) for i, c in enumerate(detectors.STYLOMETRIC_FEATURES)}
+    return found.select("doc_id", *rounded({"expected": F.col("expected"), "margin": F.col("margin")} | values))
+
+
 def promotion_gate(spark, folder):
     """Each language is gated as if it were a detector: scores against their squares' complements."""
     rows = scored(spark, folder)
@@ -176,6 +186,26 @@ scored AS (SELECT * FROM each WHERE stratum IN (SELECT stratum FROM each GROUP B
 strata AS (SELECT stratum, n, round(auroc, 6) AS auroc, round({_F1}, 6) AS f1 FROM (SELECT *, {_PR} FROM (SELECT stratum, count(*) AS n, {_CONFUSION} FROM (SELECT *, score >= {THRESHOLD} AS guess FROM scored) GROUP BY stratum)) JOIN (SELECT g AS stratum, {_AUROC} AS auroc FROM curve GROUP BY g) USING (stratum))"""
 _LANG = f"WITH {SCORED_SQL}, {_curve_sql('lang')}"
 
+#: The value of a set of known features is bilinear in what is known (0 or 1) and the background's shares.
+def _known(bits: int) -> str:
+    a, b, c = (f"(CASE WHEN {x} THEN 1.0::DOUBLE ELSE 0 END)" if bits >> i & 1 else p for i, (x, p) in enumerate((("x0", "p0"), ("x1", "p1"), ("x2", "p2"))))
+    return f"({a} * 0.7 + (1 - {a}) * ({b} * 0.6 + (1 - {b}) * ({c} * 0.55 + (1 - {c}) * 0.3)))"
+
+
+def _value(i: int) -> str:
+    j, k = (1 << x for x in range(3) if x != i)
+    own = 1 << i
+    terms = ((0, 2), (j, 1), (k, 1), (j | k, 2))
+    return "(" + " + ".join(f"{weight} * (v{others | own} - v{others})" for others, weight in terms) + ") / 6"
+
+
+_ATTRIBUTIONS_SQL = f"""
+WITH f AS (SELECT doc_id, coalesce(list_stddev_samp({Q._SENTENCE_SIZES}), 0) < 3 AS x0, coalesce(ttr, 0) < 0.4 AS x1, coalesce(hapax, 0) < 0.2 AS x2 FROM documents LEFT JOIN (
+  SELECT doc_id, count(*) / CAST(sum(k) AS DOUBLE) AS ttr, count(*) FILTER (k = 1) / CAST(sum(k) AS DOUBLE) AS hapax FROM {Q._COUNTS} GROUP BY doc_id) USING (doc_id)),
+p AS (SELECT avg(x0::INT) AS p0, coalesce(avg(x1::INT) FILTER (NOT x0), 0.5) AS p1, coalesce(avg(x2::INT) FILTER (NOT x0 AND NOT x1), 0.5) AS p2 FROM f),
+v AS (SELECT doc_id, {', '.join(f'{_known(bits)} AS v{bits}' for bits in range(8))} FROM f, p)
+SELECT doc_id, round(v0, 6) AS expected, round(v7, 6) AS margin, {', '.join(f'round({_value(i)}, 6) + 0.0 AS {c}' for i, c in enumerate(detectors.STYLOMETRIC_FEATURES))} FROM v"""
+
 QUERIES = {
     "confusion_metrics": (confusion_metrics, f"""
 WITH {SCORED_SQL} SELECT tn, fp, fn, tp, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_F1}, 6) AS f1
@@ -202,6 +232,7 @@ SELECT doc_id, label, CASE WHEN o < q THEN 'test' ELSE 'train' END AS split FROM
     "calibration_fit": (calibration_fit, None),
     "boosted_stylometry": (boosted_stylometry, None),
     "boosted_attributions": (boosted_attributions, None),
+    "stylometric_attributions": (stylometric_attributions, _ATTRIBUTIONS_SQL),
     "promotion_gate": (promotion_gate, f"""
 WITH {SCORED_SQL.replace('scored AS', 'base AS')}, scored AS (SELECT lang || '|0' AS lang, label, score FROM base UNION ALL SELECT lang || '|1', label, round(1 - score, 6) FROM base), {_curve_sql('lang')},
 m AS (SELECT split_part(lang, '|', 1) AS detector, split_part(lang, '|', 2) AS step, round(auroc, 6) AS auroc, round({_F1}, 6) AS f1 FROM (SELECT *, {_PR} FROM (SELECT lang, {_CONFUSION} FROM (SELECT *, score >= {THRESHOLD} AS guess FROM scored) GROUP BY lang)) JOIN (SELECT g AS lang, {_AUROC} AS auroc FROM curve GROUP BY g) USING (lang)),
