@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from penmark.functions import features as X
 from penmark.functions import text as T
-from penmark.operators import ensemble, grains, lm, shapley
+from penmark.operators import ensemble, grains, kneser_ney, lm, shapley
 
 INFINITY = float("inf")
 
@@ -210,10 +210,11 @@ def syntax_features(units: DataFrame, id_col: str, text_col: str = "text") -> Da
 
 @dataclass(frozen=True)
 class Context:
-    """What detectors need besides the text: reference frequencies, a language model, thresholds."""
+    """What detectors need besides the text: reference frequencies, a language model, a larger one, thresholds."""
 
     reference: DataFrame | None = None
     model: lm.BigramModel | None = None
+    large: kneser_ney.KneserNey | None = None
     thresholds: Thresholds = field(default_factory=Thresholds)
 
 
@@ -278,6 +279,13 @@ def _perplexity(units: DataFrame, id_col: str, context: Context) -> DataFrame:
     return units.select(id_col).join(stats, id_col, "left").select(id_col, perplexity(F.col("mean_perplexity"), F.col("perplexity_std")).alias("r")).select(id_col, "r.*")
 
 
+def _perplexity_large(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+    if context.large is None:
+        raise DetectionError("there is no trigram model")
+    stats = lm.windowed_perplexity(kneser_ney.token_surprisals(units, context.large, id_col), id_col)
+    return units.select(id_col).join(stats, id_col, "left").select(id_col, perplexity(F.col("mean_perplexity"), F.col("perplexity_std")).alias("r")).select(id_col, "r.*")
+
+
 def _surprisal(units: DataFrame, id_col: str, context: Context) -> DataFrame:
     stats = lm.surprisal_stats(lm.token_surprisals(units, context.model, id_col), id_col)
     f = {c: F.col(c) for c in stats.columns if c not in (id_col, "n_surprisals")}
@@ -340,7 +348,7 @@ _PROSE, _ALL = ("prose",), ("prose", "academic")
 
 def default_catalog() -> Catalog:
     return Catalog([
-        Detector("perplexity", "medium", _ALL, _perplexity), Detector("perplexity_large", "slow", _ALL, _perplexity),
+        Detector("perplexity", "medium", _ALL, _perplexity), Detector("perplexity_large", "slow", _ALL, _perplexity_large),
         Detector("burstiness", "slow", _ALL, _burstiness), Detector("entropy", "fast", _ALL, _entropy),
         Detector("repetition", "fast", _ALL, _repetition_with_bleu), Detector("curvature", "medium", _ALL, _curvature),
         Detector("surprisal", "medium", _ALL, _surprisal), Detector("stylometric", "fast", _ALL, RowWise(_stylometric)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from penmark.functions import lexicons as L
 from penmark.functions import text as T
-from penmark.operators import detectors, ensemble, facade, grains, lm
+from penmark.operators import detectors, ensemble, facade, grains, kneser_ney, lm
 from penmark.operators.grains import chunked
 from penmark.plans import lexical as Q
 from penmark.plans import sqltext as S
@@ -62,6 +62,18 @@ def _detector(name: str, model: bool = False):
     return query
 
 
+def kneser_ney_surprisal(spark, folder):
+    rows = documents(spark, folder)
+    found = kneser_ney.text_surprisals(rows, kneser_ney.KneserNey.count(rows))
+    return found.select("doc_id", "n", *rounded({"mean_surprisal": F.col("mean_surprisal")}))
+
+
+def detector_perplexity_large(spark, folder):
+    rows = documents(spark, folder)
+    scores = detectors.score_units(rows, [CATALOG.get("perplexity_large")], detectors.Context(large=kneser_ney.KneserNey.count(rows)))
+    return scores.select("doc_id", *rounded({"score": F.col("score"), "confidence": F.col("confidence")}))
+
+
 def _all_scores(spark: SparkSession, folder: str) -> DataFrame:
     return detectors.score_units(documents(spark, folder), CATALOG.select(COMBINED), _context(spark, folder))
 
@@ -191,6 +203,26 @@ ku AS (SELECT unit, unit // 1000000 AS doc_id, avg(ppl) AS ppl FROM kw GROUP BY
 burst AS (SELECT doc_id, count(*) AS sentence_count, stddev_pop(ppl) / avg(ppl) AS burstiness_cv, avg(ppl) AS mean_perplexity, stddev_pop(ppl) AS std_perplexity FROM ku GROUP BY doc_id HAVING count(*) >= 2)"""
 
 
+def _order_sql(k: int) -> str:
+    """Order k (0 the highest) of the trigram model: contexts with what their discounts leave, and kept shares of sequences."""
+    d = [f"d{k}{m}" for m in (1, 2, 3)]
+    sizes = ", ".join(f"count(*) FILTER (n = {m})::DOUBLE AS n{m}" for m in (1, 2, 3, 4))
+    each = ", ".join(f"CASE WHEN n1 = 0 OR n2 = 0 OR n{m} = 0 THEN 0.5 ELSE least(greatest({m} - {m + 1} * n1 / (n1 + 2 * n2) * n{m + 1} / n{m}, 0), {m}) END AS {d[m - 1]}" for m in (1, 2, 3))
+    return f"""d{k} AS (SELECT {each} FROM (SELECT {sizes} FROM k{k})),
+x{k} AS (SELECT g[1:len(g) - 1] AS c, sum(n)::DOUBLE AS total, sum(CASE n WHEN 1 THEN {d[0]} WHEN 2 THEN {d[1]} ELSE {d[2]} END) / sum(n) AS rest FROM k{k}, d{k} GROUP BY 1),
+o{k} AS (SELECT g, (n - CASE n WHEN 1 THEN {d[0]} WHEN 2 THEN {d[1]} ELSE {d[2]} END) / total AS kept FROM k{k} JOIN x{k} ON c = g[1:len(g) - 1], d{k})"""
+
+
+KNESER_NEY_SQL = f"""
+n AS (SELECT doc_id, list_concat(['', ''], w) AS w FROM {Q._WORDS}),
+gt AS (SELECT doc_id, i AS pos, w[i + 1:i + 3] AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM n)),
+k0 AS (SELECT g, count(*) AS n FROM gt GROUP BY g), k1 AS (SELECT g[2:] AS g, count(*) AS n FROM k0 GROUP BY 1), k2 AS (SELECT g[2:] AS g, count(*) AS n FROM k1 GROUP BY 1),
+{', '.join(map(_order_sql, range(3)))},
+pr AS (SELECT k0.g, coalesce(o0.kept, 0) + coalesce(x0.rest, 1) * (coalesce(o1.kept, 0) + coalesce(x1.rest, 1) * (coalesce(o2.kept, 0) + x2.rest / (SELECT count(*) + 1 FROM k2))) AS p
+  FROM k0 LEFT JOIN o0 ON o0.g = k0.g LEFT JOIN x0 ON x0.c = k0.g[1:2] LEFT JOIN o1 ON o1.g = k0.g[2:3] LEFT JOIN x1 ON x1.c = k0.g[2:2] LEFT JOIN o2 ON o2.g = k0.g[3:3] LEFT JOIN x2 ON x2.c = []),
+s AS (SELECT doc_id, pos, -ln(p) AS x FROM gt JOIN pr USING (g))"""
+
+
 def _bands(value: str, bands, default: float, sign: str, place: int = 1) -> str:
     cases = " ".join(f"WHEN TRUE THEN {b[place]}" if b[0] == detectors.INFINITY else f"WHEN {value} {sign} {b[0]} THEN {b[place]}" for b in bands)
     return f"CASE {cases} ELSE {default} END"
@@ -264,6 +296,11 @@ QUERIES = {
     "detector_multilingual": (_detector("multilingual"), f"WITH {_LANGUAGE}, {_MULTI} SELECT doc_id, {_ROUNDED} FROM ({_MULTI_SCORE})"),
     "detector_perplexity": (_detector("perplexity", True), f"""
 WITH {PERPLEXITY_SQL} SELECT doc_id, round(CASE WHEN mean_perplexity IS NULL THEN 0.5 ELSE 1 - least(1, greatest(0, (mean_perplexity - 10) / 90)) END, 6) AS score,
+  CAST(CASE WHEN mean_perplexity IS NULL THEN 0 WHEN perplexity_std < 5 THEN 0.9 WHEN perplexity_std < 15 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM documents LEFT JOIN ppl USING (doc_id)"""),
+    "kneser_ney_surprisal": (kneser_ney_surprisal, f"WITH {KNESER_NEY_SQL} SELECT doc_id, count(*) AS n, round(avg(x), 6) AS mean_surprisal FROM s GROUP BY doc_id"),
+    "detector_perplexity_large": (detector_perplexity_large, f"""
+WITH {KNESER_NEY_SQL}, {_windows('s', 'doc_id', 'w')}, ppl AS (SELECT doc_id, avg(ppl) AS mean_perplexity, stddev_pop(ppl) AS perplexity_std FROM w GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN mean_perplexity IS NULL THEN 0.5 ELSE 1 - least(1, greatest(0, (mean_perplexity - 10) / 90)) END, 6) AS score,
   CAST(CASE WHEN mean_perplexity IS NULL THEN 0 WHEN perplexity_std < 5 THEN 0.9 WHEN perplexity_std < 15 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM documents LEFT JOIN ppl USING (doc_id)"""),
     "detector_burstiness": (_detector("burstiness", True), f"""
 WITH {BURSTINESS_SQL} SELECT doc_id, round(CASE WHEN burstiness_cv IS NULL THEN 0.5 ELSE least(1, greatest(0, 1 - burstiness_cv)) END, 6) AS score,
