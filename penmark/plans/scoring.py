@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penmark.functions import lexicons as L
 from penmark.functions import text as T
-from penmark.operators import detectors, ensemble, facade, grains, kneser_ney, lm
+from penmark.operators import attribution, detectors, ensemble, facade, grains, kneser_ney, lm
 from penmark.operators.grains import chunked
 from penmark.plans import lexical as Q
 from penmark.plans import sqltext as S
@@ -128,6 +129,21 @@ def facade_heatmap(spark, folder):
     return found.select("doc_id", F.size("heatmap").cast("bigint").alias("n_tokens"), F.array_join(F.transform("heatmap", lambda t: t["token"]), " ").alias("tokens"), F.size("sentences").cast("bigint").alias("n_sentences"))
 
 
+def _ngram_scorer(spark: SparkSession, folder: str) -> attribution.NgramScorer:
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    return attribution.NgramScorer.fit(documents(spark, folder).join(labels, "doc_id"))
+
+
+def token_attributions(spark, folder):
+    found = _ngram_scorer(spark, folder).attributions(documents(spark, folder))
+    return found.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token", (F.round("attribution", 6) + 0.0).alias("attribution"))
+
+
+def ngram_classifier(spark, folder):
+    scores = detectors.score_units(documents(spark, folder), [attribution.detector(_ngram_scorer(spark, folder))], detectors.Context())
+    return scores.select("doc_id", *rounded({"score": F.col("score"), "confidence": F.col("confidence")}))
+
+
 def _feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Scores as features: each detector reports its score and confidence under shared names, in order."""
     each = F.explode(F.array(F.struct(F.lit("score").alias("feature"), F.col("score").alias("value")), F.struct(F.concat("detector", F.lit("_confidence")).alias("feature"), (F.col("confidence") - 0.5).alias("value"))))
@@ -285,6 +301,25 @@ _FACADE_MEANS_SQL = FACADE_SQL[: FACADE_SQL.index("scores AS (SELECT * FROM")] +
 SELECT doc_id // 100000 AS doc_id, detector, round(CAST(avg(score) AS DOUBLE), 6) AS score, round(CAST(avg(confidence) AS DOUBLE), 6) AS confidence FROM scores GROUP BY doc_id // 100000, detector"""
 _HEAT = rf"""h AS (SELECT doc_id, text, {S.tokens()} AS t FROM (SELECT doc_id, {S.strip(r"regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')")} AS text FROM documents))"""
 
+_NODES, _SHARES = np.polynomial.legendre.leggauss(attribution.POINTS)
+_PANELS = f"(1 + CAST(floor((abs(u) + 2 * abs(b)) / {attribution.PANEL}::DOUBLE) AS INT))"
+NGRAM_SQL = f"""
+lw AS (SELECT quality AS label, {S.tokens()} AS t FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
+lg AS (SELECT label, unnest(list_concat(t, [t[i + 1] || chr(1) || t[i + 2] FOR i IN range(greatest(len(t) - 1, 0))])) AS gram FROM lw),
+cg AS (SELECT gram, contains(gram, chr(1)) AS pair, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM lg GROUP BY gram),
+ct AS (SELECT pair, ln((sum(n0) + count(*))::DOUBLE) - ln((sum(n1) + count(*))::DOUBLE) AS shift FROM cg GROUP BY pair),
+wt AS (SELECT gram, {attribution.SCALE} * (ln((n1 + 1.0::DOUBLE) / (n0 + 1)) + shift) AS w FROM cg JOIN ct USING (pair)),
+bi AS (SELECT ln(count(*) FILTER (label = 1)::DOUBLE / count(*) FILTER (label = 0)) AS bias FROM lw),
+nt AS (SELECT doc_id, t[i + 1] AS token, i AS pos, len(t) AS n, t[i + 1] || chr(1) || t[i + 2] AS pair FROM (SELECT doc_id, t, unnest(range(len(t))) AS i FROM (SELECT doc_id, {S.tokens()} AS t FROM documents))),
+nw AS (SELECT doc_id, pos, token, n, coalesce(x.w, 0) AS own, CASE WHEN pos + 1 < n THEN coalesce(y.w, 0) ELSE 0 END AS two FROM nt LEFT JOIN wt x ON x.gram = token LEFT JOIN wt y ON y.gram = nt.pair),
+nu AS (SELECT doc_id, sum(own) / count(*) AS u, sum(two) / count(*) AS b FROM nw GROUP BY doc_id)"""
+_LOGISTIC = "(1 / (1 + exp(-({0}))))"
+_SLOPES = f"""
+na AS (SELECT doc_id, u, b, {_PANELS} AS m, unnest(range({_PANELS})) AS i FROM nu),
+np AS (SELECT doc_id, (i + x) / m AS a, k / m AS k, u, b FROM na, (VALUES {', '.join(f'({float((x + 1) / 2)!r}::DOUBLE, {float(k / 2)!r}::DOUBLE)' for x, k in zip(_NODES, _SHARES, strict=True))}) r(x, k)),
+nl AS (SELECT doc_id, a, k, {_LOGISTIC.format('bias + a * u + a * a * b')} AS l FROM np, bi),
+ni AS (SELECT doc_id, sum(l * (1 - l) * k) AS flat, sum(l * (1 - l) * k * a) AS rising FROM nl GROUP BY doc_id)"""
+
 QUERIES = {
     "token_surprisal": (token_surprisal, f"WITH {SURPRISALS_SQL} SELECT doc_id, pos, round(x, 6) AS surprisal FROM s"),
     "surprisal_stats": (surprisal_stats, f"WITH {STATS_SQL} SELECT doc_id, n_surprisals, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _STATS)} FROM stats"),
@@ -326,6 +361,11 @@ SELECT x.detector AS a, y.detector AS b, count(*) AS n, round(CAST(sum(x.score *
     "facade_detect": (facade_detect, FACADE_SQL),
     "facade_detectors": (facade_detectors, _FACADE_MEANS_SQL),
     "facade_heatmap": (facade_heatmap, rf"WITH {_HEAT} SELECT doc_id, least(200, len(t)) AS n_tokens, array_to_string(t[1:200], ' ') AS tokens, len({S.terminated()}) AS n_sentences FROM h"),
+    "token_attributions": (token_attributions, f"""
+WITH {NGRAM_SQL}, {_SLOPES} SELECT doc_id, pos, token, round((own * flat + (two + coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY pos), 0)) * rising) / n, 6) + 0.0 AS attribution FROM nw JOIN ni USING (doc_id)"""),
+    "ngram_classifier": (ngram_classifier, f"""
+WITH {NGRAM_SQL}, f AS (SELECT doc_id, u IS NULL AS none, {_LOGISTIC.format('bias + coalesce(u + b, 0)')} AS p FROM documents LEFT JOIN nu USING (doc_id), bi)
+SELECT doc_id, round(CASE WHEN none THEN 0.5 ELSE p END, 6) AS score, round(CASE WHEN none THEN 0 ELSE least(1, p + 0.1) END, 6) AS confidence FROM f"""),
     "feature_vector_merge": (feature_vector_merge, f"{_FEATURES_SQL} SELECT doc_id, feature, arg_max(value, position) AS value FROM ft GROUP BY doc_id, feature"),
     "top_features": (top_features, f"""{_FEATURES_SQL}
 SELECT doc_id, rank, feature, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(value) DESC, position, feature) AS rank FROM ft) WHERE rank <= 5"""),
