@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from penmark.functions import features as X
 from penmark.functions import lexicons as L
 from penmark.functions import text as T
-from penmark.operators import detectors, grains
+from penmark.operators import detectors, grains, sentences
+from penmark.operators.language_profiles import Profiles
 from penmark.plans import sqltext as S
 
 
@@ -90,6 +91,22 @@ def pattern_repetition(spark, folder):
 _PARAGRAPHS = f"""SELECT conv_id, p, [CAST(len({S.tokens('x')}) AS DOUBLE) FOR x IN p] AS n FROM (SELECT conv_id, {S.paragraphs()} AS p FROM {S.CONVERSATIONS})"""
 
 
+def abbreviations(spark, folder):
+    found = sentences.abbreviations(sentences.type_counts(documents(spark, folder)))
+    return found.select("type", "n_with", "n_without", *rounded({"score": F.col("score")}))
+
+
+def guarded_sentences(spark, folder):
+    rows = documents(spark, folder)
+    found = sentences.guarded_sentences(rows, sentences.type_counts(rows))
+    return found.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), F.md5(F.array_join("sentences", "\n")).alias("digest"))
+
+
+def language_profile(spark, folder):
+    rows = documents(spark, folder)
+    return Profiles.learn(rows).identify(rows).select("doc_id", "language", "n_trigrams", *rounded({"margin": F.col("margin")}))
+
+
 def kl_divergence(spark, folder):
     docs = documents(spark, folder)
     reference = grains.reference_frequencies(docs.where("lang = 'en'"))
@@ -202,7 +219,50 @@ def _columns(named: dict[str, str], divisor: str | None = None) -> str:
     return ", ".join(S.r6(f"{e} / CAST({divisor} AS DOUBLE)" if divisor else e, name) for name, e in named.items())
 
 
+def _matches(value: str, pattern: str) -> str:
+    return f"regexp_matches({value}, {S.quoted(pattern)})"
+
+
+def _core_sql(token: str) -> str:
+    return f"regexp_replace(regexp_replace({token}, {S.quoted(sentences._OPENING)}, ''), {S.quoted(sentences._CLOSING)}, '')"
+
+
+def _type_sql(core: str) -> str:
+    return f"lower(CASE WHEN {_period_sql(core)} THEN left({core}, length({core}) - 1) ELSE {core} END)"
+
+
+def _period_sql(core: str) -> str:
+    return f"(ends_with({core}, '.') AND NOT ends_with({core}, '..'))"
+
+
+_LIKELY = "hits * ln({0}) + CASE WHEN misses > 0 THEN misses * ln(1 - {0}) ELSE 0 END"
+SENTENCES_SQL = f"""
+tt AS (SELECT doc_id, {S.tokens()} AS t FROM documents),
+tk AS (SELECT doc_id, i, len(t) AS n, t[i + 1] AS token, t[i] AS before, t[i + 2] AS after, {_core_sql('t[i + 1]')} AS core, {_core_sql('t[i + 2]')} AS next FROM (SELECT *, unnest(range(len(t))) AS i FROM tt)),
+tc AS (SELECT {_type_sql('core')} AS type, count(*) FILTER ({_period_sql('core')}) AS n_with, count(*) FILTER (NOT {_period_sql('core')}) AS n_without, count(*) FILTER ({_matches('core', r'^\p{Ll}')}) AS n_lower,
+    count(*) FILTER ({_matches('core', r'^\p{Lu}')} AND i > 0 AND NOT {_matches('before', sentences._END)}) AS n_inside, count(*) FILTER ({_matches('core', r'^\p{Lu}')} AND (i = 0 OR {_matches('before', sentences._SURE_END)})) AS n_starts
+  FROM tk WHERE {_matches('core', sentences._WORD)} AND NOT ends_with(core, '..') GROUP BY 1),
+ts AS (SELECT *, type.length() - inside AS letters FROM (SELECT type, n_with AS hits, n_without::DOUBLE AS misses, n_without, length(type) - length(replace(type, '.', '')) AS inside FROM tc WHERE n_with > 0)),
+ab AS (SELECT * FROM (SELECT type, hits AS n_with, n_without, 2 * ({_LIKELY.format(f'{sentences.ABBREVIATED}::DOUBLE')} - ({_LIKELY.format('p')})) * exp(-letters::DOUBLE) * (inside + 1) * pow(letters::DOUBLE, -misses) AS score
+  FROM ts, (SELECT sum(n_with) / sum(n_with + n_without)::DOUBLE AS p FROM tc)) WHERE score >= {sentences.LEAST_SCORE})"""
+
 QUERIES = {
+    "abbreviations": (abbreviations, f"WITH {SENTENCES_SQL} SELECT type, n_with, n_without, round(score, 6) AS score FROM ab"),
+    "guarded_sentences": (guarded_sentences, f"""
+WITH {SENTENCES_SQL},
+held AS (SELECT doc_id, i FROM tk WHERE i < n - 1 AND {_period_sql('core')} AND {_matches('core', sentences._WORD)} AND {_type_sql('core')} IN (SELECT type FROM ab)
+  AND NOT ({_matches('next', r'^\p{Lu}')} AND {_type_sql('next')} IN (SELECT type FROM tc WHERE n_lower > 0 AND n_inside = 0 AND n_starts > 0))),
+ends AS (SELECT tk.*, (i = n - 1 OR {_matches('token', sentences._END)} AND NOT ({_matches('core', sentences._NUMBER)} AND {_matches('after', r'^\p{Ll}')}) AND held.i IS NULL)::INT AS last FROM tk LEFT JOIN held USING (doc_id, i)),
+own AS (SELECT doc_id, s, string_agg(token, ' ' ORDER BY i) AS sentence FROM (SELECT *, sum(last) OVER (PARTITION BY doc_id ORDER BY i) - last AS s FROM ends) GROUP BY doc_id, s),
+texts AS (SELECT doc_id, count(*) AS n, string_agg(sentence, chr(10) ORDER BY s) AS text FROM own GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_sentences, md5(coalesce(texts.text, '')) AS digest FROM documents LEFT JOIN texts USING (doc_id)"""),
+    "language_profile": (language_profile, r"""
+WITH g AS (SELECT doc_id, lang, w[i:i + 2] AS gram FROM (SELECT doc_id, lang, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, lang, ' ' || unnest(regexp_extract_all(lower(text), '\p{L}+')) || ' ' AS w FROM documents))),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
+b AS (SELECT lang, -ln(sum(n) + (SELECT count(DISTINCT gram) FROM c)::DOUBLE) AS base FROM c GROUP BY lang),
+s AS (SELECT doc_id, b.lang, sum(ln(coalesce(c.n, 0) + 1.0::DOUBLE)) + count(*) * max(base) AS score, count(*) AS n FROM g CROSS JOIN b LEFT JOIN c ON c.lang = b.lang AND c.gram = g.gram GROUP BY doc_id, b.lang),
+r AS (SELECT doc_id, lang, n, row_number() OVER o AS rank, (score - coalesce(lead(score) OVER o, score)) / n AS margin FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, lang))
+SELECT doc_id, coalesce(r.lang, 'unknown') AS language, coalesce(n, 0) AS n_trigrams, round(margin, 6) AS margin FROM documents LEFT JOIN (SELECT * FROM r WHERE rank = 1) r USING (doc_id)"""),
     "normalize_text": (normalize_text, rf"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {S.strip(r"regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')")} AS t FROM documents)"),
     "word_count_gate": (word_count_gate, f"SELECT doc_id, CAST(len({S.tokens()}) AS BIGINT) AS n_words, len({S.tokens()}) < 150 AS short FROM documents"),
     "chunk_documents": (chunk_documents, """

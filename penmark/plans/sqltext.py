@@ -34,6 +34,10 @@ def paragraphs(t: str = "text") -> str:
     return rf"list_filter(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: {strip('s')}), lambda s: s <> '')"
 
 
+def quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 def listed(values: Sequence[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
