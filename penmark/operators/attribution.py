@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penmark.functions import text as T
@@ -89,18 +89,26 @@ class NgramScorer:
         """(id, pos, token, attribution, score, baseline) of every token of every text.
 
         baseline is the score of the empty text. Texts without tokens have no
-        rows. Ids must be unique and not null. One shuffle by text follows the
-        joins with the weights; a text's sums are taken over its sorted rows.
+        rows. Ids must be unique and not null. After the joins with the weights
+        a text's tokens meet in one row, where its integrals are taken once.
         """
-        text, ordered = Window.partitionBy(id_col), Window.partitionBy(id_col).orderBy("pos")
-        rows = self._weighted(units, id_col, text_col).select(
-            id_col, "pos", "token", "own", (F.col("both") + F.coalesce(F.lag("both").over(ordered), F.lit(0.0))).alias("with"),
-            F.count("*").over(text).alias("n"), F.sum("own").over(text).alias("u"), F.sum("both").over(text).alias("b"),
-        )
-        rows = rows.withColumns({"u": F.col("u") / F.col("n"), "b": F.col("b") / F.col("n")})
-        value = T.bind(_path_integrals(F.lit(self.bias), F.col("u"), F.col("b")), lambda i: (F.col("own") * i["flat"] + F.col("with") * i["rising"]) / F.col("n"))
+        tokens = F.sort_array(F.collect_list(F.struct("pos", "token", "own", "both")))
+        texts = self._weighted(units, id_col, text_col).groupBy(id_col).agg(
+            tokens.alias("t"), F.count("*").alias("n"), (F.sum("own") / F.count("*")).alias("u"), (F.sum("both") / F.count("*")).alias("b")
+        )
+
+        def valued(integrals: Column) -> Column:
+            def one(t: Column, i: Column) -> Column:
+                both = t["both"] + F.coalesce(F.get("t", i - 1)["both"], F.lit(0.0))
+                value = (t["own"] * integrals["flat"] + both * integrals["rising"]) / F.col("n")
+                return F.struct(t["pos"].alias("pos"), t["token"].alias("token"), value.alias("attribution"))
+
+            return F.transform("t", one)
+
         score = _logistic(self.bias + F.col("u") + F.col("b"))
-        return rows.select(id_col, "pos", "token", value.alias("attribution"), score.alias("score"), _logistic(F.lit(self.bias)).alias("baseline"))
+        each = F.explode(T.bind(_path_integrals(F.lit(self.bias), F.col("u"), F.col("b")), valued))
+        rows = texts.select(id_col, score.alias("score"), each.alias("v"))
+        return rows.select(id_col, "v.pos", "v.token", "v.attribution", "score", _logistic(F.lit(self.bias)).alias("baseline"))
 
 
 def _path_integrals(bias: Column, u: Column, b: Column) -> Column:
