@@ -118,16 +118,13 @@ def promotion_reasons(
     """Rows (detector, before, after) of metric structs with the reasons against promotion, and promoted: none."""
     gain, loss = F.col("after.auroc") - F.col("before.auroc"), F.col("before.f1") - F.col("after.f1")
     reasons = [
-        F.when(gain < min_auroc_gain, F.format_string("delta_auroc %.4f below threshold %.4f", gain, F.lit(min_auroc_gain))),
-        F.when(loss > max_f1_loss, F.format_string("f1 regression %.4f exceeds threshold %.4f", loss, F.lit(max_f1_loss))),
+        F.when(gain < min_auroc_gain, F.format_string("AUROC rises by %.4f; %.4f is asked for", gain, F.lit(min_auroc_gain))),
+        F.when(loss > max_f1_loss, F.format_string("F1 falls by %.4f; %.4f is allowed", loss, F.lit(max_f1_loss))),
     ]
     if min_tpr_gain is not None:
-        tpr = F.col("after.tpr_at_1fpr") - F.col("before.tpr_at_1fpr")
-        reasons.append(
-            F.when(tpr.isNull(), F.lit("tpr_at_1fpr unavailable for requested policy gate")).when(
-                tpr < min_tpr_gain, F.format_string("delta_tpr_at_1fpr %.4f below threshold %.4f", tpr, F.lit(min_tpr_gain))
-            )
-        )
+        rise = F.col("after.tpr_at_1fpr") - F.col("before.tpr_at_1fpr")
+        small = F.when(rise < min_tpr_gain, F.format_string("TPR at 1%% FPR rises by %.4f; %.4f is asked for", rise, F.lit(min_tpr_gain)))
+        reasons.append(F.when(rise.isNull(), F.lit("TPR at 1% FPR is not known for both")).otherwise(small))
     return reports.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("promoted", F.size("reasons") == 0)
 
 

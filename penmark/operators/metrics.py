@@ -20,13 +20,17 @@ from penmark.functions import text as T
 SLICES = 4096
 
 
-def confusion(rows: DataFrame, groups: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
-    """tn, fp, fn, tp and what follows from them; zero denominators give 0. Labels other than 0 and 1 count nowhere."""
+def confusion(rows: DataFrame, groups: Sequence[str] = (), threshold: float = 0.5, *more: Column) -> DataFrame:
+    """tn, fp, fn, tp and what follows from them, and `more` aggregates; zero denominators give 0. Labels other than 0 and 1 count nowhere."""
     guess = F.col("score") >= threshold
     counted = rows.groupBy(*groups).agg(
         F.count_if((F.col("label") == 0) & ~guess).alias("tn"), F.count_if((F.col("label") == 0) & guess).alias("fp"),
-        F.count_if((F.col("label") == 1) & ~guess).alias("fn"), F.count_if((F.col("label") == 1) & guess).alias("tp"),
+        F.count_if((F.col("label") == 1) & ~guess).alias("fn"), F.count_if((F.col("label") == 1) & guess).alias("tp"), *more,
     )
+    return _judged(counted)
+
+
+def _judged(counted: DataFrame) -> DataFrame:
     tp, precision, recall = F.col("tp"), F.col("precision"), F.col("recall")
     return (
         counted.withColumn("accuracy", T.ratio(F.col("tn") + tp, F.col("tn") + F.col("fp") + F.col("fn") + tp))
@@ -39,13 +43,22 @@ def confusion(rows: DataFrame, groups: Sequence[str] = (), threshold: float = 0.
 def curve(rows: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """For each group and distinct score: p and n there, tp and fp down to it, all P and N, and i, counted from the highest score.
 
+    Labels other than 0 and 1 count nowhere. NaN is the highest score, null the lowest.
+    """
+    return accumulated(rows.where(F.col("label").isin(0, 1)).groupBy(*groups, "score").agg(*_counts()), groups)
+
+
+def _counts() -> tuple[Column, Column]:
+    return F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
+
+
+def accumulated(points: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """The curve of counted points (groups, score, p, n), one for each group and score.
+
     Sums run in two levels, so that no task holds a whole group: within slices
     of 1/SLICES of a score, and over the totals of the slices. Scores beyond
-    0 to 1 make more slices. NaN is the highest score, null the lowest.
+    0 to 1 make more slices.
     """
-    points = rows.where(F.col("label").isin(0, 1)).groupBy(*groups, "score").agg(
-        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
-    )
     points = points.withColumn("slice", F.when(F.isnan("score"), F.lit((1 << 63) - 1)).otherwise(F.floor(F.col("score") * SLICES)))
     whole = Window.partitionBy(*groups)
     above = whole.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,63 +81,102 @@ def _both() -> Column:
     return (F.first("all_p") > 0) & (F.first("all_n") > 0)
 
 
+def _auroc() -> Column:
+    area = F.sum(F.col("n") * (F.col("tp") - F.col("p")) + F.col("n") * F.col("p") / 2)
+    return F.when(_both(), T.ratio(area, F.first("all_p") * F.first("all_n"))).otherwise(0.5)
+
+
+def _average_precision() -> Column:
+    return F.sum(T.ratio(F.col("p"), F.col("all_p")) * T.ratio(F.col("tp"), F.col("tp") + F.col("fp")))
+
+
+def _auprc() -> Column:
+    # The point before has tp - p and fp - n; before the first, precision is 1. The last has a recall of 1, or there are no positives.
+    tp, before = F.col("tp"), F.col("tp") - F.col("p")
+    precision, earlier = T.ratio(tp, tp + F.col("fp")), T.ratio(before, before + F.col("fp") - F.col("n"), 1.0)
+    return F.sum(T.ratio(F.col("p"), F.col("all_p")) * (precision + earlier) / 2)
+
+
+def _tpr_at(at: float) -> Column:
+    ok = (F.col("all_n") > 0) & (T.ratio(F.col("fp"), F.col("all_n")) <= at)
+    return F.coalesce(F.max(F.when(ok, T.ratio(F.col("tp"), F.col("all_p")))), F.lit(0.0))
+
+
+def _fpr_at(at: float) -> Column:
+    # The first point beyond `at`; the one before it has tp - p and fp - n.
+    t, f = T.ratio(F.col("tp"), F.col("all_p")), T.ratio(F.col("fp"), F.col("all_n"))
+    low, left = T.ratio(F.col("tp") - F.col("p"), F.col("all_p")), T.ratio(F.col("fp") - F.col("n"), F.col("all_n"))
+    first = F.min(F.when(t > at, F.struct("i", low.alias("low"), left.alias("left"), t.alias("t"), f.alias("f"))))
+    between = first["left"] + (at - first["low"]) * T.ratio(first["f"] - first["left"], first["t"] - first["low"])
+    return F.when(_both(), F.coalesce(between, F.max(f))).otherwise(1.0)
+
+
 def auroc(points: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney with average ranks; a single class gives 0.5."""
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p")) + F.col("n") * F.col("p") / 2)
-    return points.groupBy(*groups).agg(F.when(_both(), T.ratio(area, F.first("all_p") * F.first("all_n"))).otherwise(0.5).alias("auroc"))
+    return points.groupBy(*groups).agg(_auroc().alias("auroc"))
 
 
 def average_precision(points: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Sum of recall steps times precision; 0 without positives."""
-    return points.groupBy(*groups).agg(
-        F.sum(T.ratio(F.col("p"), F.col("all_p")) * T.ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("average_precision")
-    )
+    return points.groupBy(*groups).agg(_average_precision().alias("average_precision"))
 
 
 def auprc_trapezoid(points: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Trapezoids under precision over recall, from (0, 1) to (1, 0)."""
-    recall, precision = T.ratio(F.col("tp"), F.col("all_p")), T.ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    own = points.select(*groups, "i", recall.alias("r"), precision.alias("p"))
-    ends = points.select(*groups).distinct().select(*groups, F.explode(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("r"), F.lit(1.0).alias("p")), F.struct(F.lit((1 << 63) - 1).alias("i"), F.lit(1.0).alias("r"), F.lit(0.0).alias("p")))).alias("e"))
-    w = Window.partitionBy(*groups).orderBy("i")
-    each = own.unionByName(ends.select(*groups, "e.*")).select(*groups, ((F.col("r") - F.lag("r").over(w)) * (F.col("p") + F.lag("p").over(w)) / 2).alias("area"))
-    return each.groupBy(*groups).agg(F.sum("area").alias("auprc"))
+    return points.groupBy(*groups).agg(_auprc().alias("auprc"))
 
 
 def tpr_at_fpr(points: DataFrame, at: float, groups: Sequence[str] = (), name: str = "tpr") -> DataFrame:
     """The largest TPR whose FPR is `at` or less; 0 if there is none, or only one class."""
-    ok = (F.col("all_n") > 0) & (T.ratio(F.col("fp"), F.col("all_n")) <= at)
-    return points.groupBy(*groups).agg(F.coalesce(F.max(F.when(ok, T.ratio(F.col("tp"), F.col("all_p")))), F.lit(0.0)).alias(name))
+    return points.groupBy(*groups).agg(_tpr_at(at).alias(name))
 
 
 def fpr_at_tpr(points: DataFrame, at: float, groups: Sequence[str] = (), name: str = "fpr") -> DataFrame:
     """The FPR at a TPR, linear between the last point whose TPR is `at` or less and the next; one class gives 1."""
-    tpr, fpr = T.ratio(F.col("tp"), F.col("all_p")), T.ratio(F.col("fp"), F.col("all_n"))
-    own = points.select(*groups, "i", tpr.alias("t"), fpr.alias("f"), ((F.col("all_p") > 0) & (F.col("all_n") > 0)).alias("both"))
-    start = own.groupBy(*groups).agg(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("t"), F.lit(0.0).alias("f"), F.max("both").alias("both"))
-    w = Window.partitionBy(*groups).orderBy("i")
-    steps = own.unionByName(start).select("*", F.lead("t").over(w).alias("nt"), F.lead("f").over(w).alias("nf"))
-    last = steps.where(F.col("t") <= at).groupBy(*groups).agg(F.max(F.struct("i", "t", "f", "nt", "nf", "both")).alias("s"))
-    rise = F.col("s.nt") - F.col("s.t")
-    between = F.when(rise > 0, F.col("s.f") + (at - F.col("s.t")) * T.ratio(F.col("s.nf") - F.col("s.f"), rise)).otherwise(F.col("s.f"))
-    return last.select(*groups, F.when(F.col("s.both"), between).otherwise(1.0).alias(name))
+    return points.groupBy(*groups).agg(_fpr_at(at).alias(name))
 
 
-def bundle(rows: DataFrame, groups: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
-    """All metrics of each group in one row. fpr_at_10tpr is the FPR at a TPR of 0.9, fpr_at_20tpr that at 0.8."""
-    points = curve(rows, groups)
-    parts = [
-        auroc(points, groups), average_precision(points, groups), fpr_at_tpr(points, 0.9, groups, "fpr_at_10tpr"), fpr_at_tpr(points, 0.8, groups, "fpr_at_20tpr"),
-        tpr_at_fpr(points, 0.01, groups, "tpr_at_1fpr"), tpr_at_fpr(points, 0.05, groups, "tpr_at_5fpr"), confusion(rows, groups, threshold),
-        rows.groupBy(*groups).agg(F.count("*").alias("num_samples"), F.sum("label").alias("num_positives")),
+def _ranking() -> list[Column]:
+    """fpr_at_10tpr is the FPR at a TPR of 0.9, fpr_at_20tpr that at 0.8."""
+    return [
+        _auroc().alias("auroc"), _average_precision().alias("average_precision"), _fpr_at(0.9).alias("fpr_at_10tpr"), _fpr_at(0.8).alias("fpr_at_20tpr"),
+        _tpr_at(0.01).alias("tpr_at_1fpr"), _tpr_at(0.05).alias("tpr_at_5fpr"),
     ]
-    keys = list(groups)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, keys) if keys else out.join(part)
+
+
+def bundle(rows: DataFrame, groups: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+    """All metrics of each group in one row: one aggregation over the curve, one over the rows."""
+    counted = confusion(rows, groups, threshold, F.count("*").alias("num_samples"), F.sum("label").alias("num_positives"))
+    ranked, keys = curve(rows, groups).groupBy(*groups).agg(*_ranking()), list(groups)
+    out = ranked.join(counted, keys) if keys else ranked.join(counted)
     return out.withColumn("num_negatives", F.col("num_samples") - F.col("num_positives"))
 
 
+def stratified(rows: DataFrame, keys: Sequence[str], *, words_col: str = "n_words", least: int = 10, short: int = 150, by_value: bool = False, threshold: float = 0.5) -> DataFrame:
+    """The metrics of bundle() for each stratum of strata(), by grouping sets: no row is copied.
+
+    Each key is a column that names the row's stratum, or null; one aggregation
+    over the sets (key, score) counts the points of all strata at once.
+    """
+    names = {f"__stratum{i}": c for i, c in enumerate(_strata_names(keys, words_col, short, by_value))}
+    named = rows.withColumns(names)
+    sets = [[F.col(c), F.col("score")] for c in names]
+    counted = named.groupingSets(sets, *[F.col(c) for c in names], F.col("score")).agg(*_counts(), F.count("*").alias("rows"), F.sum("label").alias("labels"))
+    points = counted.withColumn("stratum", F.coalesce(*[F.col(c) for c in names])).where("stratum IS NOT NULL").select("stratum", "score", "p", "n", "rows", "labels")
+    at, p, n = F.col("score") >= threshold, F.col("p"), F.col("n")
+    sums = points.groupBy("stratum").agg(
+        F.sum("rows").alias("num_samples"), F.sum("labels").alias("num_positives"),
+        *[F.sum(F.when(c, v).otherwise(0)).alias(a) for a, c, v in (("tn", ~at, n), ("fp", at, n), ("fn", ~at, p), ("tp", at, p))],
+    ).where(F.col("num_samples") >= least)
+    ranked = accumulated(points.where("p + n > 0").select("stratum", "score", "p", "n"), ["stratum"]).groupBy("stratum").agg(*_ranking())
+    return ranked.join(_judged(sums), "stratum").withColumn("num_negatives", F.col("num_samples") - F.col("num_positives"))
+
+
+def _strata_names(keys: Sequence[str], words_col: str, short: int, by_value: bool) -> list[Column]:
+    names = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k).cast("string")) if by_value else F.lit(k)) for k in keys]
+    return [*names, F.when(F.col(words_col) < short, F.lit("short_texts"))]
+
+
 def strata(rows: DataFrame, keys: Sequence[str], words_col: str = "n_words", least: int = 10, short: int = 150, by_value: bool = False) -> DataFrame:
     """A row for each stratum that a row belongs to, with column stratum; strata of fewer than `least` rows are left out.
 
@@ -132,8 +184,7 @@ def strata(rows: DataFrame, keys: Sequence[str], words_col: str = "n_words", lea
     `short_texts` holds those of fewer than `short` words. By value, each value
     of a key is a stratum of its own.
     """
-    names = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k).cast("string")) if by_value else F.lit(k)) for k in keys]
-    names.append(F.when(F.col(words_col) < short, F.lit("short_texts")))
+    names = _strata_names(keys, words_col, short, by_value)
     each = rows.withColumn("stratum", F.explode(F.array_compact(F.array(*names))))
     sizes = each.groupBy("stratum").agg(F.count("*").alias("size")).where(F.col("size") >= least).select("stratum")
     return each.join(F.broadcast(sizes), "stratum", "left_semi") if not by_value else each.join(sizes, "stratum", "left_semi")

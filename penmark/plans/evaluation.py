@@ -57,15 +57,15 @@ def metric_bundle(spark, folder):
     return found.select("lang", "num_samples", "num_positives", *rounded({c: F.col(c) for c in ("auroc", "average_precision", "fpr_at_10tpr", "tpr_at_5fpr", "f1")}))
 
 
-def _stratified(spark, folder) -> DataFrame:
-    return metrics.strata(scored(spark, folder).withColumn("domain", F.when(F.col("doc_id") % 3 == 0, F.col("lang"))), ["domain"])
+def stratified_metrics(spark, folder):
+    found = metrics.stratified(scored(spark, folder).withColumn("domain", F.col("lang")), ["domain"], threshold=THRESHOLD)
+    return found.select("stratum", F.col("num_samples").alias("n"), *rounded({"auroc": F.col("auroc"), "f1": F.col("f1")}))
 
 
-def stratified_metrics(spark, folder):
-    rows = _stratified(spark, folder)
-    points = metrics.curve(rows, ["stratum"])
-    found = metrics.confusion(rows, ["stratum"], THRESHOLD).join(metrics.auroc(points, ["stratum"]), "stratum")
-    return found.select("stratum", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"), *rounded({"auroc": F.col("auroc"), "f1": F.col("f1")}))
+def metrics_by_language(spark, folder):
+    """Each language and the short texts as strata, all metrics."""
+    found = metrics.stratified(scored(spark, folder).withColumn("domain", F.col("lang")), ["domain"], by_value=True, threshold=THRESHOLD)
+    return found.select("stratum", "num_samples", "num_positives", "tn", "fp", "fn", "tp", *rounded({c: F.col(c) for c in ("auroc", "fpr_at_10tpr", "tpr_at_5fpr", "f1")}))
 
 
 def fpr_audit(spark, folder):
@@ -181,7 +181,7 @@ def _fpr_at(at: float, source: str, name: str) -> str:
 
 
 _STRATA_SQL = f"""{SCORED_SQL.replace('scored AS', 'base AS')}, each AS (
-  SELECT *, 'domain' AS stratum FROM base WHERE doc_id % 3 = 0 AND lang IS NOT NULL UNION ALL SELECT *, 'short_texts' FROM base WHERE n_words < 150),
+  SELECT *, 'domain' AS stratum FROM base WHERE lang IS NOT NULL UNION ALL SELECT *, 'short_texts' FROM base WHERE n_words < 150),
 scored AS (SELECT * FROM each WHERE stratum IN (SELECT stratum FROM each GROUP BY stratum HAVING count(*) >= 10)), {_curve_sql('stratum')},
 strata AS (SELECT stratum, n, round(auroc, 6) AS auroc, round({_F1}, 6) AS f1 FROM (SELECT *, {_PR} FROM (SELECT stratum, count(*) AS n, {_CONFUSION} FROM (SELECT *, score >= {THRESHOLD} AS guess FROM scored) GROUP BY stratum)) JOIN (SELECT g AS stratum, {_AUROC} AS auroc FROM curve GROUP BY g) USING (stratum))"""
 _LANG = f"WITH {SCORED_SQL}, {_curve_sql('lang')}"
@@ -222,6 +222,11 @@ FROM (SELECT *, {_PR} FROM (SELECT lang, count(*) AS num_samples, CAST(sum(label
 JOIN (SELECT g AS lang, {_AUROC} AS auroc, sum(CAST(p AS DOUBLE) / CAST(all_p AS DOUBLE) * CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE)) AS ap, coalesce(max({_TPR}) FILTER ({_FPR} <= 0.05), 0) AS t5 FROM curve GROUP BY g) USING (lang)
 JOIN (SELECT g AS lang, fpr_at_10tpr FROM {_fpr_at(0.9, 'curve', 'fpr_at_10tpr')}) USING (lang)"""),
     "stratified_metrics": (stratified_metrics, f"WITH {_STRATA_SQL} SELECT * FROM strata"),
+    "metrics_by_language": (metrics_by_language, f"""
+WITH {_STRATA_SQL.replace("'domain' AS stratum", "'domain=' || lang AS stratum")},
+m AS (SELECT *, {_PR} FROM (SELECT stratum, count(*) AS num_samples, CAST(sum(label) AS BIGINT) AS num_positives, {_CONFUSION} FROM (SELECT *, score >= {THRESHOLD} AS guess FROM scored) GROUP BY stratum))
+SELECT stratum, num_samples, num_positives, tn, fp, fn, tp, round(a, 6) AS auroc, round(fpr_at_10tpr, 6) AS fpr_at_10tpr, round(t5, 6) AS tpr_at_5fpr, round({_F1}, 6) AS f1
+FROM m JOIN (SELECT g AS stratum, {_AUROC} AS a, coalesce(max({_TPR}) FILTER ({_FPR} <= 0.05), 0) AS t5 FROM curve GROUP BY g) USING (stratum) JOIN (SELECT g AS stratum, fpr_at_10tpr FROM {_fpr_at(0.9, 'curve', 'fpr_at_10tpr')}) USING (stratum)"""),
     "fpr_audit": (fpr_audit, f"""
 WITH {SCORED_SQL} SELECT CASE WHEN lang = 'en' THEN 'native' ELSE 'non-native' END AS speakers, count(*) FILTER (label = 0) AS n, round({S.ratio(f'count(*) FILTER (label = 0 AND score >= {THRESHOLD})', 'count(*) FILTER (label = 0)')}, 6) AS fpr FROM scored GROUP BY 1"""),
     "label_coercion": (label_coercion, "SELECT doc_id, CAST(CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 2 ELSE 1 END AS BIGINT) AS label, doc_id % 7 AS number FROM documents"),
