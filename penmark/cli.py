@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from penmark.functions import features as X
 from penmark.functions import text as T
-from penmark.operators import boosting, calibrated, calibration, detectors, ensemble, facade, grains, lm, metrics
-from penmark.sources import config, datasets, reports
+from penmark.operators import boosting, calibrated, calibration, detectors, ensemble, facade, metrics
+from penmark.sources import config, contexts, datasets, reports
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -31,6 +31,9 @@ def _parser() -> argparse.ArgumentParser:
     train = commands.add_parser("train", help="fit boosted stylometry on a JSON-lines corpus and save it")
     train.add_argument("--dataset", required=True)
     train.add_argument("--out", required=True)
+    learn = commands.add_parser("reference", help="learn reference frequencies and language models from a JSON-lines corpus and save them")
+    learn.add_argument("--dataset", required=True)
+    learn.add_argument("--out", required=True)
     calibrate = commands.add_parser("calibrate", help="fit calibrations on a JSON-lines corpus, save them, and report before and after")
     against = commands.add_parser("calibration-compare", help="saved calibrations against the plain detectors on a JSON-lines corpus")
     saved = commands.add_parser("calibration-evaluate", help="metrics of saved calibrations on a JSON-lines corpus")
@@ -46,11 +49,14 @@ def _parser() -> argparse.ArgumentParser:
     for command in (detect, evaluate, compare, audit):
         command.add_argument("--detector", action="append", help="names; all of the fast tier by default")
         command.add_argument("--config")
+    for command in (detect, evaluate, compare, audit, calibrate, against, saved):
+        command.add_argument("--reference", help="a folder of the command `reference`; without it, entropy and surprisal detectors have no result")
     return parser
 
 
-def _context(corpus: DataFrame) -> detectors.Context:
-    return detectors.Context(grains.reference_frequencies(corpus), lm.BigramModel.count(corpus))
+def _context(spark: SparkSession, args: argparse.Namespace) -> detectors.Context:
+    """The saved reference; without one, detectors that need it give their error result."""
+    return contexts.load(spark, args.reference) if args.reference else detectors.Context()
 
 
 def _chosen(names: Sequence[str] | None) -> list[detectors.Detector]:
@@ -70,16 +76,24 @@ def detect(spark: SparkSession, args: argparse.Namespace, settings: config.Setti
         sys.exit("a text or a file is needed")
     rows = spark.createDataFrame([(args.text,)], "text string") if args.text else datasets.whole_text(spark, args.file)
     rows = rows.withColumn("doc_id", F.lit(0))
-    found = facade.detect(
-        rows, _chosen(args.detector), _context(rows), strategy=args.strategy, weights=settings.ensemble.weights, least=settings.min_text_length, short_confidence=settings.short_text_confidence
-    )
-    return found.select(reports.result_json("score", "label", "confidence", "n_chunks")).first()[0]
+    chosen = _chosen(args.detector)
+    known = facade.results(
+        rows, chosen, _context(spark, args), strategy=args.strategy, weights=settings.ensemble.weights, least=settings.min_text_length, short_confidence=settings.short_text_confidence,
+        most_tokens=settings.max_heatmap_tokens, most_features=settings.max_top_features,
+    )
+    columns = ("score", "label", "confidence", "n_chunks", "detectors", "sentences", "top_features", "features", "heatmap")
+    return known.select(reports.result_json(*columns)).first()[0]
+
+
+def reference(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
+    contexts.save(contexts.learnt(_corpus(spark, args.dataset)), args.out)
+    return f"saved {args.out}"
 
 
 def evaluate(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
     corpus = _corpus(spark, args.dataset)
     metrics.require_both_classes(corpus)
-    scores = detectors.score_units(corpus, _chosen(args.detector), _context(corpus))
+    scores = detectors.score_units(corpus, _chosen(args.detector), _context(spark, args))
     rows = scores.join(corpus.select("doc_id", "label", F.size(T.tokens(F.col("text"))).alias("n_words")), "doc_id").withColumn("overall", F.lit(1))
     strata = metrics.strata(rows, ["overall"], least=1)
     found = metrics.bundle(strata, ["detector", "stratum"]).withColumn("dataset", F.lit(args.dataset))
@@ -90,7 +104,7 @@ def compare(spark: SparkSession, args: argparse.Namespace, settings: config.Sett
     corpus = metrics.split(_corpus(spark, args.dataset), "doc_id")
     metrics.require_both_classes(corpus)
     test = corpus.where("split = 'test'")
-    scores = detectors.score_units(test, _chosen(args.detector), _context(corpus.where("split = 'train'"))).persist()
+    scores = detectors.score_units(test, _chosen(args.detector), _context(spark, args)).persist()
     parts = [ensemble.combine(scores, s, settings.ensemble.weights).withColumn("detector", F.lit(s)).select("doc_id", "detector", "score") for s in ("mean", "weighted_average", "uncertainty_aware")]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(test.select("doc_id", "label"), "doc_id").withColumn("stratum", F.lit("overall"))
     return reports.markdown("strategies", metrics.bundle(rows, ["detector", "stratum"]).withColumn("dataset", F.lit(args.dataset)))
@@ -98,7 +112,7 @@ def compare(spark: SparkSession, args: argparse.Namespace, settings: config.Sett
 
 def audit(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
     corpus = datasets.tagged(_corpus(spark, args.dataset), "doc_id", args.language)
-    scores = detectors.score_units(corpus, _chosen(args.detector), _context(corpus)).join(corpus.select("doc_id", "label", "language"), "doc_id")
+    scores = detectors.score_units(corpus, _chosen(args.detector), _context(spark, args)).join(corpus.select("doc_id", "label", "language"), "doc_id")
     found = metrics.fpr_by_group(scores.withColumn("group", F.concat_ws("/", "detector", "language")), "group").orderBy("group")
     return "\n".join(f"{r['group']}: {r['fpr']:.4f} of {r['n']}" for r in found.collect())
 
@@ -114,7 +128,7 @@ def train(spark: SparkSession, args: argparse.Namespace, settings: config.Settin
 
 def calibrate(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
     corpus = _corpus(spark, args.dataset)
-    _, report = calibrated.train(corpus, args.detector, detectors.default_catalog(), _context(corpus), folder=args.folder)
+    _, report = calibrated.train(corpus, args.detector, detectors.default_catalog(), _context(spark, args), folder=args.folder)
     return "\n".join(reports.calibration_results(report, args.dataset))
 
 
@@ -128,12 +142,12 @@ def _saved(spark: SparkSession, args: argparse.Namespace) -> dict[str, calibrati
 
 def calibration_compare(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
     corpus = _corpus(spark, args.dataset)
-    return reports.calibration_results(calibrated.compare(corpus, _saved(spark, args), detectors.default_catalog(), _context(corpus)), args.dataset)[1]
+    return reports.calibration_results(calibrated.compare(corpus, _saved(spark, args), detectors.default_catalog(), _context(spark, args)), args.dataset)[1]
 
 
 def calibration_evaluate(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
     corpus, known = _corpus(spark, args.dataset), _saved(spark, args)
-    return reports.short_markdown(calibrated.measured(corpus, [calibrated.bound(d, known[d.name]) for d in detectors.default_catalog().select(list(known))], _context(corpus)))
+    return reports.short_markdown(calibrated.measured(corpus, [calibrated.bound(d, known[d.name]) for d in detectors.default_catalog().select(list(known))], _context(spark, args)))
 
 
 def promote(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
@@ -151,7 +165,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     else:
         spark = spark or SparkSession.builder.appName("penmark").getOrCreate()
         settings = config.resolve(getattr(args, "config", None))
-        out = {"detect": detect, "evaluate": evaluate, "compare": compare, "audit": audit, "promote": promote, "train": train, "calibrate": calibrate,
+        out = {"detect": detect, "evaluate": evaluate, "compare": compare, "audit": audit, "promote": promote, "train": train, "reference": reference, "calibrate": calibrate,
                "calibration-compare": calibration_compare, "calibration-evaluate": calibration_evaluate}[args.command](spark, args, settings)
     print(out)
     return out

@@ -257,6 +257,8 @@ def _multilingual(text: Column, words: Column, t: Thresholds) -> Column:
 
 
 def _entropy(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+    if context.reference is None:
+        raise DetectionError("there are no reference frequencies")
     kl = grains.kl_divergence(units, context.reference, id_col)
     return kl.select(id_col, entropy(F.col("kl_divergence"), context.thresholds).alias("r")).select(id_col, "r.*")
 
@@ -274,7 +276,13 @@ def _code(units: DataFrame, id_col: str, context: Context) -> DataFrame:
     return joined.select(id_col, code(f).alias("r")).select(id_col, "r.*")
 
 
+def _require_model(context: Context) -> None:
+    if context.model is None:
+        raise DetectionError("there is no language model")
+
+
 def _perplexity(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+    _require_model(context)
     stats = lm.windowed_perplexity(lm.token_surprisals(units, context.model, id_col), id_col)
     return units.select(id_col).join(stats, id_col, "left").select(id_col, perplexity(F.col("mean_perplexity"), F.col("perplexity_std")).alias("r")).select(id_col, "r.*")
 
@@ -287,21 +295,51 @@ def _perplexity_large(units: DataFrame, id_col: str, context: Context) -> DataFr
 
 
 def _surprisal(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+    _require_model(context)
     stats = lm.surprisal_stats(lm.token_surprisals(units, context.model, id_col), id_col)
     f = {c: F.col(c) for c in stats.columns if c not in (id_col, "n_surprisals")}
     return units.select(id_col).join(stats, id_col, "left").select(id_col, surprisal(f, F.col("n_surprisals"), context.thresholds).alias("r")).select(id_col, "r.*")
 
 
 def _burstiness(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+    _require_model(context)
     stats = lm.sentence_burstiness(units, context.model, id_col)
     return units.select(id_col).join(stats, id_col, "left").select(id_col, burstiness(F.col("burstiness_cv"), context.thresholds).alias("r")).select(id_col, "r.*")
 
 
 def _curvature(units: DataFrame, id_col: str, context: Context) -> DataFrame:
+    _require_model(context)
     stats = lm.curvature(units, context.model, id_col)
     return units.select(id_col).join(stats, id_col, "left").select(id_col, curvature(F.col("curvature"), context.thresholds).alias("r")).select(id_col, "r.*")
 
 
+@dataclass(frozen=True)
+class PerText:
+    """A scorer in Python: outcome(text) gives score and confidence.
+
+    What it raises for a text is that text's error result; the others of its
+    batch, and of the job, go on.
+    """
+
+    outcome: Callable[[str], tuple[float, float]]
+
+    def __call__(self, units: DataFrame, id_col: str, context: Context) -> DataFrame:
+        outcome = self.outcome
+
+        def one(text: str | None) -> tuple[float, float, str | None]:
+            try:
+                score, confidence = outcome(text)
+                return float(score), float(confidence), None
+            except Exception as failure:  # whatever it raises, the error is the text's own
+                return 0.5, 0.0, f"{type(failure).__name__}: {failure}"[:200]
+
+        @F.pandas_udf("score double, confidence double, error string")
+        def scored(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([one(t) for t in texts], columns=["score", "confidence", "error"])
+
+        return units.select(id_col, scored("text").alias("r")).select(id_col, "r.*")
+
+
 @dataclass(frozen=True)
 class Detector:
     """A catalog entry. `score` is None for detectors that need an external model."""

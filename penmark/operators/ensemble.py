@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +43,15 @@ def uncertainty_score() -> Column:
     return T.ratio(F.sum(F.col("score") * weight), F.sum(weight), 0.5)
 
 
-def combine(scores: DataFrame, strategy: str = "weighted_average", weights: dict[str, float] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, score, confidence, label, n_detectors); an unknown strategy is the plain mean."""
+def combine(scores: DataFrame, strategy: str = "weighted_average", weights: dict[str, float] | None = None, id_col: str = "doc_id", *more: Column) -> DataFrame:
+    """(id, score, confidence, label, n_detectors) and `more` aggregates; an unknown strategy is the plain mean."""
     weight = F.when(F.col("confidence") >= 0.6, F.col("confidence")).otherwise(F.col("confidence") / 2)
     by_strategy = {"weighted_average": weighted_score(weights), "uncertainty_aware": uncertainty_score()}
     confidence = mean_confidence()
     if strategy == "uncertainty_aware":
         confidence = F.when(F.sum(weight) == 0, 0.0).otherwise(confidence)
     combined = scores.groupBy(id_col).agg(
-        by_strategy.get(strategy, mean_score()).alias("score"), confidence.alias("confidence"), F.count("*").alias("n_detectors")
+        by_strategy.get(strategy, mean_score()).alias("score"), confidence.alias("confidence"), F.count("*").alias("n_detectors"), *more
     )
     return combined.withColumn("label", label(F.col("score"), F.col("confidence")))
 
@@ -61,40 +65,44 @@ def stacking_vectors(scores: DataFrame, detectors: list[str], id_col: str = "doc
 
 
 class Stacker:
-    """Logistic regression on stacking vectors; rows with a missing feature are left out of training, with their labels."""
+    """Logistic regression on stacking vectors as an ML pipeline; rows with a missing feature are left out of training, with their labels."""
 
-    def __init__(self, detectors: list[str]):
-        self.detectors, self.model = detectors, None
+    def __init__(self, detectors: list[str], model: PipelineModel | None = None):
+        self.detectors, self.model = detectors, model
         self.columns = [f"{c}_{d}" for d in detectors for c in ("score", "confidence")]
 
-    def _assembled(self, vectors: DataFrame, skip: str) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-
-        return VectorAssembler(inputCols=self.columns, outputCol="stacked", handleInvalid=skip).transform(vectors)
-
     def fit(self, scores: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Stacker:
-        from pyspark.ml.classification import LogisticRegression
-
-        rows = self._assembled(stacking_vectors(scores, self.detectors, id_col).join(labels.select(id_col, "label"), id_col), "skip").persist()
+        rows = stacking_vectors(scores, self.detectors, id_col).join(labels.select(id_col, "label"), id_col).dropna(subset=self.columns).persist()
         try:
             found = rows.agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes")).first()
             if found["n"] < 10 or found["classes"] < 2:
                 raise ValueError("stacking needs ten texts and both classes")
-            self.model = LogisticRegression(featuresCol="stacked", labelCol="label", regParam=1 / found["n"], standardization=False).fit(rows)
+            vectors = VectorAssembler(inputCols=self.columns, outputCol="stacked", handleInvalid="skip")
+            regression = LogisticRegression(featuresCol="stacked", labelCol="label", regParam=1 / found["n"], standardization=False)
+            self.model = Pipeline(stages=[vectors, regression]).fit(rows)
         finally:
             rows.unpersist()
         return self
 
     def predict(self, scores: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """(id, score, confidence, label); rows with a missing feature get the plain mean."""
-        from pyspark.ml.functions import vector_to_array
-
-        vectors = self._assembled(stacking_vectors(scores, self.detectors, id_col), "skip")
-        stacked = self.model.transform(vectors).select(id_col, vector_to_array("probability")[1].alias("stacked_score"))
+        stacked = self.model.transform(stacking_vectors(scores, self.detectors, id_col)).select(id_col, vector_to_array("probability")[1].alias("stacked_score"))
         plain = scores.groupBy(id_col).agg(mean_score().alias("mean"), mean_confidence().alias("confidence"))
         out = plain.join(stacked, id_col, "left").select(id_col, F.coalesce("stacked_score", "mean").alias("score"), "confidence")
         return out.withColumn("label", label(F.col("score"), F.col("confidence")))
 
+    def save(self, folder: str) -> None:
+        """The fitted pipeline, by its own writer, below a folder that all of the cluster can write."""
+        if self.model is None:
+            raise ValueError("the stacker is not fitted")
+        self.model.write().overwrite().save(folder)
+
+    @classmethod
+    def load(cls, folder: str) -> Stacker:
+        """A saved stacker; its detectors are those of the pipeline's columns."""
+        model = PipelineModel.load(folder)
+        return cls([c.removeprefix("score_") for c in model.stages[0].getInputCols() if c.startswith("score_")], model)
+
 
 def brier_gram(scores: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(a, b, product, target, n): sums of score products of each two detectors and of score times label.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penmark.functions import features as X
 from penmark.functions import text as T
 from penmark.operators import ensemble
 from penmark.operators.detectors import Context, Detector, score_units
@@ -44,6 +45,56 @@ def detect(
     return joined.select(id_col, score.alias("score"), confidence.alias("confidence"), chosen.alias("label"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
+def results(
+    texts: DataFrame, detectors: Sequence[Detector], context: Context, *, made: Callable[[Column], dict[str, Column]] = X.stylometry, heat: DataFrame | None = None,
+    id_col: str = "doc_id", text_col: str = "text", strategy: str = "weighted_average", weights: dict[str, float] | None = None,
+    least: int = T.MIN_WORDS, short_confidence: float = 0.3, most_tokens: int = 200, most_features: int = 20, top: int = 10,
+) -> DataFrame:
+    """All that is known of every text: what detect() returns, and detectors, features, top_features, heatmap and sentences.
+
+    detectors: a map of each name to its mean score and confidence over the
+    chunks and the error of the last chunk that has one. features: those that
+    `made` gives of a text column, of the last chunk; top_features: the `top`
+    of each chunk by absolute value, in the order of the chunks, the first
+    `most_features`. heatmap and sentences: of `heat`, rows as heatmaps() takes
+    them, else 0.5 for each token. Short texts have no detectors and features.
+    Every detector runs once. Ids must be unique and not null.
+    """
+    ready = prepared(texts, id_col, text_col, least)
+    chunks = chunked(ready.where(~F.col("short")), id_col).select(F.struct(id_col, "chunk_index").alias("unit"), "text")
+    own = F.collect_list(F.struct("detector", "score", "confidence", "error")).alias("own")
+    by_chunk = ensemble.combine(score_units(chunks, detectors, context, "unit"), strategy, weights, "unit", own)
+    numbers = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), v.cast("double").alias("value")) for n, v in made(F.col("text")).items()]))
+    each = by_chunk.join(chunks.select("unit", numbers.alias("features")), "unit")
+    chunk = F.struct(F.col("unit.chunk_index").alias("i"), "own", "features")
+    by_text = each.groupBy(F.col(f"unit.{id_col}").alias(id_col)).agg(
+        F.avg("score").alias("s"), F.avg("confidence").alias("c"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(chunk), lambda a, b: a["i"] - b["i"]).alias("chunks")
+    )
+
+    def of_detector(name: str, all_: Column) -> Column:
+        mine = F.filter(all_, lambda x: x["detector"] == name)
+        mean = lambda field: T.mean(F.transform(mine, lambda x: x[field]))
+        errors = F.filter(F.transform(mine, lambda x: x["error"]), lambda e: e.isNotNull())
+        return F.struct(F.lit(name).alias("key"), F.struct(mean("score").alias("score"), mean("confidence").alias("confidence"), F.get(errors, F.size(errors) - 1).alias("error")).alias("value"))
+
+    all_ = F.flatten(F.transform("chunks", lambda x: x["own"]))
+    names = list(dict.fromkeys(d.name for d in detectors))
+    summed = by_text.select(
+        id_col, "s", "c", "n_chunks",
+        T.bind(all_, lambda a: F.map_from_entries(F.array(*[of_detector(n, a) for n in names]))).alias("detectors"),
+        F.get("chunks", F.size("chunks") - 1)["features"].alias("features"),
+        F.slice(F.flatten(F.transform("chunks", lambda x: importance(x["features"], top))), 1, most_features).alias("top_features"),
+    )
+    shown = heatmaps(ready, heat, id_col, most_tokens)
+    joined = ready.select(id_col, "short").join(summed, id_col, "left").join(shown, id_col, "left")
+    score, confidence = F.coalesce("s", F.lit(0.5)), F.coalesce("c", F.when(F.col("short"), short_confidence).otherwise(0.0))
+    chosen = F.when(F.col("s").isNull(), "uncertain").otherwise(ensemble.label(score, confidence))
+    return joined.select(
+        id_col, score.alias("score"), confidence.alias("confidence"), chosen.alias("label"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
+        "detectors", "features", "top_features", "heatmap", "sentences",
+    )
+
+
 def detector_means(scores: DataFrame, unit_col: str = "unit", id_col: str = "doc_id") -> DataFrame:
     """(id, detector, score, confidence, error): means over chunks; the error is that of the last chunk that has one."""
     return scores.groupBy(F.col(f"{unit_col}.{id_col}").alias(id_col), "detector").agg(

@@ -9,6 +9,7 @@ meet the model by their distinct trigrams, not by their words.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +83,11 @@ class KneserNey:
             orders.append(_order(lower.persist()))
         return cls(tuple(orders), orders[-1].grams.count() + 1)
 
+    @classmethod
+    def of_counts(cls, grams: Sequence[DataFrame]) -> KneserNey:
+        """The model of stored tables (gram, n), from the highest order down."""
+        return cls(tuple(map(_order, grams)), grams[-1].count() + 1)
+
     def release(self) -> None:
         """Frees the counted tables."""
         for order in self.orders:

@@ -124,6 +124,19 @@ def facade_detectors(spark, folder):
     return means.select("doc_id", "detector", *rounded({"score": F.col("score"), "confidence": F.col("confidence")}))
 
 
+def facade_result(spark, folder):
+    """The composed result of every document, its detectors as a line."""
+    found = facade.results(documents(spark, folder), CATALOG.select(FAST), _context(spark, folder), strategy="mean")
+    score, confidence = F.round("score", 6), F.round("confidence", 6)
+    label = F.when(F.col("n_chunks") == 0, "uncertain").otherwise(ensemble.label(score, confidence))
+    thousandths = lambda v: F.round(1000 * F.round(v, 6), 0).cast("bigint").cast("string")
+    lines = F.transform(F.array_sort(F.map_entries("detectors")), lambda e: F.concat(e["key"], F.lit("="), thousandths(e["value"]["score"])))
+    return found.select(
+        "doc_id", "n_chunks", score.alias("score"), confidence.alias("confidence"), label.alias("label"), F.array_join(lines, ",").alias("detectors"),
+        F.size("heatmap").cast("bigint").alias("n_tokens"), F.size("sentences").cast("bigint").alias("n_sentences"),
+    )
+
+
 def facade_heatmap(spark, folder):
     found = facade.heatmaps(facade.prepared(documents(spark, folder)))
     return found.select("doc_id", F.size("heatmap").cast("bigint").alias("n_tokens"), F.array_join(F.transform("heatmap", lambda t: t["token"]), " ").alias("tokens"), F.size("sentences").cast("bigint").alias("n_sentences"))
@@ -360,6 +373,10 @@ WITH {SCORES_SQL}, j AS (SELECT doc_id, detector, score, quality FROM scores JOI
 SELECT x.detector AS a, y.detector AS b, count(*) AS n, round(CAST(sum(x.score * y.score) AS DOUBLE), 6) AS product, round(CAST(sum(x.score * x.quality) AS DOUBLE), 6) AS target FROM j x JOIN j y USING (doc_id) GROUP BY 1, 2"""),
     "facade_detect": (facade_detect, FACADE_SQL),
     "facade_detectors": (facade_detectors, _FACADE_MEANS_SQL),
+    "facade_result": (facade_result, rf"""
+WITH whole AS ({FACADE_SQL}), means AS ({_FACADE_MEANS_SQL}), {_HEAT},
+lines AS (SELECT doc_id, string_agg(detector || '=' || CAST(CAST(round(1000 * score) AS BIGINT) AS VARCHAR), ',' ORDER BY detector) AS detectors FROM means GROUP BY doc_id)
+SELECT doc_id, n_chunks, score, confidence, label, detectors, least(200, len(t)) AS n_tokens, len({S.terminated('h.text')}) AS n_sentences FROM whole JOIN h USING (doc_id) LEFT JOIN lines USING (doc_id)"""),
     "facade_heatmap": (facade_heatmap, rf"WITH {_HEAT} SELECT doc_id, least(200, len(t)) AS n_tokens, array_to_string(t[1:200], ' ') AS tokens, len({S.terminated()}) AS n_sentences FROM h"),
     "token_attributions": (token_attributions, f"""
 WITH {NGRAM_SQL}, {_SLOPES} SELECT doc_id, pos, token, round((own * flat + (two + coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY pos), 0)) * rising) / n, 6) + 0.0 AS attribution FROM nw JOIN ni USING (doc_id)"""),
