@@ -103,11 +103,17 @@ def build(spark, names: Sequence[str], catalog: Catalog, *, paths: Mapping[str,
 
 
 def measured(rows: DataFrame, detectors: Sequence[Detector], context: Context, id_col: str = "doc_id", label_col: str = "label") -> DataFrame:
-    """The metric bundle of each detector over labelled texts; error results count with their 0.5."""
-    scores = score_units(rows, detectors, context, id_col)
-    judged = scores.join(rows.select(id_col, F.col(label_col).alias("label")), id_col).select("detector", "label", "score").persist()
+    """The metric bundle of each detector over labelled texts, with errors and seconds; error results count with their 0.5.
+
+    How many results are errors, and the seconds from a detector's first result
+    to its last over all tasks, are summed up with the metrics.
+    """
+    now = F.expr("CAST(java_method('java.lang.System', 'currentTimeMillis') AS BIGINT)")
+    scores = score_units(rows, detectors, context, id_col).withColumn("at", now)
+    judged = scores.join(rows.select(id_col, F.col(label_col).alias("label")), id_col).select("detector", "label", "score", "error", "at").persist()
     try:
-        bundle = metrics.bundle(judged, ["detector"])
+        more = (F.count("error").alias("errors"), ((F.max("at") - F.min("at")) / 1000).alias("seconds"))
+        bundle = metrics.bundle(judged, ["detector"], 0.5, *more)
         return rows.sparkSession.createDataFrame(bundle.collect(), bundle.schema)  # a row for each detector
     finally:
         judged.unpersist()
@@ -115,7 +121,7 @@ def measured(rows: DataFrame, detectors: Sequence[Detector], context: Context, i
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     """(detector, before, after, delta) of two tables of measured(); delta has the differences of the ranking metrics and of F1."""
-    kept = [c for c in before.columns if c != "detector"]
+    kept = [c for c in before.columns if c not in ("detector", "errors", "seconds")]
     one, two = before.select("detector", F.struct(*kept).alias("before")), after.select("detector", F.struct(*kept).alias("after"))
     changes = [(F.col(f"after.{c}") - F.col(f"before.{c}")).alias(c) for c in ("auroc", "average_precision", "f1", "tpr_at_1fpr")]
     return one.join(two, "detector").withColumn("delta", F.struct(*changes))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penmark.functions import text as T
@@ -97,23 +97,26 @@ def sentence_burstiness(units: DataFrame, model: BigramModel, id_col: str = "doc
 def curvature(units: DataFrame, model: BigramModel, id_col: str = "doc_id", text_col: str = "text", replicas: int = 10, share: float = 0.15, top: int = 50, seed: int = 42) -> DataFrame:
     """Mean log probability of each unit against perturbed replicas, and the spread of these.
 
-    In each replica about `share` of the inner words, chosen by hash, are drawn
-    anew from the `top` successors of the word before, by the inverse of their
+    In each replica `share` of the words, at least one, all of them inner ones
+    and chosen by the order of hashes, are drawn anew from the `top` successors of the word before, by the inverse of their
     cumulative distribution. Log probabilities change only where a drawn word
     or its successor stands, so replicas are scored by the difference there.
     """
     ranked = model.bigrams.groupBy("before").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("bc")).alias("order"), "word"))), 1, top).alias("next"))
     successors = ranked.select("before", F.transform("next", lambda x: x["word"]).alias("options"), F.transform("next", lambda x: -x["order"]).alias("weights"))
     words = units.select(id_col, T.words(F.col(text_col)).alias("w")).where(F.size("w") > 2)
-    inner = F.transform(
-        F.sequence(F.lit(1), F.size("w") - 2),
-        lambda i: F.struct(i.alias("pos"), F.get("w", i - 1).alias("before"), F.get("w", i).alias("word"), F.get("w", i + 1).alias("after")),
-    )
-    places = words.select(id_col, F.size("w").alias("n"), F.explode(inner).alias("p")).select(id_col, "n", "p.*")
-    chance = lambda *more: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("replica"), F.col("pos"), *more), F.lit(1_000_000)) / 1_000_000
-    chosen = places.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))).where(chance() < share)
+    chance = lambda replica, pos, *more: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), replica, pos, *more), F.lit(1_000_000)) / 1_000_000
+    many = F.greatest(F.lit(1), F.floor((F.size("w") - 1) * share)).cast("int")
+
+    def picked(replica: Column) -> Column:
+        ordered = F.sort_array(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.struct(chance(replica, i).alias("order"), i.alias("pos"))))
+        place = lambda i: F.struct(replica.alias("replica"), i.alias("pos"), F.get("w", i - 1).alias("before"), F.get("w", i).alias("word"), F.get("w", i + 1).alias("after"))
+        return F.transform(F.slice(ordered, 1, many), lambda x: place(x["pos"]))
+
+    picks = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(replicas)), picked))
+    chosen = words.select(id_col, F.size("w").alias("n"), F.explode(picks).alias("p")).select(id_col, "n", "p.*")
     drawn = chosen.join(successors, "before")
-    target = chance(F.lit("draw")) * F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    target = chance(F.col("replica"), F.col("pos"), F.lit("draw")) * F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, x: a + x)
     walk = F.aggregate(
         "weights",
         F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("index")),

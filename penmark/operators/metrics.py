@@ -144,9 +144,9 @@ def _ranking() -> list[Column]:
     ]
 
 
-def bundle(rows: DataFrame, groups: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
-    """All metrics of each group in one row: one aggregation over the curve, one over the rows."""
-    counted = confusion(rows, groups, threshold, F.count("*").alias("num_samples"), F.sum("label").alias("num_positives"))
+def bundle(rows: DataFrame, groups: Sequence[str] = (), threshold: float = 0.5, *more: Column) -> DataFrame:
+    """All metrics of each group, and `more` aggregates, in one row: one aggregation over the curve, one over the rows."""
+    counted = confusion(rows, groups, threshold, F.count("*").alias("num_samples"), F.sum("label").alias("num_positives"), *more)
     ranked, keys = curve(rows, groups).groupBy(*groups).agg(*_ranking()), list(groups)
     out = ranked.join(counted, keys) if keys else ranked.join(counted)
     return out.withColumn("num_negatives", F.col("num_samples") - F.col("num_positives"))

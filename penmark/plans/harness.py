@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,23 +23,22 @@ class Harness:
         """The rows (doc_id, text, label, meta); None if they can't be read, with the reason in `skipped`. An unknown name is an error."""
         dataset = self.datasets.get(name)
         try:
-            rows = read(self.spark, dataset).withColumn("doc_id", F.monotonically_increasing_id())
-            rows.limit(1).count()
+            # Ids are given to stored rows, which scoring and labels both read.
+            rows = read(self.spark, dataset).withColumn("doc_id", F.monotonically_increasing_id()).persist()
+            rows.count()
         except Exception as failure:  # whatever a source raises, the other datasets go on
             self.skipped[name] = str(failure).splitlines()[0]
             return None
         return rows
 
     def run(self, detectors: Sequence[Detector], context: Context, names: Sequence[str] | None = None) -> DataFrame | None:
-        """The metrics of each detector on each dataset that loads (all by default), with the seconds that it took; None if none loads."""
+        """The metrics, errors and seconds of each detector on each dataset that loads (all by default); None if none loads."""
         out = None
         for name in self.datasets.names() if names is None else names:
             rows = self.load(name)
             if rows is None:
                 continue
-            began = time.monotonic()
-            found = calibrated.measured(rows, detectors, context).withColumn("dataset", F.lit(name)).withColumn("stratum", F.lit("overall")).persist()
-            found.count()  # a row for each detector
-            own = found.withColumn("seconds", F.lit(time.monotonic() - began))
+            own = calibrated.measured(rows, detectors, context).withColumn("dataset", F.lit(name)).withColumn("stratum", F.lit("overall"))
+            rows.unpersist()
             out = own if out is None else out.unionByName(own)
         return out

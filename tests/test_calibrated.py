@@ -123,7 +123,9 @@ def test_harness_skips_what_does_not_load(spark, corpus, context, tmp_path):
     known = datasets.Datasets([datasets.Dataset("own", path=str(tmp_path / "own"), format="json", text_field="text", label_field="kind"), datasets.Dataset("gone", path=str(tmp_path / "gone"), text_field="t", label_field="l")])
     harness = Harness(spark, known)
     rows = harness.run(detectors.default_catalog().select(["repetition"]), context).collect()
-    assert [(r["dataset"], r["detector"], r["num_samples"]) for r in rows] == [("own", "repetition", 60)] and list(harness.skipped) == ["gone"] and rows[0]["seconds"] >= 0
+    assert [(r["dataset"], r["detector"], r["num_samples"]) for r in rows] == [("own", "repetition", 60)] and list(harness.skipped) == ["gone"] and rows[0]["seconds"] >= 0 == rows[0]["errors"]
+    rows = harness.run([detectors.Detector("broken", "fast", ("prose",)), *detectors.default_catalog().select(["entropy"])], context, ["own"]).collect()
+    assert {r["detector"]: r["errors"] for r in rows} == {"broken": 60, "entropy": 0} and all(r["seconds"] >= 0 for r in rows)
     with pytest.raises(ValueError):
         harness.load("unheard")
 
