@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from penmark.functions import features as X
 from penmark.operators import shapley
 from penmark.operators.detectors import Context, Detector, ModelNotFoundError
+from penmark.operators.search import Range, Trial, tuned
 
 
 def assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -35,6 +36,22 @@ def train(rows: DataFrame, features: Sequence[str], label_col: str = "label", de
         ready.unpersist()
 
 
+#: Where search() looks for the parameters of the trees.
+SPACE = {
+    "maxDepth": Range(2, 6, whole=True), "maxIter": Range(10, 60, whole=True), "stepSize": Range(0.02, 0.3, log=True),
+    "subsamplingRate": Range(0.5, 1.0), "minInstancesPerNode": Range(1, 100, whole=True, log=True),
+}
+
+
+def search(
+    rows: DataFrame, features: Sequence[str], label_col: str = "label", trials: int = 50, folds: int = 5, space: dict[str, Range] | None = None
+) -> tuple[GBTClassificationModel, list[Trial]]:
+    """The best of `trials` sequential trials by exact area under the curve over the folds, fitted on all rows, and the trials."""
+    ready = assembled(rows, features).withColumn("y", F.col(label_col).cast("double")).withColumn("__key", F.to_json(F.struct(*features)))
+    base = GBTClassifier(featuresCol="x", labelCol="y", seed=42)
+    return tuned(base, ready, space or SPACE, BinaryClassificationEvaluator(labelCol="y", numBins=0), trials=trials, folds=folds, key="__key")
+
+
 def predict(model: GBTClassificationModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """`rows` with score, the probability of label 1, and confidence."""
     scored = model.transform(assembled(rows, features)).withColumn("score", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
