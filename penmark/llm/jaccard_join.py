@@ -377,12 +377,17 @@ def _pairs_across(rows: DataFrame) -> DataFrame:
     """A row for each two nodes of different classes, near in size, and each shingle in the prefixes of both.
 
     The smaller set of a similar pair has its shared shingles among its inner
-    ones. Classes are paired by shingle first and members joined to them, so
-    that members of one class never meet.
+    ones. Classes are paired by shingle first, then the sizes and places that
+    their members have there, and members are joined to those last: members of
+    one class never meet, and those alike in size and place count as one till
+    sizes and places are judged.
     """
+    keys = ["token", "class", "n", "pos"]
+    alike = checkpointed(rows.groupBy(*keys, "inner").agg(F.min("node").alias("node"), F.count("*").alias("many")))
+    several = checkpointed(rows.join(_small(alike.where("many > 1").select(*keys)), keys, "left_semi").select(*keys, "node"))
 
     def side(own: DataFrame, x: str) -> DataFrame:
-        return own.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "n", "pos")])
+        return own.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "n", "pos", "many")])
 
     def classes(members: DataFrame, x: str) -> DataFrame:
         return members.groupBy("token", f"class_{x}").agg(F.min(f"n_{x}").alias(f"low_{x}"), F.max(f"n_{x}").alias(f"high_{x}"), F.min(f"pos_{x}").alias(f"first_{x}"))
@@ -390,12 +395,20 @@ def _pairs_across(rows: DataFrame) -> DataFrame:
     def reaches(x: str, y: str) -> Column:
         return F.col(f"first_{x}") <= F.col(f"high_{x}") - _needed(F.col(f"high_{x}"), F.col(f"low_{y}"))
 
-    small, large = side(rows.where("inner"), "a"), side(rows, "b")
+    def expanded(pairs: DataFrame, members: DataFrame, x: str) -> DataFrame:
+        own = members.select("token", *[F.col(c).alias(f"{c}_{x}") for c in keys[1:]], F.col("node").alias("member"))
+        joined = pairs.join(own, [c if c == "token" else f"{c}_{x}" for c in keys], "left")
+        return joined.withColumn(f"node_{x}", F.coalesce("member", f"node_{x}")).drop("member")
+
+    small, large = side(alike.where("inner"), "a"), side(alike, "b")
     sized = (F.col("low_a") <= F.col("high_b")) & (F.col("high_a") * DENOMINATOR >= F.col("low_b") * NUMERATOR)
     met = classes(small, "a").join(classes(large, "b"), "token").where((F.col("class_a") != F.col("class_b")) & sized & reaches("a", "b") & reaches("b", "a"))
-    smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))
     pairs = met.select("token", "class_a", "class_b").join(small, ["token", "class_a"]).join(large, ["token", "class_b"])
-    pairs = pairs.where(smaller & (F.col("n_a") * DENOMINATOR >= F.col("n_b") * NUMERATOR) & _within_prefixes())
+    pairs = pairs.where((F.col("n_a") <= F.col("n_b")) & (F.col("n_a") * DENOMINATOR >= F.col("n_b") * NUMERATOR) & _within_prefixes())
+    if not several.isEmpty():
+        several = _small(several)
+        pairs = expanded(expanded(pairs, several, "a"), several, "b")
+    pairs = pairs.where("n_a < n_b OR node_a < node_b")
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "pos_a", "pos_b")
 
 
