@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,13 +33,17 @@ SMOOTHING = 0.05
 #: Words of more bytes are summed one by one in logarithms, others many at a time.
 LONGEST = 60
 #: Words whose probabilities a worker keeps: the first that it meets, which include the frequent ones.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 300_000
 #: Words whose segmentations are laid out at a time.
 LATTICE_WORDS = 10_000
 #: Every piece probability is multiplied by this for each of its bytes, so that a word of LONGEST bytes stays within a double.
 _LIFT = 12.0
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER_BYTES = byte_characters()
+#: The same but for the newline behind each word.
+_LETTERS = {b: c for b, c in _LETTER_BYTES.items() if b != 10}
+#: Bits for a piece's letters next to its number.
+_LENGTH_BITS = 12
 
 
 def words_of(text: str) -> list[str]:
@@ -53,6 +58,10 @@ class Vocabulary:
     inner: dict[str, int] = field(default_factory=dict)
     final: dict[str, int] = field(default_factory=dict)
     longest: int = 1
+    automaton: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"automaton": None}  # each worker builds its own
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -67,6 +76,18 @@ class Vocabulary:
                 out.longest = max(out.longest, len(name))
         return out
 
+    def occurrences(self, letters: str) -> np.ndarray:
+        """Of words that each end in a newline, all pieces in them: (end in `letters`, piece, its letters), final pieces up to the newline."""
+        if self.automaton is None:
+            found = ahocorasick.Automaton()
+            for own, end in ((self.inner, ""), (self.final, "\n")):
+                for name, piece in own.items():
+                    found.add_word(name + end, piece << _LENGTH_BITS | len(name))
+            found.make_automaton()
+            self.automaton = found
+        packed = np.fromiter((end << 40 | code for end, code in self.automaton.iter(letters)), dtype=np.int64)
+        return np.stack([packed >> 40, packed >> _LENGTH_BITS & (1 << 40 - _LENGTH_BITS) - 1, packed & (1 << _LENGTH_BITS) - 1])
+
     def __len__(self) -> int:
         return len(self.inner) + len(self.final)
 
@@ -81,27 +102,16 @@ class Lattice:
     """All pieces in some words: word, start, end and piece of each, by ascending end."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
-        word, start, end, piece = [], [], [], []
-        self.size = np.zeros(len(words), dtype=np.int64)
-        inner, final, longest = vocabulary.inner.get, vocabulary.final.get, vocabulary.longest
-        for i, w in enumerate(words):
-            b = w.encode().decode("latin-1").translate(_LETTER_BYTES)
-            n = self.size[i] = len(b)
-            for s in range(n):
-                for e in range(s + 1, min(n - 1, s + longest) + 1):
-                    p = inner(b[s:e])
-                    if p is not None:
-                        word.append(i)
-                        start.append(s)
-                        end.append(e)
-                        piece.append(p)
-                p = final(b[s:])
-                if p is not None:
-                    word.append(i)
-                    start.append(s)
-                    end.append(n)
-                    piece.append(p)
-        columns = np.array([word, start, end, piece], dtype=np.int64).reshape(4, -1)
+        letters = "".join([f"{w}\n" for w in words]).encode().decode("latin-1").translate(_LETTERS)
+        breaks = np.flatnonzero(np.frombuffer(letters.encode("utf-16-le"), dtype=np.uint16) == 10)
+        first = np.concatenate([[0], breaks[:-1] + 1]) if breaks.size else breaks
+        self.size = breaks - first
+        end, piece, length = vocabulary.occurrences(letters)
+        word = np.searchsorted(breaks, end)
+        final = breaks[word] == end
+        end = end - first[word] + ~final  # of a piece's last letter the place behind it; a newline stands there already
+        kept = final | (end < self.size[word])  # pieces within a word do not end it
+        columns = np.stack([word, end - length, end, piece])[:, kept]
         self.word, self.start, self.end, self.piece = columns[:, np.argsort(columns[2], kind="stable")]
         self.by_start = np.argsort(self.start, kind="stable")
         self.longest = int(self.size.max(initial=0))
