@@ -25,6 +25,9 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
+#: Rules that are sent to all tasks at most; more are shuffled.
+BROADCAST_RULES = 200_000
+
 _TAG = r"""(?is)<{name}\b(?=[^>]*{mark})[^>]*?{value}"""
 _HREF = r"""\bhref\s*=\s*["']?([^"'\s>]+)"""
 CANONICAL = _TAG.format(name="link", mark=r"""\brel\s*=\s*["']?canonical\b""", value=_HREF)
@@ -32,7 +35,11 @@ REFRESH = _TAG.format(name="meta", mark=r"""\bhttp-equiv\s*=\s*["']?refresh\b"""
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, action string")
+    """Given rules as (host, path, action), made of literals, so that Spark knows their size."""
+    if not rules:
+        return spark.createDataFrame([], "host string, path string, action string")
+    rows = [F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "action"), rule, strict=True)]) for rule in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -84,7 +91,7 @@ def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     best = (
         distinct.where("host <> ''")
         .select("host", "path", F.explode(suffixes).alias("suffix"))
-        .join(offered, "suffix")
+        .join(F.broadcast(offered) if rules.count() <= BROADCAST_RULES else offered, "suffix")
         .where(F.startswith("path", "start"))
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), F.length("suffix").alias("h"), (F.col("action") == "allow").alias("allow"), "rule", "action")).alias("best"))
