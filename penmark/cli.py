@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from penmark.functions import features as X
 from penmark.functions import text as T
 from penmark.operators import boosting, calibrated, calibration, detectors, ensemble, facade, metrics
+from penmark.plans import harness
 from penmark.sources import config, contexts, datasets, reports
 
 
@@ -44,12 +46,20 @@ def _parser() -> argparse.ArgumentParser:
     promote = commands.add_parser("promote", help="gate calibrations by a summary of metrics")
     promote.add_argument("--summary-path", required=True)
     promote.add_argument("--folder", default="calibration_models")
+    promote.add_argument("--min-auroc-gain", type=float, default=0.01)
+    promote.add_argument("--max-f1-loss", type=float, default=0.0)
+    promote.add_argument("--min-tpr-gain", type=float)
+    suite = commands.add_parser("benchmark", help="metrics of detectors on several corpora, written as a report")
+    suite.add_argument("--dataset", action="append", required=True, metavar="NAME=PATH", help="a known name gives the fields; others have text and label")
+    suite.add_argument("--format", default="json", help="of the files, as Spark names it")
+    suite.add_argument("--name", default="benchmark")
+    suite.add_argument("--out", help="a folder for Markdown, JSON and CSV")
     commands.add_parser("list-detectors")
     commands.add_parser("list-datasets")
-    for command in (detect, evaluate, compare, audit):
+    for command in (detect, evaluate, compare, audit, suite):
         command.add_argument("--detector", action="append", help="names; all of the fast tier by default")
         command.add_argument("--config")
-    for command in (detect, evaluate, compare, audit, calibrate, against, saved):
+    for command in (detect, evaluate, compare, audit, calibrate, against, saved, suite):
         command.add_argument("--reference", help="a folder of the command `reference`; without it, entropy and surprisal detectors have no result")
     return parser
 
@@ -151,9 +161,28 @@ def calibration_evaluate(spark: SparkSession, args: argparse.Namespace, settings
 
 
 def promote(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
-    decided = calibration.promotion_reasons(datasets.promotion_summary(spark, args.summary_path))
+    policy = {"min_auroc_gain": args.min_auroc_gain, "max_f1_loss": args.max_f1_loss, "min_tpr_gain": args.min_tpr_gain}
+    decided = calibration.promotion_reasons(datasets.promotion_summary(spark, args.summary_path), **policy)
     paths = {r["detector"]: calibration.artifact_path(args.folder, r["detector"], "calibration") for r in decided.select("detector").collect()}
-    return "\n".join(reports.promoted_config(decided, paths))
+    return "\n".join(reports.promoted_config(decided, paths, policy))
+
+
+def benchmark(spark: SparkSession, args: argparse.Namespace, settings: config.Settings) -> str:
+    """One report of all corpora that can be read; the others are listed with the reason."""
+    known, names = datasets.Datasets(), []
+    for given in args.dataset:
+        name, _, path = given.partition("=")
+        if not path:
+            sys.exit("--dataset takes NAME=PATH")
+        own = known.get(name) if name in known.names() else datasets.Dataset(name)
+        known.register(replace(own, path=path, format=args.format))
+        names.append(name)
+    suite = harness.Harness(spark, known)
+    found = suite.run(_chosen(args.detector), _context(spark, args), names)
+    if found is None:
+        sys.exit("no corpus could be read: " + "; ".join(f"{n}: {why}" for n, why in suite.skipped.items()))
+    text = reports.write_suite(args.name, found, args.out) if args.out else reports.markdown(args.name, found)
+    return text + "".join(f"\nSkipped {n}: {why}" for n, why in suite.skipped.items())
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> str:
@@ -166,7 +195,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         spark = spark or SparkSession.builder.appName("penmark").getOrCreate()
         settings = config.resolve(getattr(args, "config", None))
         out = {"detect": detect, "evaluate": evaluate, "compare": compare, "audit": audit, "promote": promote, "train": train, "reference": reference, "calibrate": calibrate,
-               "calibration-compare": calibration_compare, "calibration-evaluate": calibration_evaluate}[args.command](spark, args, settings)
+               "calibration-compare": calibration_compare, "calibration-evaluate": calibration_evaluate, "benchmark": benchmark}[args.command](spark, args, settings)
     print(out)
     return out
 

@@ -7,6 +7,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from importlib.metadata import entry_points
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -357,6 +358,29 @@ class Catalog:
 
     def __init__(self, detectors: Sequence[Detector] = ()):
         self._by_name = {d.name: d for d in detectors}
+        #: Plug-ins that could not be loaded, with the reason.
+        self.failed: dict[str, str] = {}
+        self._loaded: set[str] = set()
+
+    def load_plugins(self, group: str = "penmark.detectors", again: bool = False) -> list[str]:
+        """Calls register(catalog) of each installed plug-in of the group, once unless `again`; the names of those loaded now.
+
+        One that cannot be imported or fails is noted in `failed`; the others go on.
+        """
+        now = []
+        for point in sorted(entry_points(group=group), key=lambda p: p.name):
+            if point.name in self._loaded and not again:
+                continue
+            try:
+                loaded = point.load()
+                getattr(loaded, "register", loaded)(self)
+            except Exception as failure:  # whatever a plug-in raises is its own
+                self.failed[point.name] = f"{type(failure).__name__}: {failure}"
+                continue
+            self.failed.pop(point.name, None)
+            self._loaded.add(point.name)
+            now.append(point.name)
+        return now
 
     def register(self, detector: Detector) -> None:
         if detector.tier not in self.TIERS:

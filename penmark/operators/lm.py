@@ -43,8 +43,11 @@ def token_surprisals(units: DataFrame, model: BigramModel, id_col: str = "doc_id
     return known.select(id_col, "pos", (-F.log(probability)).alias("surprisal"))
 
 
-def surprisal_stats(surprisals: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The six features of each unit's surprisals; population moments, as arrays in position order."""
+def surprisal_stats(surprisals: DataFrame, id_col: str = "doc_id", guard: float = 1e-10) -> DataFrame:
+    """The six features of each unit's surprisals; population moments, as arrays in position order.
+
+    A variance or mean below `guard` counts as none.
+    """
     s = F.transform("s", lambda x: x["surprisal"])
     grouped = surprisals.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "surprisal"))).alias("s")).select(id_col, s.alias("s"))
     n, m, var, total = F.size("s"), T.mean(F.col("s")), T.variance(F.col("s")), T.total(F.col("s"))
@@ -59,14 +62,29 @@ def surprisal_stats(surprisals: DataFrame, id_col: str = "doc_id") -> DataFrame:
         id_col,
         F.col("n").cast("bigint").alias("n_surprisals"),
         F.when(F.col("n") >= 2, F.col("var")).otherwise(0.0).alias("surprisal_variance"),
-        F.when((F.col("n") >= 3) & (F.col("var") >= 1e-10), T.total(lagged) / F.greatest(F.col("n") - 1, F.lit(1)) / F.greatest("var", F.lit(1e-10))).otherwise(0.0).alias("surprisal_autocorr"),
-        F.when((F.col("n") >= 2) & (F.col("m") >= 1e-10), F.sqrt("var") / F.greatest("m", F.lit(1e-10))).otherwise(0.0).alias("surprisal_burstiness"),
+        F.when((F.col("n") >= 3) & (F.col("var") >= guard), T.total(lagged) / F.greatest(F.col("n") - 1, F.lit(1)) / F.greatest("var", F.lit(guard))).otherwise(0.0).alias("surprisal_autocorr"),
+        F.when((F.col("n") >= 2) & (F.col("m") >= guard), F.sqrt("var") / F.greatest("m", F.lit(guard))).otherwise(0.0).alias("surprisal_burstiness"),
         F.when(F.col("total") > 0, -T.total(F.transform(shares, lambda p: F.when(p > 0, p * F.log2(p)).otherwise(0.0)))).otherwise(0.0).alias("surprisal_entropy"),
         F.when(F.col("n") >= 2, slope).otherwise(0.0).alias("surprisal_trend"),
         F.col("m").alias("mean_surprisal"),
     )
 
 
+def stylometric_surprisals(units: DataFrame, surprisals: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, surprisal_mean, _std, _cv, _autocorr, _entropy) of every unit; zeros below two surprisals.
+
+    The guards of these are any spread at all: a variance below 1e-20 is that
+    of rounding alone.
+    """
+    stats = surprisal_stats(surprisals, id_col, guard=1e-20)
+    named = {
+        "surprisal_mean": F.col("mean_surprisal"), "surprisal_std": F.sqrt("surprisal_variance"), "surprisal_cv": F.col("surprisal_burstiness"),
+        "surprisal_autocorr": F.col("surprisal_autocorr"), "surprisal_entropy": F.col("surprisal_entropy"),
+    }
+    found = stats.where("n_surprisals >= 2").select(id_col, *[c.alias(n) for n, c in named.items()])
+    return units.select(id_col).join(found, id_col, "left").select(id_col, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in named])
+
+
 def windowed_perplexity(surprisals: DataFrame, id_col: str = "doc_id", window: int = 512, stride: int = 256) -> DataFrame:
     """Mean, population variance and deviation of the perplexities of each unit's token windows.
 

@@ -39,6 +39,12 @@ def surprisal_stats(spark, folder):
     return stats.select("doc_id", "n_surprisals", *[(F.round(c, 6) + 0.0).alias(c) for c in stats.columns[2:]])
 
 
+def stylometric_surprisal(spark, folder):
+    rows = documents(spark, folder)
+    found = lm.stylometric_surprisals(rows, lm.token_surprisals(rows, _model(spark, folder)))
+    return found.select("doc_id", *[(F.round(c, 6) + 0.0).alias(c) for c in found.columns[1:]])
+
+
 def windowed_perplexity(spark, folder):
     stats = lm.windowed_perplexity(lm.token_surprisals(documents(spark, folder), _model(spark, folder)))
     variance = F.round("perplexity_variance", 2).alias("perplexity_variance")
@@ -213,6 +219,7 @@ stats AS (
     CASE WHEN n >= 3 AND v >= 1e-10 THEN coalesce(lagged, 0) / (n - 1) / v ELSE 0 END AS surprisal_autocorr, CASE WHEN n >= 2 AND m >= 1e-10 THEN sqrt(v) / m ELSE 0 END AS surprisal_burstiness,
     e AS surprisal_entropy, CASE WHEN n >= 2 THEN slope ELSE 0 END AS surprisal_trend, m AS mean_surprisal
   FROM m JOIN (SELECT doc_id, sum((x - m) * (nx - m)) AS lagged, -sum(CASE WHEN x > 0 THEN x / total * log2(x / total) ELSE 0 END) AS e, regr_slope(x, pos) AS slope FROM l JOIN m USING (doc_id) GROUP BY doc_id) USING (doc_id))"""
+_STYLOMETRIC = ("surprisal_mean", "surprisal_std", "surprisal_cv", "surprisal_autocorr", "surprisal_entropy")
 _STATS = ("surprisal_variance", "surprisal_autocorr", "surprisal_burstiness", "surprisal_entropy", "surprisal_trend", "mean_surprisal")
 
 
@@ -336,6 +343,12 @@ ni AS (SELECT doc_id, sum(l * (1 - l) * k) AS flat, sum(l * (1 - l) * k * a) AS
 QUERIES = {
     "token_surprisal": (token_surprisal, f"WITH {SURPRISALS_SQL} SELECT doc_id, pos, round(x, 6) AS surprisal FROM s"),
     "surprisal_stats": (surprisal_stats, f"WITH {STATS_SQL} SELECT doc_id, n_surprisals, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _STATS)} FROM stats"),
+    "stylometric_surprisal": (stylometric_surprisal, f"""
+WITH {STATS_SQL}, f AS (
+  SELECT d.doc_id, mean_surprisal AS surprisal_mean, sqrt(v) AS surprisal_std, CASE WHEN mean_surprisal > 0 THEN sqrt(v) / mean_surprisal ELSE 0 END AS surprisal_cv,
+    CASE WHEN n > 2 AND v >= 1e-20 THEN lagged / (n - 1) / v ELSE 0 END AS surprisal_autocorr, surprisal_entropy
+  FROM documents d LEFT JOIN (SELECT * FROM stats JOIN m USING (doc_id) JOIN (SELECT doc_id, sum((x - m) * (nx - m)) AS lagged FROM l JOIN m USING (doc_id) GROUP BY doc_id) USING (doc_id) WHERE n >= 2) s ON s.doc_id = d.doc_id)
+SELECT doc_id, {', '.join(f'round(coalesce({c}, 0), 6) + 0.0 AS {c}' for c in _STYLOMETRIC)} FROM f"""),
     "windowed_perplexity": (windowed_perplexity, f"WITH {PERPLEXITY_SQL} SELECT doc_id, window_count, round(perplexity_variance, 2) AS perplexity_variance, {', '.join(S.r6(c, c) for c in ('mean_perplexity', 'perplexity_std'))} FROM ppl"),
     "burstiness": (burstiness, f"WITH {BURSTINESS_SQL} SELECT doc_id, sentence_count, {', '.join(S.r6(c, c) for c in ('burstiness_cv', 'mean_perplexity', 'std_perplexity'))} FROM burst"),
     "curvature": (curvature, None),
@@ -353,6 +366,7 @@ SELECT doc_id, round(CASE WHEN mean_perplexity IS NULL THEN 0.5 ELSE 1 - least(1
     "detector_burstiness": (_detector("burstiness", True), f"""
 WITH {BURSTINESS_SQL} SELECT doc_id, round(CASE WHEN burstiness_cv IS NULL THEN 0.5 ELSE least(1, greatest(0, 1 - burstiness_cv)) END, 6) AS score,
   CAST(CASE WHEN burstiness_cv IS NULL THEN 0 ELSE {_bands('burstiness_cv', _T.burstiness, _T.burstiness_default, '<')} END AS DOUBLE) AS confidence FROM documents LEFT JOIN burst USING (doc_id)"""),
+    "detector_code": (_detector("code"), None),
     "detector_surprisal": (_detector("surprisal", True), f"""
 WITH {STATS_SQL} SELECT doc_id, round(CAST(CASE WHEN coalesce(n_surprisals, 0) < 5 THEN 0.5 ELSE least(1, greatest(0, {_bands('surprisal_variance', _T.surprisal_variance, 0, '<')} + {_bands('surprisal_autocorr', _T.surprisal_autocorr, 0, '<')}
   + {_bands('surprisal_burstiness', _T.surprisal_burstiness, 0, '<')} + {_bands('mean_surprisal', _T.mean_surprisal, 0, '<')} + {_bands('abs(surprisal_trend)', _T.surprisal_trend, 0, '<')})) END AS DOUBLE), 6) AS score,

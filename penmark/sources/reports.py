@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -59,13 +60,14 @@ def write_suite(name: str, results: DataFrame, folder: str, formats: tuple[str,
     return text
 
 
-def promoted_config(decisions: DataFrame, paths: dict[str, str]) -> tuple[str, str]:
-    """The YAML of promoted calibrations and the JSON of all decisions; detectors are few."""
+def promoted_config(decisions: DataFrame, paths: dict[str, str], policy: Mapping[str, float | None] | None = None) -> tuple[str, str]:
+    """The YAML of promoted calibrations and the JSON of all decisions and the policy that they follow; detectors are few."""
     rows = decisions.orderBy("detector").collect()
     chosen = [r["detector"] for r in rows if r["promoted"] and r["detector"] in paths]
     yaml = "\n".join(["# Promoted calibrations", "penmark:", "  detector_calibration_paths:", *(f"    {d}: {paths[d]}" for d in chosen)]) + "\n"
     rejected = {r["detector"]: list(r["reasons"]) or ["no artifact"] for r in rows if r["detector"] not in chosen}
-    return yaml, json.dumps({"selected": chosen, "rejected": rejected}, indent=2, sort_keys=True)
+    told = {"selected": chosen, "rejected": rejected} | ({"policy": dict(policy)} if policy else {})
+    return yaml, json.dumps(told, indent=2, sort_keys=True)
 
 
 def short_markdown(results: DataFrame) -> str:
