@@ -80,3 +80,21 @@ def test_empty_corpus(spark, corpus):
     rows = kneser_ney.text_surprisals(corpus.where("doc_id = 1"), model).collect()
     assert [(r["n"], r["mean_surprisal"], r["perplexity"]) for r in rows] == [(6, 0.0, 1.0)]
     assert kneser_ney.text_surprisals(corpus.limit(0), model).count() == 0
+
+
+def test_counted_trigrams_need_no_back_off_chain(spark, corpus, monkeypatch):
+    literal = Literal(TEXTS)
+    for limit in (300_000, 0):
+        monkeypatch.setattr(kneser_ney, "BROADCAST_ROWS", limit)
+        model = KneserNey.count(corpus)
+        counted = kneser_ney.token_surprisals(corpus, model, counted=True)
+        got = {(r["doc_id"], r["pos"]): r["surprisal"] for r in counted.collect()}
+        wanted = {}
+        for i, text in enumerate(TEXTS):
+            words = ["", "", *re.findall("[a-z]+", text or "")]
+            wanted |= {(i, k - 2): -math.log(literal.probability(tuple(words[k - 2 : k + 1]))) for k in range(2, len(words))}
+        assert got == pytest.approx(wanted, abs=1e-12)
+        model.release()
+    # Shuffled are the trigrams by middle word, words, texts and trigrams by trigram, and nothing for each order.
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 4 and "w1" in plan
