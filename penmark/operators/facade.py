@@ -18,7 +18,10 @@ def prepared(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(id, raw, text, n_words, n_sentences, short): text is the normalised one, the words are those of the raw text."""
     out = texts.select(id_col, F.col(text_col).alias("raw"), T.normalized(F.col(text_col)).alias("text"), F.size(T.tokens(F.col(text_col))).cast("bigint").alias("n_words"))
     out = out.withColumn("n_sentences", F.size(T.terminated_sentences(F.col("text"))).cast("bigint"))
-    return out.withColumn("short", F.coalesce((F.col("n_words") < least) | (F.col("n_sentences") == 0), F.lit(True)))
+    short = F.coalesce((F.col("n_words") < least) | (F.col("n_sentences") == 0), F.lit(True))
+    # Exploded, so that a filter on `short` is not pushed below and its texts are not normalised and split again there.
+    once = F.explode(F.array(F.struct("text", "n_words", "n_sentences", short.alias("short"))))
+    return out.select(id_col, "raw", once.alias("p")).select(id_col, "raw", "p.*")
 
 
 def detect(

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from penmark.operators import detectors, grains
+from penmark.operators import detectors, facade, grains
 from penmark.plans import scoring
 
 
@@ -43,3 +43,15 @@ def test_repeated_ids_are_one_unit_of_the_divergence(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "b c"), (2, "a b b c")], "id long, text string")
     values = [r["kl_divergence"] for r in grains.kl_divergence(rows, grains.reference_frequencies(rows), "id").collect()]
     assert len(values) == 3 and max(values) - min(values) < 1e-12
+
+
+def test_texts_are_prepared_once_below_a_filter(spark):
+    frame = facade.prepared(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(1)).where(~F.col("short"))
+    assert _plan(frame).count("(?U)\\s+") <= 2  # the normalised text and the number of its tokens
+
+
+def test_row_wise_detectors_share_one_pass(texts):
+    found = detectors.score_units(texts, scoring.CATALOG.select(["repetition", "stylometric", "cognitive"]), detectors.Context(), "id")
+    assert _plan(found).count("\\b[a-zA-Z]+\\b") == 1 and "Union" not in _plan(found)
+    got = {(r["id"], r["detector"]): (r["score"], r["confidence"]) for r in found.collect()}
+    assert got[1, "repetition"] == (pytest.approx(2 / 17), 0.4) and got[3, "repetition"] == (0.5, 0.0)
