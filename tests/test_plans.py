@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from penmark.operators import detectors, facade, grains
+from penmark.operators import detectors, facade, grains, lm
 from penmark.plans import scoring
 
 
@@ -55,3 +55,16 @@ def test_row_wise_detectors_share_one_pass(texts):
     assert _plan(found).count("\\b[a-zA-Z]+\\b") == 1 and "Union" not in _plan(found)
     got = {(r["id"], r["detector"]): (r["score"], r["confidence"]) for r in found.collect()}
     assert got[1, "repetition"] == (pytest.approx(2 / 17), 0.4) and got[3, "repetition"] == (0.5, 0.0)
+
+
+def test_curvature_splits_and_scores_its_texts_once(spark):
+    texts = spark.createDataFrame([(1, "a b c a b d a b c"), (2, "a zebra b a"), (3, "a b")], "doc_id long, text string")
+    unigrams = spark.createDataFrame([("a", 5), ("b", 4), ("c", 2), ("d", 1)], "word string, uc long")
+    bigrams = spark.createDataFrame([("a", "b", 4), ("b", "c", 2), ("b", "d", 1), ("c", "a", 1), ("d", "a", 1)], "before string, word string, bc long")
+    model = lm.BigramModel(unigrams, bigrams, unigrams.agg(F.count("*").alias("v")))
+    found = lm.curvature(texts, model)
+    assert _plan(found).count("\\b[a-zA-Z]+\\b") == 1
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert set(rows) == {1, 2}  # a text of two words has no inner one
+    own = {r["doc_id"]: r["p"] for r in lm.token_surprisals(texts, model).groupBy("doc_id").agg((-F.avg("surprisal")).alias("p")).collect()}
+    assert {i: r["original_log_prob"] for i, r in rows.items()} == pytest.approx({i: own[i] for i in rows})
