@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from penmark.functions import text as T
 from penmark.operators import external
 from penmark.operators.detectors import Context, Detector
+from penmark.operators.own_counts import own_counts, text_bytes
 
 #: Points of the Gauss-Legendre rule in each panel of the path, and how far the scorer's argument may move in a panel.
 POINTS = 16
@@ -111,6 +112,80 @@ class NgramScorer:
         return rows.select(id_col, "v.pos", "v.token", "v.attribution", "score", _logistic(F.lit(self.bias)).alias("baseline"))
 
 
+@dataclass(frozen=True)
+class OwnNgramScorer:
+    """The scorer that NgramScorer.fit() gives of those texts that `labels` (id, label) name, for all texts of the same table.
+
+    Grams are told by 64-bit hashes and counted where they are scored; no table
+    of weights is kept, and no token is shuffled. Ids must be unique.
+    """
+
+    labels: DataFrame
+    label_col: str = "label"
+    scale: float = SCALE
+
+    def _weighted(self, units: DataFrame, id_col: str, text_col: str, attributed: bool = False) -> tuple[DataFrame, float]:
+        """(id, text, own, both): arrays of the weights of each token and of it with the next, multiplied by the scale; and the bias.
+
+        Or (id, text, attribution, score): of each token, and of its text.
+        """
+        sums = self.labels.groupBy(id_col).agg(*[F.count_if(F.col(self.label_col) == k).alias(f"n{k}") for k in (0, 1)])
+        counts = units.select(id_col).join(sums, id_col).agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in (0, 1)]).first()
+        fitted, scale = bool(counts["n0"] and counts["n1"]), self.scale
+        bias = float(np.log(counts["n1"] / counts["n0"])) if fitted else 0.0
+
+        def weights(lengths: np.ndarray, words: np.ndarray, pairs: np.ndarray, of_words: np.ndarray, of_pairs: np.ndarray) -> list[np.ndarray]:
+            made = []
+            for n, (types, n0, n1) in ((words, of_words), (pairs, of_pairs)):
+                shift = np.log(n0 + types) - np.log(n1 + types) if types else 0.0
+                made.append(np.where(fitted & (n.sum(axis=0) > 0), scale * (np.log((n[1] + 1) / (n[0] + 1)) + shift), 0.0))
+            if not attributed:
+                return made
+            own, both = made
+            text, n = np.repeat(np.arange(lengths.size), lengths), np.maximum(lengths, 1)
+            u, b = (np.bincount(text, weights=w, minlength=lengths.size) / n for w in made)
+            flat, rising = _integrals(bias, u, b)
+            around = both + np.append(0.0, both[:-1]) if both.size else both  # the last token of a text has no pair
+            return [(own * flat[text] + around * rising[text]) / n[text], _sigmoid(bias + u + b)[text]]
+
+        split = lambda text: T.tokens(F.coalesce(text.cast("string"), F.lit("")))
+        labelled = units.select(id_col, text_col).join(sums, id_col, "left")
+        values = ("attribution", "score") if attributed else ("own", "both")
+        found = own_counts(labelled, split, weights, values, id_col=id_col, text_col=text_col, times=("n0", "n1"), n_bytes=text_bytes(units, text_col))
+        return found, bias
+
+    def score(self, units: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(id, score, n_tokens) of every text; without tokens, that of the bias."""
+        rows, bias = self._weighted(units, id_col, text_col)
+        z = F.when(F.size("own") > 0, (T.total(F.col("own")) + T.total(F.col("both"))) / F.greatest(F.size("own"), F.lit(1))).otherwise(0.0)
+        return rows.select(id_col, _logistic(bias + z).alias("score"), F.size("own").cast("bigint").alias("n_tokens"))
+
+    def attributions(self, units: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(id, pos, token, attribution, score, baseline) of every token of every text, as those of NgramScorer."""
+        rows, bias = self._weighted(units, id_col, text_col, attributed=True)
+        zipped = F.arrays_zip(T.tokens(F.col(text_col).cast("string")).alias("token"), "attribution", "score")
+        # Outer, as no text here is empty: an inner one would have Spark split the texts once more for a filter on their size.
+        each = rows.where(F.size("attribution") > 0).select(id_col, F.posexplode_outer(zipped).alias("pos", "v"))
+        return each.select(id_col, "pos", "v.token", "v.attribution", "v.score", _logistic(F.lit(bias)).alias("baseline"))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
+
+
+def _integrals(bias: float, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What _path_integrals() gives, of many texts at once."""
+    x, w = np.polynomial.legendre.leggauss(POINTS)
+    panels = 1 + np.floor((np.abs(u) + 2 * np.abs(b)) / PANEL).astype(np.int64)
+    text = np.repeat(np.arange(u.size), panels)
+    i = np.arange(text.size) - np.repeat(np.cumsum(panels) - panels, panels)
+    a = (i[:, None] + (x + 1) / 2) / panels[text][:, None]
+    s = _sigmoid(bias + a * u[text][:, None] + a * a * b[text][:, None])
+    slope = s * (1 - s) * (w / 2) / panels[text][:, None]
+    return np.bincount(text, weights=slope.sum(axis=1), minlength=u.size), np.bincount(text, weights=(slope * a).sum(axis=1), minlength=u.size)
+
+
 def _path_integrals(bias: Column, u: Column, b: Column) -> Column:
     """Integrals over a of 0 to 1 of the logistic function's slope at bias + a u + a^2 b, plain (flat) and times a (rising).
 
@@ -141,7 +216,7 @@ def heatmap(attributions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select(id_col, F.transform("t", lambda t: F.struct(t["token"].alias("token"), share(t).alias("score"))).alias("heatmap"))
 
 
-def detector(scorer: NgramScorer, name: str = "ngram_classifier") -> Detector:
+def detector(scorer: NgramScorer | OwnNgramScorer, name: str = "ngram_classifier") -> Detector:
     """The scorer as a detector; a text without tokens is an error."""
 
     def score(units: DataFrame, id_col: str, context: Context) -> DataFrame:

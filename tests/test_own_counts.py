@@ -36,3 +36,13 @@ def test_words_are_not_shuffled_one_by_one(units):
     plan = lm.surprisal_stats(lm.surprisals(units, lm.OwnTexts())).groupBy().agg(F.count("*"))._jdf.queryExecution().toString()
     assert "explode" not in plan.lower().replace("posexplode", "explode")
 
+
+def test_own_scorer_equals_the_fitted_one(spark, units):
+    from penmark.operators.attribution import NgramScorer, OwnNgramScorer
+
+    labels = spark.createDataFrame([(1, 0), (5, 1), (4, 1), (4, 1), (7, None), (6, 2), (99, 0)], "doc_id long, label int")
+    own, fitted = OwnNgramScorer(labels), NgramScorer.fit(units.join(labels, "doc_id"))
+    for made in (lambda s: s.score(units), lambda s: s.attributions(units).select("doc_id", "pos", "token", "attribution", "score", "baseline")):
+        assert _rounded(made(own)) == _rounded(made(fitted)) != []
+    alone = labels.where("label = 1")
+    assert _rounded(OwnNgramScorer(alone).score(units)) == _rounded(NgramScorer.fit(units.join(alone, "doc_id")).score(units))
