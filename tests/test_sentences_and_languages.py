@@ -87,3 +87,15 @@ def test_held_out_accuracy(spark):
     found = Profiles.learn(documents.where(~held)).identify(documents.where(held)).join(documents, "doc_id").where("language <> 'unknown'")
     right, all_ = found.agg(F.count_if(F.col("language") == F.col("lang")), F.count("*")).first()
     assert all_ > 100 and right / all_ > 0.97, (right, all_)
+
+
+def test_profile_as_arrays_equals_the_joined_one(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "the cat, a Öl x", "en"), (2, "der Hund und a x1y", "de"), (3, None, "en"), (4, "12 !", "de"), (5, "𝒜b c", None), (6, "und the", None), (7, "zzz", None)], "doc_id long, text string, lang string")
+    own = Profiles.learn(rows)
+    grams = rows.where("lang = 'en'").selectExpr("text").select(language_profiles.trigrams(F.col("text")).alias("g"))
+    assert {r["gram"] for r in own.gains.where("g1 > 0").collect()} == {g for r in grams.collect() for g in r["g"] or []}
+    read = lambda: {r["doc_id"]: (r["language"], r["n_trigrams"], r["margin"] and round(r["margin"], 9)) for r in own.identify(rows).collect()}
+    arrays = read()
+    monkeypatch.setattr(language_profiles, "FEW_LANGUAGES", 0)
+    assert arrays == read()
+    assert arrays[3] == ("unknown", 0, None) and arrays[5][1] == 3
