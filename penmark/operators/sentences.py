@@ -10,6 +10,11 @@ capitalised inside one.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +25,15 @@ LEAST_SCORE = 0.3
 ABBREVIATED = 0.99
 #: Tables of at most this many rows are sent to all tasks.
 BROADCAST_ROWS = 200_000
+#: Distinct tokens that a task holds before it hands their counts on.
+DISTINCT_TOKENS = 200_000
 
 _OPENING = r"""^[("'\[«“‘]+"""
 _CLOSING = r"""[)"'\],;:»”’]+$"""
 _WORD = r"^\p{L}[\p{L}.'’-]*$"
 _END = r"""[.!?]+[)"'\]»”’]*$"""
 _SURE_END = r"""[!?]+[)"'\]»”’]*$"""
+_SURE, _MAYBE, _SPACE, _CONTROL = re.compile(_SURE_END), re.compile(_END), re.compile(f"[{T.WHITE}]+"), re.compile(r"[\x1c-\x1f]")
 _NUMBER = r"^[0-9]+([.,][0-9]+)*\.$"
 
 
@@ -51,27 +59,70 @@ def _tokens(text: Column) -> Column:
     return T.tokens(F.coalesce(text.cast("string"), F.lit("")))
 
 
+class _Ends(dict):
+    """For each token: 0, 1 if it may end a sentence, 2 if it surely does. It holds no line ends, so $ is its very end, as in Spark."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = kind = 2 if _SURE.search(token) else 1 if _MAYBE.search(token) else 0
+        return kind
+
+
+def _split(text: str) -> list[str]:
+    """The tokens as T.tokens() has them; Python's own white space has four control characters more."""
+    return [t for t in _SPACE.split(text) if t] if _CONTROL.search(text) else text.split()
+
+
 def type_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """(type, n_with, n_without, n_lower, n_inside, n_starts) of the corpus's words.
 
     With and without a period; begun in lower case; begun in upper case behind
     a token that ends no sentence; the same as the first of a text or behind
-    ! or ?, where no abbreviation can be. Numbers are no words.
+    ! or ?, where no abbreviation can be. Numbers are no words. Equal tokens are
+    counted in their task first; only distinct ones meet patterns and a shuffle.
     """
 
-    def described(own: Column) -> Column:
-        def one(token: Column, i: Column) -> Column:
-            before = F.get(own, i - 1)
-            inside, starts = (i > 0) & ~before.rlike(_END), (i == 0) | before.rlike(_SURE_END)
-            return T.bind(_core(token), lambda core: F.struct(core.alias("core"), inside.alias("inside"), starts.alias("starts")))
-
-        return F.transform(own, one)
-
-    rows = corpus.select(F.explode(T.bind(_tokens(F.col(text_col)), described)).alias("t")).select("t.*").where(F.col("core").rlike(_WORD) & ~F.col("core").endswith(".."))
-    core = F.col("core")
-    return rows.groupBy(_type(core).alias("type")).agg(
-        F.count_if(_period(core)).alias("n_with"), F.count_if(~_period(core)).alias("n_without"),
-        F.count_if(core.rlike(r"^\p{Ll}")).alias("n_lower"), F.count_if(_upper(core) & F.col("inside")).alias("n_inside"), F.count_if(_upper(core) & F.col("starts")).alias("n_starts"),
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, every, behind = _Ends(), Counter(), (Counter(), Counter())
+
+        def rows() -> pa.RecordBatch:
+            found = [(t, n, True, False) for t, n in every.items()]
+            found += [(t, n, False, starts) for starts in (False, True) for t, n in behind[starts].items()]
+            for c in (every, *behind):
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for text in batch.column(0):
+                tokens = _split(text.as_py())
+                if not tokens:
+                    continue
+                every.update(tokens)
+                behind[True][tokens[0]] += 1
+                every[tokens[0]] -= 1
+                for i, kind in enumerate([ends[t] for t in tokens[:-1]], 1):
+                    if kind:
+                        behind[kind == 2][tokens[i]] += 1
+                        every[tokens[i]] -= 1
+                if len(every) > DISTINCT_TOKENS:
+                    yield rows()
+            if len(ends) > DISTINCT_TOKENS:
+                ends.clear()
+        if every:
+            yield rows()
+
+    schema = pa.schema([("token", pa.string()), ("n", pa.int64()), ("inside", pa.bool_()), ("starts", pa.bool_())])
+    tokens = corpus.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(counted, "token string, n bigint, inside boolean, starts boolean")
+
+    def described(core: Column) -> Column:
+        word = core.rlike(_WORD) & ~core.endswith("..")
+        return F.struct(_type(core).alias("type"), _period(core).alias("period"), core.rlike(r"^\p{Ll}").alias("lower"), _upper(core).alias("upper"), word.alias("word"))
+
+    # Exploded, so that each token's patterns are tried once and not again in every filter and sum.
+    rows = tokens.where("n > 0").select("n", "inside", "starts", F.explode(F.transform(F.array(_core(F.col("token"))), described)).alias("d")).select("*", "d.*").where("word")
+    of = lambda which: F.sum(F.when(which, F.col("n")).otherwise(F.lit(0).cast("long")))
+    return rows.groupBy("type").agg(
+        of(F.col("period")).alias("n_with"), of(~F.col("period")).alias("n_without"),
+        of(F.col("lower")).alias("n_lower"), of(F.col("upper") & F.col("inside")).alias("n_inside"), of(F.col("upper") & F.col("starts")).alias("n_starts"),
     )
 
 
@@ -116,7 +167,11 @@ def guarded_sentences(texts: DataFrame, counts: DataFrame, id_col: str = "doc_id
             here, then = _core(F.get(own, i)), _core(F.get(own, i + 1))
             return F.struct(i.alias("pos"), _type(here).alias("short"), F.when(_upper(then), _type(then)).alias("begins"))
 
-        return F.transform(F.filter(T.places(0, F.size(own) - 1), lambda i: _period(_core(F.get(own, i))) & _core(F.get(own, i)).rlike(_WORD)), one)
+        def short(token: Column) -> Column:
+            # Most tokens have no period, which is told without a pattern.
+            return F.contains(token, F.lit(".")) & _period(_core(token)) & _core(token).rlike(_WORD)
+
+        return F.transform(F.filter(T.places(0, F.size(own) - 1), lambda i: short(F.get(own, i))), one)
 
     rows = texts.select(id_col, F.explode(T.bind(_tokens(F.col(text_col)), candidates)).alias("c")).select(id_col, "c.*")
     held = rows.join(_sent(known), "short").join(_sent(starters), "begins", "left").where("starter IS NULL")

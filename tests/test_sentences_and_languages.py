@@ -99,3 +99,16 @@ def test_profile_as_arrays_equals_the_joined_one(spark, monkeypatch):
     monkeypatch.setattr(language_profiles, "FEW_LANGUAGES", 0)
     assert arrays == read()
     assert arrays[3] == ("unknown", 0, None) and arrays[5][1] == 3
+
+
+def test_types_are_counted_in_their_task(spark, monkeypatch):
+    """Equal tokens are one row of the shuffle, however often they occur; the counts are those of every token by itself."""
+    text = "The end. the end (at last!) The\x1cend \u2003 The Ünd. und? Und \"ok?\" Ok etc. Etc.) x.. Öl"
+    rows = spark.createDataFrame([(i, text) for i in range(200)] + [(900, None), (901, " "), (902, "One")], "doc_id long, text string").coalesce(1)
+    got = {r["type"]: tuple(r)[1:] for r in sentences.type_counts(rows).collect()}
+    assert got["the"] == (0, 600, 200, 200, 200) and got["end"] == (200, 200, 400, 0, 0)
+    assert got["und"] == (0, 200, 0, 0, 200) and got["ünd"] == (200, 0, 0, 200, 0) and got["ok"] == (0, 200, 0, 0, 200) and got["one"] == (0, 1, 0, 0, 1)
+    assert got["etc"] == (400, 0, 200, 0, 0) and "x." not in got and got["öl"] == (0, 200, 0, 0, 0)
+    assert "MapInArrow" in sentences.type_counts(rows)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(sentences, "DISTINCT_TOKENS", 3)
+    assert {r["type"]: tuple(r)[1:] for r in sentences.type_counts(rows).collect()} == got
