@@ -2,14 +2,20 @@
 
 The decoder reads prefix codes, back-references, the colour cache and
 meta prefix codes, and inverts the predictor, cross-colour, subtract-green and
-palette transforms. Images whose codes all have one length, as those of the
-writer here have, are read a whole image at a time; all others symbol by symbol.
+palette transforms. The writer indexes colours, bundles indices, finds
+back-references and gives symbols prefix codes by their counts. Images whose
+green channel alone takes bits, as those of the writer do, are looked up at all
+bit positions at once and then followed from code to code; those whose codes
+all have one length are read a whole image at a time, all others symbol by symbol.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -93,6 +99,11 @@ class PrefixCode:
         return table
 
 
+@lru_cache(maxsize=64)
+def _even_code(symbols: int, length: int) -> PrefixCode:
+    return PrefixCode(dict.fromkeys(range(symbols), length))
+
+
 def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -104,21 +115,31 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
     code = PrefixCode({CODE_LENGTH_ORDER[i]: bits.read(3) for i in range(count)})
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     if code.flat == 0 and 0 < code.symbols[0] < 16:
-        return PrefixCode(dict.fromkeys(range(min(left, alphabet)), code.symbols[0]))
+        return _even_code(min(left, alphabet), code.symbols[0])
     lengths: dict[int, int] = {}
     at, previous = 0, 8
+    table, mask = code._table() if code.longest else [(code.symbols[0], 0)], (1 << code.longest) - 1
+    first = bits.at >> 3
+    # Lengths take 14 bits each at most: they are read out of one number.
+    value, used = int.from_bytes(bits.data[first : first + 2 * alphabet + 8], "little") >> (bits.at & 7), 0
     while at < alphabet and left:
         left -= 1
-        n = code.read(bits)
+        n, size = table[value & mask]
         if n < 16:
-            lengths[at] = n
+            if n:
+                lengths[at] = previous = n
             at += 1
-            previous = n or previous
         else:
-            times = 3 + bits.read(2) if n == 16 else 3 + bits.read(3) if n == 17 else 11 + bits.read(7)
-            for i in range(at, at + times):
-                lengths[i] = previous if n == 16 else 0
+            more, base = ((2, 3), (3, 3), (7, 11))[n - 16]
+            times = base + (value >> size & (1 << more) - 1)
+            if n == 16:
+                for i in range(at, at + times):
+                    lengths[i] = previous
             at += times
+            size += more
+        value >>= size
+        used += size
+    bits.skip(used)
     if at > alphabet:
         raise BadImage("too many code lengths")
     return PrefixCode(lengths)
@@ -150,6 +171,98 @@ def _flat_pixels(bits: Bits, codes: list[PrefixCode], n: int) -> np.ndarray:
     return pixels
 
 
+#: Bytes of a stream that are looked up at once.
+CHUNK = 1 << 17
+#: Extra bits of the prefix symbols of lengths and distances, and the value that they are added to.
+_EXTRA = np.array([0 if s < 4 else (s - 2) >> 1 for s in range(40)], dtype=np.int64)
+_BASE = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)], dtype=np.int64)
+
+
+@lru_cache(maxsize=16)
+def _reversed(n: int) -> np.ndarray:
+    """The numbers of n bits with their bits in reverse order."""
+    out = np.zeros(1, dtype=np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+def _looked_up(code: PrefixCode) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol and length of the code that begins each possible window of its longest length."""
+    if not code.longest:
+        return np.array(code.symbols[:1], dtype=np.int16), np.zeros(1, dtype=np.uint8)
+    lengths = np.array([n for n, _ in code.used], dtype=np.int64)
+    which = np.repeat(np.arange(lengths.size), 1 << code.longest - lengths)[_reversed(code.longest)]
+    return np.array(code.symbols, dtype=np.int16)[which], lengths.astype(np.uint8)[which]
+
+
+def _green_pixels(bits: Bits, codes: list[PrefixCode], n: int, width: int) -> np.ndarray:
+    """n pixels of which only green takes bits, with back-references: what would begin at each bit is looked up, then those that do are followed."""
+    symbol, length = _looked_up(codes[0])
+    far_symbol, far_length = _looked_up(codes[4])
+    near = np.array([max(1, x + y * width) for x, y in NEAR], dtype=np.int64)
+    out = bytearray(n)
+    done, at = 0, bits.at
+    while done < n:
+        if at >= bits.end:
+            raise BadImage("the image ends early")
+        first = at >> 3
+        raw = np.frombuffer(bits.data, np.uint8, count=min(CHUNK + 16, len(bits.data) - first), offset=first)
+        size = min(CHUNK, raw.size)
+        four = np.zeros(size + 16, dtype=np.uint32)
+        for k in range(4):
+            four[: max(0, raw.size - k)] |= raw[k:].astype(np.uint32) << np.uint32(8 * k)
+
+        def peek(place: np.ndarray, four: np.ndarray = four) -> np.ndarray:
+            return (four[place >> 3] >> (place & 7).astype(np.uint32)).astype(np.int64)
+
+        window = (four[:size, None] >> np.arange(8, dtype=np.uint32) & np.uint32(symbol.size - 1)).ravel().astype(np.intp)
+        green, step = symbol.take(window), length.take(window)
+        copies = np.flatnonzero(green >= 256)
+        kind, place = green[copies].astype(np.int64) - 256, copies + step[copies]
+        copied = _BASE[kind] + (peek(place) & (1 << _EXTRA[kind]) - 1)
+        place = place + _EXTRA[kind]
+        seen = peek(place) & far_symbol.size - 1
+        place, kind = place + far_length[seen], far_symbol[seen].astype(np.int64)
+        back = _BASE[kind] + (peek(place) & (1 << _EXTRA[kind]) - 1)
+        step[copies] = place + _EXTRA[kind] - copies
+        back = np.where(back > 120, back - 120, near[np.minimum(back, 120) - 1])
+
+        steps, here, end = step.tobytes(), at & 7, size * 8
+        follow: list[int] = []
+        add = follow.append
+        while here < end:
+            add(here)
+            here += steps[here]
+        begun = np.array(follow)
+        ref = np.flatnonzero(green[begun] >= 256)
+        which = np.searchsorted(copies, begun[ref])
+        lengths = np.ones(begun.size, dtype=np.int64)
+        lengths[ref] = copied[which]
+        to = done + np.cumsum(lengths)
+        used = int(np.searchsorted(to, n)) + 1  # what follows the last pixel is no code
+        if used <= begun.size:
+            here = int(begun[used - 1]) + steps[begun[used - 1]]
+            begun, lengths, to = begun[:used], lengths[:used], to[:used]
+            which, ref = which[ref < used], ref[ref < used]
+        if to[-1] > n:
+            raise BadImage("a back-reference outside the image")
+        start = to - lengths
+        plain = np.frombuffer(out, dtype=np.uint8)
+        literal = np.ones(begun.size, dtype=bool)
+        literal[ref] = False
+        plain[start[literal]] = green[begun[literal]]
+        del plain
+        for s, k, d in zip(start[ref].tolist(), lengths[ref].tolist(), back[which].tolist(), strict=True):
+            if d > s:
+                raise BadImage("a back-reference outside the image")
+            out[s : s + k] = out[s - d : s - d + k] if k <= d else (out[s - d : s] * (k // d + 1))[:k]
+        done, at = int(to[-1]), first * 8 + here
+    bits.skip(at - bits.at)
+    red, blue, alpha = (codes[i].symbols[0] for i in (1, 2, 3))
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+
+
 def _entropy_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """Pixels (ARGB, row by row) of an entropy-coded image; only the top image can have meta prefix codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -167,6 +280,8 @@ def _entropy_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray
     own = codes[0]
     if groups == 1 and not cache_bits and all(c.flat is not None and c.flat <= 8 for c in own[:4]) and own[0].symbols[-1] < 256:
         return _flat_pixels(bits, own, n)
+    if groups == 1 and not cache_bits and own[0].longest and not any(c.longest for c in own[1:4]):
+        return _green_pixels(bits, own, n, width)
     cache = [0] * cache_size
     pixels: list[int] = []
     while len(pixels) < n:
@@ -359,29 +474,195 @@ class BitWriter:
         self.add(symbol, 8)
 
 
-#: The bits of each symbol in a flat code of a length, in the order in which they are written.
-_CODE_BITS = {n: (np.arange(1 << n)[:, None] >> np.arange(n - 1, -1, -1) & 1).astype(np.uint8) for n in range(2, 9)}
+#: The bits of each symbol in a flat code of 8 bits, in the order in which they are written.
+_CODE_BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.uint8)
+#: Least symbols of a back-reference, most of one, and the symbols within which the writer looks for them.
+LEAST_COPY, MOST_COPY, SPAN = 8, 4096, 1 << 20
+#: Bits of a code at most; the format has 15, but readers look up a window of this size.
+LONGEST = 12
+
+
+def _code_lengths(counts: np.ndarray, most: int) -> dict[int, int]:
+    """Lengths of a prefix code of least total size, `most` at most (counts are levelled till they fit), of the symbols that occur."""
+    used = np.flatnonzero(counts).tolist()
+    if len(used) < 2:
+        return dict.fromkeys(used, 1)
+    own = counts[used].tolist()
+    while True:
+        heap = [(c, i) for i, c in enumerate(own)]
+        heapq.heapify(heap)
+        parent = [0] * (2 * len(used) - 1)
+        for new in range(len(used), 2 * len(used) - 1):
+            c, i = heapq.heappop(heap)
+            d, j = heap[0]
+            parent[i] = parent[j] = new
+            heapq.heapreplace(heap, (c + d, new))
+        depth = [0] * len(parent)
+        for i in range(len(parent) - 2, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth[: len(used)]) <= most:
+            return dict(zip(used, depth, strict=False))
+        own = [c + 1 >> 1 for c in own]
+
+
+def _codes(lengths: dict[int, int], alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """The canonical code of each symbol, its first bit lowest, and its length; a lone symbol takes no bits."""
+    codes, sizes = np.zeros(alphabet, dtype=np.uint64), np.zeros(alphabet, dtype=np.int64)
+    if len(lengths) > 1:
+        symbols, n = np.array(list(lengths)), np.array(list(lengths.values()))
+        order = np.lexsort((symbols, n))
+        symbols, n = symbols[order], n[order]
+        room = 1 << n[-1] - n
+        codes[symbols], sizes[symbols] = _reversed(int(n[-1]))[np.cumsum(room) - room], n
+    return codes, sizes
+
+
+@lru_cache(maxsize=1)
+def _code_of_lengths() -> tuple[list[int], list[int], int, int]:
+    """Codes and lengths of the symbols that tell code lengths, always the same: zeros, runs and middle lengths are short; and what tells them."""
+    own = {0: 2, **dict.fromkeys((3, 4, 5, 6, 7, 8, 9, 10), 4), **dict.fromkeys((2, 11, 12, 16, 17, 18), 5), **dict.fromkeys((1, 13), 6), **dict.fromkeys((14, 15), 6)}
+    codes, sizes = (c.tolist() for c in _codes(own, 19))
+    out = BitWriter()
+    out.add(0, 1)
+    out.add(len(CODE_LENGTH_ORDER) - 4, 4)
+    for s in CODE_LENGTH_ORDER:
+        out.add(own[s], 3)
+    out.add(0, 1)
+    return codes, sizes, out.value, out.n
+
+
+def _write_lengths(out: BitWriter, lengths: dict[int, int], alphabet: int) -> None:
+    """A prefix code by its lengths: a lone symbol of 8 bits by itself, else lengths and runs of them under a code of their own."""
+    if len(lengths) < 2:
+        out.one_symbol(next(iter(lengths), 0))
+        return
+    row = np.zeros(alphabet, dtype=np.int64)
+    row[list(lengths)] = list(lengths.values())
+    ends = np.append(np.flatnonzero(np.diff(row)) + 1, alphabet).tolist()
+    said: list[tuple[int, int, int]] = []  # symbol, extra, bits of it
+    at = 0
+    for end in ends:
+        n, left = int(row[at]), end - at
+        at = end
+        if n:
+            said.append((n, 0, 0))
+            left -= 1
+        while left >= 3:
+            k = min(left, 6 if n else 138 if left > 10 else 10)
+            said.append((16, k - 3, 2) if n else (18, k - 11, 7) if k > 10 else (17, k - 3, 3))
+            left -= k
+        said += [(n, 0, 0)] * left
+    codes, sizes, head, head_size = _code_of_lengths()
+    value, total = head, head_size
+    for s, extra, n in said:
+        value |= (codes[s] | extra << sizes[s]) << total
+        total += sizes[s] + n
+    out.add(value, total)
+
+
+def _prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix symbols of lengths or distances, and their extra bits."""
+    symbol = np.searchsorted(_BASE, value, side="right") - 1
+    return symbol, value - _BASE[symbol]
+
+
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> np.ndarray:
+    """The distance code of each distance that is near enough for a short one somewhere."""
+    steps = [max(1, x + y * width) for x, y in NEAR]
+    codes = np.arange(max(steps) + 1, dtype=np.int64) + 120
+    for code in range(120, 0, -1):
+        codes[steps[code - 1]] = code
+    return codes
+
+
+def _copies(symbols: np.ndarray) -> np.ndarray:
+    """(start, length, distance) of back-references, none over another: runs of places whose next LEAST_COPY symbols stood at one distance before, the first first."""
+    places = symbols.size - LEAST_COPY + 1
+    if places < 2:
+        return np.zeros((0, 3), dtype=np.int64)
+    value = np.zeros(places, dtype=np.uint64)
+    for k in range(LEAST_COPY):
+        value = value << np.uint64(8) | symbols[k : k + places]
+    order = np.argsort(value, kind="stable")
+    again = np.flatnonzero(value[order[1:]] == value[order[:-1]])
+    back = np.zeros(places + 1, dtype=np.int64)
+    back[order[again + 1]] = order[again + 1] - order[again]
+    back[back > (1 << 20) - 120] = 0
+    turn = np.append(0, np.flatnonzero(back[1:] != back[:-1]) + 1)
+    some = np.flatnonzero(back[turn[:-1]])
+    found, free = [], 0
+    for start, end, distance in zip(turn[some].tolist(), (turn[some + 1] + LEAST_COPY - 1).tolist(), back[turn[some]].tolist(), strict=True):
+        if start < free:
+            start = free
+        while end - start >= LEAST_COPY:
+            n = end - start if end - start < MOST_COPY else MOST_COPY
+            found.append((start, n, distance))
+            start = free = start + n
+    return np.array(found, dtype=np.int64).reshape(-1, 3)
+
+
+@dataclass
+class _Tokens:
+    """Literals and back-references of a span in order: green symbols, and for those of `at` extra bits and distances."""
+
+    green: np.ndarray
+    at: np.ndarray
+    extra: np.ndarray
+    far: np.ndarray
+    far_extra: np.ndarray
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, width: int) -> _Tokens:
+        start, length, distance = _copies(symbols).T
+        covered = np.zeros(symbols.size + 1, dtype=np.int32)
+        covered[start] += 1
+        np.subtract.at(covered, start + length, 1)
+        begins = np.cumsum(covered[:-1]) == 0
+        begins[start] = True
+        places = np.flatnonzero(begins)
+        green, at = symbols[places].astype(np.int64), np.searchsorted(places, start)
+        prefix, extra = _prefixed(length)
+        green[at] = 256 + prefix
+        near = _near_codes(width)
+        code = np.where(distance < near.size, near[np.minimum(distance, near.size - 1)], distance + 120)
+        return cls(green, at, extra, *_prefixed(code))
+
+    def packed(self, green: tuple[np.ndarray, np.ndarray], far: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The bits of each token, 58 at most, and how many they are."""
+        value, size = green[0][self.green], green[1][self.green]
+        more, n = value[self.at], size[self.at]
+        for bits, count in ((self.extra, _EXTRA[self.green[self.at] - 256]), (far[0][self.far], far[1][self.far]), (self.far_extra, _EXTRA[self.far])):
+            more, n = more | bits.astype(np.uint64) << n.astype(np.uint64), n + count
+        value[self.at], size[self.at] = more, n
+        return value, size
+
+
+def _spans(symbols: np.ndarray, width: int) -> Iterator[_Tokens]:
+    for low in range(0, symbols.size, SPAN):
+        yield _Tokens.of(symbols[low : low + SPAN], width)
 
 
 def write_grey(samples: np.ndarray) -> bytes:
     """A file of 8-bit samples (height x width) as the green channel of a palette image.
 
-    The palette holds the used values in order, repeating the last up to a
-    power of two, so that indices (or bundles of them) get codes of one length.
+    The palette holds the used values in order. Indices, bundled where they are
+    few, become literals and back-references within spans of SPAN, under prefix
+    codes by how often each occurs.
     """
     height, width = samples.shape
-    values = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
-    size = max(1, (values.size - 1).bit_length())
-    palette = np.concatenate([values, np.full((1 << size) - values.size, values[-1])])
+    palette = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
     lookup = np.zeros(256, dtype=np.uint8)
-    lookup[values] = np.arange(values.size)
+    lookup[palette] = np.arange(palette.size)
     index = lookup[samples]
     shared = bundling(palette.size)
     if shared:
         each = 8 >> shared
         index = np.pad(index, ((0, 0), (0, -width % (1 << shared)))).reshape(height, -1, 1 << shared)
         index = (index << (np.arange(1 << shared, dtype=np.uint8) * each)).sum(axis=2, dtype=np.uint8)
-    length = 8 if shared else size
+    spans = list(_spans(index.ravel(), index.shape[1]))
+    green = _code_lengths(sum(np.bincount(s.green, minlength=280) for s in spans), LONGEST)
+    far = _code_lengths(sum(np.bincount(s.far, minlength=40) for s in spans), LONGEST)
 
     out = BitWriter()
     out.add(0x2F, 8)
@@ -402,22 +683,33 @@ def write_grey(samples: np.ndarray) -> bytes:
     out.add(255, 8)
     out.one_symbol(0)
     steps = np.zeros((palette.size, 9), dtype=np.uint8)
-    steps[:, :8] = _CODE_BITS[8][np.diff(palette, prepend=0) & 255]
+    steps[:, :8] = _CODE_BITS[np.diff(palette, prepend=0) & 255]
     steps[0, 8] = 1
-    tail = BitWriter()
-    tail.add(0, 1)  # no further transform
-    tail.add(0, 1)  # no colour cache
-    tail.add(0, 1)  # one group of codes
-    tail.flat_code(length)
-    tail.one_symbol(0)
-    tail.one_symbol(0)
-    tail.one_symbol(255)
-    tail.one_symbol(0)
-
-    def as_bits(w: BitWriter) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(w.value.to_bytes(w.n + 7 >> 3, "little"), np.uint8), bitorder="little")[: w.n]
-
-    bits = np.concatenate([as_bits(out), steps.ravel(), as_bits(tail), _CODE_BITS[length][index.ravel()].ravel()])
-    data = np.packbits(bits, bitorder="little").tobytes()
+    out.add(int.from_bytes(np.packbits(steps, bitorder="little").tobytes(), "little"), steps.size)
+    out.add(0, 1)  # no further transform
+    out.add(0, 1)  # no colour cache: indices are as short
+    out.add(0, 1)  # one group of codes
+    _write_lengths(out, green, 280)
+    out.one_symbol(0)
+    out.one_symbol(0)
+    out.one_symbol(255)
+    _write_lengths(out, far, 40)
+
+    parts = [s.packed(_codes(green, 280), _codes(far, 40)) for s in spans]
+    total = out.n + sum(int(size.sum()) for _, size in parts)
+    words = np.zeros((total >> 6) + 2, dtype=np.uint64)
+    head = np.frombuffer(out.value.to_bytes((out.n >> 6) * 8 + 8, "little"), dtype="<u8")
+    words[: head.size] = head
+    begin = out.n
+    for value, size in parts:
+        end = begin + np.cumsum(size)
+        place = end - size
+        shift = (place & 63).astype(np.uint64)
+        of = place >> 6
+        firsts = np.flatnonzero(np.diff(of, prepend=-1))
+        words[of[firsts]] += np.add.reduceat(value << shift, firsts)  # no two share a bit
+        words[of[firsts] + 1] += np.add.reduceat(value >> np.uint64(1) >> (np.uint64(63) - shift), firsts)
+        begin = int(end[-1])
+    data = words.astype("<u8").tobytes()[: total + 7 >> 3]
     padded = data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + padded

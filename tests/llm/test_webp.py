@@ -268,3 +268,38 @@ def test_broken_files():
     for bad in (b"", b"RIFF", file[:40], file[:20] + b"\0" + file[21:]):
         with pytest.raises((BadImage, struct.error)):
             decode(bad)
+
+
+def test_the_writer_codes_by_counts_and_refers_back():
+    """Frequent values get shorter codes, and what stood before is not written again; before, all took the same bits."""
+    rng = np.random.default_rng(7)
+    uneven = np.minimum(rng.geometric(0.5, 64 * 200), 40).astype(np.uint8)
+    line = rng.integers(0, 200, 640, dtype=np.uint8)
+    for samples, most in ((uneven.reshape(-1, 64), 0.35), (np.tile(line, 50).reshape(-1, 64), 0.06), (np.zeros((100, 64), np.uint8), 0.05)):
+        file = write_grey(samples)
+        assert np.array_equal((decode(file) >> np.uint32(8)).astype(np.uint8), samples)
+        assert len(file) <= most * samples.size, len(file) / samples.size
+
+
+@pytest.mark.parametrize("colours", [1, 2, 3, 5, 16, 17, 256])
+@pytest.mark.parametrize("rows", [1, 2, 70, 9000])
+def test_written_images_are_read_back(colours, rows):
+    rng = np.random.default_rng(colours * rows)
+    samples = np.repeat(rng.integers(0, colours, rows * 32, dtype=np.uint8), 2).reshape(rows, 64)
+    samples[rows // 2 :] = samples[: rows - rows // 2]
+    assert np.array_equal((decode(write_grey(samples)) >> np.uint32(8)).astype(np.uint8), samples)
+
+
+def test_codes_stay_within_their_longest_length():
+    counts = [1, 1]
+    while len(counts) < 24:
+        counts.append(counts[-1] + counts[-2])
+    samples = np.random.default_rng(3).permutation(np.repeat(np.arange(24, dtype=np.uint8), counts))
+    samples = np.pad(samples, (0, -samples.size % 64)).reshape(-1, 64)
+    assert np.array_equal((decode(write_grey(samples)) >> np.uint32(8)).astype(np.uint8), samples)
+
+
+def test_a_shortened_file_is_an_error():
+    file = write_grey(np.random.default_rng(5).integers(0, 99, (40, 64), dtype=np.uint8))
+    with pytest.raises(BadImage):
+        decode(file[: len(file) // 2])
