@@ -83,3 +83,14 @@ def test_unknown_language_family_has_the_default_threshold(spark):
     family, threshold = X.family_threshold(F.lit("xx"))
     row = spark.range(1).select(family.alias("f"), threshold.alias("t")).first()
     assert (row["f"], row["t"]) == ("other", 0.35)
+
+
+def test_only_texts_that_may_change_are_composed_in_python(spark):
+    """What Python gets of a batch does not grow with texts of characters that are composed as they are."""
+    texts = ["plain", "Größe déjà", "é x", "", None, "한", "“q”   z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r["id"]: r["t"] for r in rows.select("id", T.normalized(F.col("text")).alias("t")).collect()}
+    assert found == {0: "plain", 1: "Größe déjà", 2: "é x", 3: "", 4: None, 5: "한", 6: "“q” z"}
+    plan = rows.select(T.normalized(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[plan.index("_composed(") :].split("\n")[0]
+    assert "CASE WHEN" in sent or "_composed(text" not in plan
