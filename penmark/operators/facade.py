@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +14,14 @@ from penmark.functions import text as T
 from penmark.operators import ensemble
 from penmark.operators.detectors import Context, Detector, score_units
 from penmark.operators.grains import chunked
+from penmark.operators.own_counts import BLOCK_BYTES, text_bytes
 
 
 def prepared(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = T.MIN_WORDS) -> DataFrame:
-    """(id, raw, text, n_words, n_sentences, short): text is the normalised one, the words are those of the raw text."""
-    out = texts.select(id_col, F.col(text_col).alias("raw"), T.normalized(F.col(text_col)).alias("text"), F.size(T.tokens(F.col(text_col))).cast("bigint").alias("n_words"))
+    """(id, raw, text, n_words, n_sentences, short): text is the normalised one, which has as many words as the raw text."""
+    out = texts.select(id_col, F.col(text_col).alias("raw"), T.normalized(F.col(text_col)).alias("text"))
+    spaces = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
+    out = out.withColumn("n_words", F.when(F.col("text") == "", 0).otherwise(spaces + 1).cast("bigint"))
     out = out.withColumn("n_sentences", F.size(T.terminated_sentences(F.col("text"))).cast("bigint"))
     short = F.coalesce((F.col("n_words") < least) | (F.col("n_sentences") == 0), F.lit(True))
     # Exploded, so that a filter on `short` is not pushed below and its texts are not normalised and split again there.
@@ -24,6 +29,15 @@ def prepared(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return out.select(id_col, "raw", once.alias("p")).select(id_col, "raw", "p.*")
 
 
+def _units(ready: DataFrame, id_col: str, n_bytes: int) -> DataFrame:
+    """(unit, text): the chunks of prepared() texts that have an id, dealt out once, so that detectors that read them apart don't cut them anew.
+
+    Chunks without an id find no text again; a join would leave them out of some readers only, and these would not share the shuffle.
+    """
+    chunks = chunked(ready.where(~F.col("short") & F.col(id_col).isNotNull()), id_col).select(F.struct(id_col, "chunk_index").alias("unit"), "text")
+    return chunks.repartition(max(ready.sparkSession.sparkContext.defaultParallelism, ceil(n_bytes / BLOCK_BYTES)), "unit")
+
+
 def detect(
     texts: DataFrame, detectors: Sequence[Detector], context: Context, *, id_col: str = "doc_id", text_col: str = "text",
     strategy: str = "weighted_average", weights: dict[str, float] | None = None, least: int = T.MIN_WORDS, short_confidence: float = 0.3,
@@ -38,11 +52,11 @@ def detect(
     if not detectors:
         unsure = F.when(F.col("short"), short_confidence).otherwise(0.0)
         return ready.select(id_col, F.lit(0.5).alias("score"), unsure.alias("confidence"), F.lit("uncertain").alias("label"), F.lit(0).cast("long").alias("n_chunks"))
-    chunks = chunked(ready.where(~F.col("short")), id_col).select(F.struct(id_col, "chunk_index").alias("unit"), "text")
-    scores = score_units(chunks, detectors, context, "unit")
+    n_bytes = text_bytes(texts, text_col)
+    scores = score_units(_units(ready, id_col, n_bytes), detectors, replace(context, n_bytes=n_bytes), "unit")
     by_chunk = ensemble.combine(scores, strategy, weights, "unit").select(F.col(f"unit.{id_col}").alias(id_col), "score", "confidence")
     by_text = by_chunk.groupBy(id_col).agg(F.avg("score").alias("s"), F.avg("confidence").alias("c"), F.count("*").alias("n_chunks"))
-    joined = ready.select(id_col).join(by_text, id_col, "left")
+    joined = texts.select(id_col).join(by_text, id_col, "left")
     score, confidence = F.coalesce("s", F.lit(0.5)), F.coalesce("c", F.lit(short_confidence))
     chosen = F.when(F.col("s").isNull(), "uncertain").otherwise(ensemble.label(score, confidence))
     return joined.select(id_col, score.alias("score"), confidence.alias("confidence"), chosen.alias("label"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
@@ -64,16 +78,23 @@ def results(
     Every detector runs once. Ids must be unique and not null.
     """
     ready = prepared(texts, id_col, text_col, least)
-    chunks = chunked(ready.where(~F.col("short")), id_col).select(F.struct(id_col, "chunk_index").alias("unit"), "text")
+    n_bytes = text_bytes(texts, text_col)
     own = F.collect_list(F.struct("detector", "score", "confidence", "error")).alias("own")
-    by_chunk = ensemble.combine(score_units(chunks, detectors, context, "unit"), strategy, weights, "unit", own)
-    numbers = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), v.cast("double").alias("value")) for n, v in made(F.col("text")).items()]))
-    each = by_chunk.join(chunks.select("unit", numbers.alias("features")), "unit")
-    chunk = F.struct(F.col("unit.chunk_index").alias("i"), "own", "features")
-    by_text = each.groupBy(F.col(f"unit.{id_col}").alias(id_col)).agg(
-        F.avg("score").alias("s"), F.avg("confidence").alias("c"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(chunk), lambda a, b: a["i"] - b["i"]).alias("chunks")
+    by_chunk = ensemble.combine(score_units(_units(ready, id_col, n_bytes), detectors, replace(context, n_bytes=n_bytes), "unit"), strategy, weights, "unit", own)
+    by_text = by_chunk.select(F.col(f"unit.{id_col}").alias(id_col), "score", "confidence", F.struct(F.col("unit.chunk_index").alias("i"), "own").alias("chunk")).groupBy(id_col).agg(
+        F.avg("score").alias("s"), F.avg("confidence").alias("c"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_list("chunk"), lambda a, b: a["i"] - b["i"]).alias("chunks")
     )
 
+    # Each chunk gives as many first features as there are, so only the first few chunks can reach the list; of the others only the last is asked.
+    per_chunk = min(top, len(made(F.col("text"))))
+    first = -(-most_features // per_chunk) if per_chunk > 0 else 0
+    wanted = T.bind(T.chunks(F.col("text")), lambda all_: F.concat(F.slice(all_, 1, first), F.slice(all_, F.greatest(F.size(all_), F.lit(first + 1)), 1)))
+    numbers = F.transform(wanted, lambda chunk: X.numbers(chunk["text"], made))
+    last_and_first = T.bind(numbers, lambda all_: F.struct(
+        F.get(all_, F.size(all_) - 1).alias("features"), F.slice(F.flatten(F.transform(F.slice(all_, 1, first), lambda own: importance(own, top))), 1, most_features).alias("top_features"),
+    ))
+    own_features = F.when(~F.col("short"), last_and_first)
+
     def of_detector(name: str, all_: Column) -> Column:
         mine = F.filter(all_, lambda x: x["detector"] == name)
         mean = lambda field: T.mean(F.transform(mine, lambda x: x[field]))
@@ -85,16 +106,14 @@ def results(
     summed = by_text.select(
         id_col, "s", "c", "n_chunks",
         T.bind(all_, lambda a: F.map_from_entries(F.array(*[of_detector(n, a) for n in names]))).alias("detectors"),
-        F.get("chunks", F.size("chunks") - 1)["features"].alias("features"),
-        F.slice(F.flatten(F.transform("chunks", lambda x: importance(x["features"], top))), 1, most_features).alias("top_features"),
     )
-    shown = heatmaps(ready, heat, id_col, most_tokens)
-    joined = ready.select(id_col, "short").join(summed, id_col, "left").join(shown, id_col, "left")
+    joined = heatmaps(ready.withColumn("own_features", own_features), heat, id_col, most_tokens, ("short", "own_features")).join(summed, id_col, "left")
+    scored = lambda name: F.when(F.col("s").isNotNull(), F.col("own_features")[name]).alias(name)
     score, confidence = F.coalesce("s", F.lit(0.5)), F.coalesce("c", F.when(F.col("short"), short_confidence).otherwise(0.0))
     chosen = F.when(F.col("s").isNull(), "uncertain").otherwise(ensemble.label(score, confidence))
     return joined.select(
         id_col, score.alias("score"), confidence.alias("confidence"), chosen.alias("label"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
-        "detectors", "features", "top_features", "heatmap", "sentences",
+        "detectors", scored("features"), scored("top_features"), "heatmap", "sentences",
     )
 
 
@@ -119,15 +138,15 @@ def joined_features(parts: DataFrame, unit_col: str = "unit", id_col: str = "doc
     return parts.groupBy(F.col(f"{unit_col}.{id_col}").alias(id_col)).agg(first.alias("features"))
 
 
-def heatmaps(ready: DataFrame, parts: DataFrame | None = None, id_col: str = "doc_id", most: int = 200) -> DataFrame:
-    """(id, heatmap, sentences) of prepared() texts: the joined heatmap of `parts`, else 0.5 for each token.
+def heatmaps(ready: DataFrame, parts: DataFrame | None = None, id_col: str = "doc_id", most: int = 200, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *more, heatmap, sentences) of prepared() texts: the joined heatmap of `parts`, else 0.5 for each token.
 
     Sentences are scored over all tokens; only then the heatmap is cut to `most`.
     """
-    rows = ready.select(id_col, "text") if parts is None else ready.select(id_col, "text").join(joined_heatmap(parts, id_col=id_col), id_col, "left")
-    plain = token_heatmap(T.tokens(F.col("text")))
-    rows = rows.select(id_col, "text", (plain if parts is None else F.coalesce("heatmap", plain)).alias("heatmap"))
-    return rows.select(id_col, F.slice("heatmap", 1, most).alias("heatmap"), sentence_scores(F.col("heatmap"), sentence_bounds(F.col("text"))).alias("sentences"))
+    rows = ready.select(id_col, *more, "text") if parts is None else ready.select(id_col, *more, "text").join(joined_heatmap(parts, id_col=id_col), id_col, "left")
+    plain = token_heatmap(T.spaced_tokens(F.col("text")))
+    rows = rows.select(id_col, *more, "text", (plain if parts is None else F.coalesce("heatmap", plain)).alias("heatmap"))
+    return rows.select(id_col, *more, F.slice("heatmap", 1, most).alias("heatmap"), sentence_scores(F.col("heatmap"), sentence_bounds(F.col("text"), T.spaced_tokens)).alias("sentences"))
 
 
 def token_heatmap(tokens: Column, scores: Column | None = None) -> Column:
@@ -138,9 +157,9 @@ def token_heatmap(tokens: Column, scores: Column | None = None) -> Column:
     return F.zip_with(F.slice(tokens, 1, n), F.slice(scores, 1, n), lambda t, s: F.struct(t.alias("token"), s.alias("score")))
 
 
-def sentence_bounds(text: Column) -> Column:
+def sentence_bounds(text: Column, tokens: Callable[[Column], Column] = T.tokens) -> Column:
     """array<struct<start,end>>: token positions of each sentence, running on."""
-    sizes = F.transform(T.terminated_sentences(text), lambda s: F.size(T.tokens(s)))
+    sizes = F.transform(T.terminated_sentences(text), lambda s: F.size(tokens(s)))
     folded = F.aggregate(
         sizes,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
